@@ -75,3 +75,8 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
                 break
         seen = mark
     return done.selectExpr("b node", "a root").union(done.selectExpr("a node", "a root").distinct())
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows in one Arrow batch: texts are long, and a batch is held whole by a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

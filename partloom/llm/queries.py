@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from partloom.llm import license_scan, sharding
+from partloom.llm import language_id, license_scan, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op5_license_scan": license_scan.op5_license_scan,
+        "op7_quality": quality.op7_quality,
         "op8_sharding": sharding.op8_sharding,
+        "op9_language_id": language_id.op9_language_id,
     }
 
 
