@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from partloom.llm import language_id, license_scan, quality, sharding
+from partloom.llm import decontaminate, language_id, license_scan, nearest, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_license_scan": license_scan.op5_license_scan,
         "op7_quality": quality.op7_quality,
         "op8_sharding": sharding.op8_sharding,
         "op9_language_id": language_id.op9_language_id,
+        "op10_nearest": nearest.op10_nearest,
     }
 
 
