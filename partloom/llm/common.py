@@ -80,3 +80,31 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Rows in one Arrow batch: texts are long, and a batch is held whole by a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def whole_groups(batches, key: str, most: int = 20_000):
+    """From Arrow batches sorted by `key`: tables that hold whole runs of equal keys, with the runs' bounds."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        if held.num_rows < most:
+            continue
+        k = held.column(key).to_numpy()
+        cut = int(np.flatnonzero(k[1:] != k[:-1])[-1]) + 1 if (k[1:] != k[:-1]).any() else 0
+        if cut:
+            yield held.slice(0, cut).combine_chunks(), _runs(k[:cut])
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), _runs(held.column(key).to_numpy())
+
+
+def _runs(k):
+    import numpy as np
+
+    return np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])

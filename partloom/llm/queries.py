@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from partloom.llm import decontaminate, language_id, license_scan, nearest, quality, sharding
+from partloom.llm import decontaminate, jaccard_join, language_id, license_scan, nearest, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_license_scan": license_scan.op5_license_scan,
         "op7_quality": quality.op7_quality,

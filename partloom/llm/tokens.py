@@ -90,8 +90,8 @@ def shingles(words: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.nda
     dst = np.flatnonzero(np.repeat(full > 0, per))
     out[dst] = h[dst + src]
     for i in np.flatnonzero((full == 0) & (count > 0)):
-        x = U(count[i])
-        for w in words[offsets[i] : offsets[i + 1]]:
-            x = mix(np.array([x * U(_BASE) + w]))[0]
-        out[out_at[i]] = x
+        x = np.full(1, count[i], np.uint64)
+        for k in range(offsets[i], offsets[i + 1]):
+            x = mix(x * U(_BASE) + words[k : k + 1])
+        out[out_at[i]] = x[0]
     return out, out_at
