@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from partloom.llm import decontaminate, jaccard_join, language_id, license_scan, nearest, quality, sharding, suffix_dedup
+from partloom.llm import decontaminate, jaccard_join, language_id, license_scan, nearest, piece_lattice, quality, sharding, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": piece_lattice.op1_sentencepiece,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_decontaminate": decontaminate.op4_decontaminate,
