@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from partloom.llm import decontaminate, jaccard_join, language_id, license_scan, nearest, piece_lattice, quality, sharding, suffix_dedup
+from partloom.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, nearest, piece_lattice, quality, sharding, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_license_scan": license_scan.op5_license_scan,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_quality": quality.op7_quality,
         "op8_sharding": sharding.op8_sharding,
         "op9_language_id": language_id.op9_language_id,
