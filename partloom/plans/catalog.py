@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from partloom.plans import graph_queries, shape_queries, text_queries
+
+ALL = [*shape_queries.QUERIES, *text_queries.QUERIES, *graph_queries.QUERIES]
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, run, _ in ALL}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, _, sql in ALL if sql}
