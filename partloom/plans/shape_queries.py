@@ -50,7 +50,7 @@ BIG_SUMMARY_SQL = with_views("pts_big") + " select cloud, count(*) as n, " + ",
 
 
 def distribution(spark, d):
-    return rounded(G.distribution(X.pts_big(spark, d), "y"), 8)
+    return rounded(G.distribution(X.pts_big(spark, d).withColumn("root", F.sqrt("y")), "root"), 8)
 
 
 def dist_sql(rel, v, places=6):
@@ -58,7 +58,7 @@ def dist_sql(rel, v, places=6):
     return f"select cloud, {r(f'min({v})', 'min')}, {r(f'max({v})', 'max')}, {r(f'avg({v})', 'mean')}, {r(f'stddev_pop({v})', 'std')}, {q} from {rel} group by 1"
 
 
-DISTRIBUTION_SQL = with_views("pts_big") + " " + dist_sql("pts_big", "y", 8)
+DISTRIBUTION_SQL = with_views("pts_big") + " " + dist_sql("pts_big", "sqrt(y)", 8)
 
 
 def knn(k, view="pts_small"):
