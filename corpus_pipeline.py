@@ -41,9 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that overlap with no benchmark item. Rows are told apart by id and text, as ids may be null or repeat."""
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.encode("text", "UTF-8")))
-    keyed = docs.withColumn("_key", key)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"), F.col("text").alias("text"))
     found = find_overlaps(keyed.select("_key", "text"), table(spark, sf_dir, "benchmark"), id_col="_key").select("_key").distinct()
-    return keyed.join(found, "_key", "left_anti").select(*docs.columns)
+    return keyed.join(found, "_key", "left_anti").select("_row.*")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -278,8 +278,8 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The rows of `docs` whose id is their class's id; of rows that repeat that id in one class, one. Rows with a
     null id whose class has no id stay."""
     ids = similar_classes(docs, id_col=id_col, text_col=text_col, **options)
-    keep = ids.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    keep = ids.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("id")).distinct()
+    kept = docs.alias("d").join(keep.alias("k"), F.expr(f"d.`{id_col}` <=> k.id"), "left_semi")
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
 
 

@@ -104,7 +104,7 @@ def nearest_neighbours(
     max_lists: int = 4096,
     replicas: int = 4,
     boundary: float = 1.03,
-    ratio: float = 1.1,
+    ratio: float = 1.15,
     group_rows: int = 20_000,
 ) -> DataFrame:
     """For every query the `k` rows of largest inner product found, itself (by id) excluded, ties to the smaller id.

@@ -1,0 +1,463 @@
+"""The corpus operators against brute force, exact round trips and held-out labels, and their edge cases."""
+
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from partloom.llm import (
+    common, decontaminate, jaccard_join, language_id, license_scan, line_dedup, nearest, piece_lattice, quality, queries, sharding, suffix_dedup, tokens,
+)
+
+CLASH = ["id", "key", "tkey", "size", "leaf", "score", "lang_pred", "shard", "slot", "part", "digest", "norm", "line", "sim", "v", "_removed", "_key", "root", "removed"]
+
+
+def prose(seed, words=120):
+    r = random.Random(seed)
+    vocabulary = [f"{a}{b}{c}" for a in ("th", "er", "on", "an", "ea", "st") for b in ("ti", "nd", "ou", "re") for c in ("", "ly", "ing", "ble")]
+    return " ".join(r.choice(vocabulary) for _ in range(words))
+
+
+@pytest.fixture(scope="module")
+def nasty(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, and extra columns with clashing names."""
+    long = "\n".join(prose(i, 60) for i in range(400)) + " " + "x" * 100_000
+    rows = [
+        (1, None, "en"), (2, "", "en"), (3, long, "en"), (4, prose(1), None), (4, prose(1), None), (5, prose(1), "en"), (None, prose(2), "fr"), (None, None, None),
+        (6, "!!! ???", "en"), (7, "é ü ▁ 𐍈 \u0000 \t\n\n", "fr"), (8, "one", "en"), (9, prose(2) + " more", "fr"), (10, long, "en"),
+    ]
+    df = spark.createDataFrame([(i, t, g, None, None) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.select("*", *(F.lit(f"clash-{c}").alias(c) for c in CLASH)).repartition(3)
+
+
+def empty(df):
+    return df.limit(0)
+
+
+# --- 1 ---
+
+
+def brute_paths(m, text):
+    s = (" " + text).replace(piece_lattice.SPACE, "￿").replace(" ", piece_lattice.SPACE)
+    by = collections.defaultdict(list)
+    for e in m.lattice(s):
+        by[e[0]].append(e)
+    out = []
+
+    def go(at, score):
+        if at == len(s):
+            out.append(score)
+        for e in by[at] if at < len(s) else ():
+            go(e[1], score + e[2])
+
+    go(0, 0)
+    return sorted(out, reverse=True)
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    with open(piece_lattice.MODEL, "rb") as f:
+        return f.read()
+
+
+def test_n_best_equals_all_paths(pieces):
+    m = piece_lattice.PieceModel(pieces)
+    for most in (1, 2, 5):
+        e = piece_lattice.Encoder(m, most, cache=3)
+        for text in ("", "a", "the cat", "no on", "é 𐍈", "a▁b", "  x", "a\nb", "on, on."):
+            got = e.encode(text)
+            assert [s for s, _ in got] == brute_paths(m, text)[:most]
+            assert len({x for _, x in got}) == len(got)
+            for s, x in got:
+                ids = np.frombuffer(x, np.int32).tolist()
+                assert m.decode(ids) == text
+
+
+def test_n_best_equals_library(pieces):
+    import sentencepiece as sp
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m, proto = piece_lattice.PieceModel(pieces), pb.ModelProto()
+    proto.ParseFromString(pieces)
+    proto.trainer_spec.model_type = 1
+    for i, p in enumerate(proto.pieces):
+        if p.type == 1:
+            p.score = m.score[i] / piece_lattice.UNIT
+    lib, e = sp.SentencePieceProcessor(model_proto=proto.SerializeToString()), piece_lattice.Encoder(m, 4)
+    for text in ("Thing of the onesen erblest", "le ouè eauenaux", "worthless erreingor###"):
+        assert [s for s, _ in e.encode(text)] == [sum(m.score[i] for i in ids) for ids in lib.nbest_encode_as_ids(text, 4)]
+
+
+def test_encode_edges(nasty):
+    got = piece_lattice.encode_texts(nasty, digests=True).collect()
+    assert len(got) == nasty.count()
+    assert all(r["decoded"] for r in got if r["scores"] is not None) and sum(r["scores"] is None for r in got) == 2
+    assert all(a >= b for r in got for a, b in zip(r["scores"] or [], (r["scores"] or [])[1:]))
+    assert piece_lattice.encode_texts(empty(nasty)).count() == 0
+
+
+# --- 2 ---
+
+
+@pytest.mark.parametrize("n,letters", [(0, 1), (1, 3), (50, 2), (3000, 3), (2000, 1)])
+def test_suffix_array(n, letters):
+    t = np.random.default_rng(n).integers(1, 1 + letters, n).astype(np.uint8)
+    raw, order = t.tobytes(), suffix_dedup.suffix_array(t, 400)
+    assert sorted(order.tolist()) == list(range(n))
+    keys = [raw[i : i + 400] for i in order]
+    assert keys == sorted(keys)
+    lcp = suffix_dedup.adjacent_prefixes(t, order, 400)
+    for x, y, k in zip(keys, keys[1:], lcp):
+        same = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
+        assert k == same or same == min(len(x), len(y))
+
+
+def brute_repeats(texts, n):
+    raw, count = [(t or "").encode() for t in texts], collections.Counter()
+    for b in raw:
+        count.update(b[i : i + n] for i in range(len(b) - n + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 1, np.int64)
+        for i in range(len(b) - n + 1):
+            if count[b[i : i + n]] > 1:
+                gone[i] += 1
+                gone[i + n] -= 1
+        gone = np.cumsum(gone)[: len(b)] > 0
+        edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
+        out.append((len(b), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("task_slices,segment", [(4096, 1 << 23), (1, 1 << 23), (4096, 700)])
+def test_repeats_equal_brute_force(spark, monkeypatch, task_slices, segment):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+    r, base = random.Random(5), prose(0, 400)
+    texts = [prose(i, 90) for i in range(10)] + [base, base, None, "", "short", "ab" * 600, "z" * 900]
+    for i in range(12):  # near copies and shared passages, byte-shifted
+        w = base.split()
+        w[r.randrange(len(w))] = f"edit{i}"
+        texts.append(prose(100 + i, 20) + " ".join(w)[r.randrange(300) :])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], len(x["spans"]), x["kept_sha256"]) for x in suffix_dedup.remove_repeats(df, task_slices=task_slices, sort_bytes=3000).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 400)
+
+
+def test_repeats_edges(nasty):
+    got = suffix_dedup.remove_repeats(nasty).collect()
+    want = collections.Counter(zip([r["doc_id"] for r in nasty.collect()], brute_repeats([r["text"] for r in nasty.collect()], 400)))
+    assert collections.Counter((r["doc_id"], (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"])) for r in got) == want
+    assert suffix_dedup.remove_repeats(empty(nasty)).count() == 0
+
+
+# --- 3 ---
+
+
+def brute_classes(rows):
+    sets = [set(s.tolist()) for s in jaccard_join.sets_of([t or "" for _, t in rows], 5)]
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [(rows[find(i)][0], links[i]) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("leaf_sets,max_depth", [(400, 6), (3, 3)])
+def test_classes_equal_brute_force(spark, leaf_sets, max_depth):
+    r, rows = random.Random(7), []
+    for c in range(12):
+        w = prose(c, 200).split()
+        for k in range(1 + c):
+            v = list(w)
+            for _ in range(r.randrange(5)):
+                v[r.randrange(len(v))] = f"w{r.randrange(9)}"
+            rows.append((len(rows), " ".join(v)))
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.99999, leaf_sets=leaf_sets, max_depth=max_depth).collect()}
+    assert [got[i] for i, _ in rows] == brute_classes(rows)
+
+
+def test_classes_edges(nasty):
+    got = jaccard_join.similar_classes(nasty).collect()
+    assert len(got) == nasty.count()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r["doc_id"]].add((r["class_id"], r["n_links"]))
+    assert by[1] == {(1, 0)} and by[2] == {(2, 0)} and by[4] == {(4, 2)} and by[5] == {(4, 2)} and by[10] == {(3, 1)} and by[9] == {(9, 1)}
+    assert jaccard_join.similar_classes(empty(nasty)).count() == 0
+    left = jaccard_join.one_of_each(nasty)
+    assert left.columns == nasty.columns and sorted(r["doc_id"] for r in left.collect() if r["doc_id"]) == [1, 2, 3, 4, 6, 7, 8, 9]
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201)]
+    got = {r["node"]: r["root"] for r in common.components(common.Scratch(spark), spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{100 + k: 100 for k in range(30)}, 200: 200, 201: 200}
+    assert common.components(common.Scratch(spark), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 4 ---
+
+
+def test_overlaps(spark, nasty):
+    item = prose(50, 40)
+    w = item.split()
+    for k in (5, 14, 22, 33):
+        w[k] = "swapped"
+    docs = spark.createDataFrame([(1, prose(1) + " " + item.upper() + "! " + prose(2)), (2, prose(3) + " " + " ".join(w)), (3, prose(4)), (4, " ".join(item.split()[:9]) + " " + prose(5)), (5, "alpha beta gamma delta epsilon zeta"), (6, None), (1, prose(1) + " " + item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, prose(51, 30)), (12, "beta gamma delta epsilon zeta"), (13, "one two"), (14, None), (10, item)], "item_id long, text string")
+    for block in (2_000_000, 50):
+        got = decontaminate.find_overlaps(docs, bench, block_chars=block).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 10), (1, 10), (2, 10), (5, 12)]
+        assert {(r["n_tokens"], r["n_equal"]) for r in got if r["doc_id"] == 1} == {(40, 40)}
+        assert [r["n_equal"] for r in got if r["doc_id"] == 2] == [36]
+    found = decontaminate.find_overlaps(nasty, bench).collect()  # the long text holds what these seeds make
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(3, 10), (3, 11), (10, 10), (10, 11)]
+    assert decontaminate.find_overlaps(empty(docs), bench).count() == 0 and decontaminate.find_overlaps(docs, empty(bench)).count() == 0
+
+
+def test_seeds_skip_ignored_places():
+    a, b = np.arange(1, 10, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
+    for mask in decontaminate.MASKS:
+        c = b.copy()
+        c[[i for i, x in enumerate(mask) if x == "0"]] = 99
+        assert decontaminate.seed_hashes(a, mask) == decontaminate.seed_hashes(c, mask)
+        c[0] = 99
+        assert decontaminate.seed_hashes(a, mask) != decontaminate.seed_hashes(c, mask)
+
+
+# --- 5 ---
+
+
+def test_licenses(spark, nasty):
+    mit = license_scan.KNOWN["MIT"]
+    other = "MIT License text\n\n" + mit
+    spelled = "Copyright (c) 2020 Some One\n\n  " + mit.upper().replace("SUBLICENSE", "sublicence").replace(",", " ;").replace('"', "“") + "\nAll rights reserved."
+    docs = spark.createDataFrame([(1, mit), (2, spelled), (3, other), (4, "text\nReleased under the MIT license!\nmore"), (5, None), (6, ""), (2, spelled)], "doc_id long, text string")
+    got = license_scan.scan_licenses(docs, license_scan.known_digests(spark)).collect()
+    assert sorted((r["doc_id"], r["license_id"], r["n_notices"]) for r in got if r["license_id"]) == [(1, "MIT", 0), (2, "MIT", 0), (2, "MIT", 0)]
+    assert [r["notices"] for r in got if r["doc_id"] == 4] == [["MIT-notice"]]
+    assert len(got) == 7 and license_scan.scan_licenses(nasty, license_scan.known_digests(spark), broadcast_rows=1).count() == nasty.count()
+    assert license_scan.scan_licenses(empty(nasty), license_scan.known_digests(spark)).count() == 0
+
+
+# --- 6 ---
+
+
+def test_lines(spark):
+    line = prose(1, 40)
+    near = line.replace(line.split()[20], line.split()[20] + "s", 1)
+    docs = spark.createDataFrame([(1, f"Alpha.\n{line}\n{prose(2, 30)}"), (2, f"Alpha.\n{line.upper()}!\n{prose(3, 30)}"), (3, f"{near}\n{near}"), (4, prose(4, 30)), (5, None), (6, "")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in line_dedup.repeated_lines(docs).collect()}
+    assert got[1] == (3, []) and got[2] == (3, [1]) and got[4] == (1, []) and got[5] == (0, []) and got[6] == (1, [])
+    assert got[3][1] in ([0, 1], [1])  # the near line goes too if two of its SimHash's blocks agree
+    left = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert left[2] == f"Alpha.\n{prose(3, 30)}" and left[6] == "" and left[5] is None and left[1].startswith("Alpha")
+
+
+def test_large_blocks_find_the_same_groups(spark):
+    r, rows = random.Random(11), []
+    for c in range(4):
+        w = prose(c, 60).split()
+        for k in range(30):
+            v = list(w)
+            v[r.randrange(60)] += r.choice("abc")
+            rows.append((len(rows), " ".join(v)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda small: sorted(x["doc_id"] for x in line_dedup.repeated_lines(docs, small=small).collect() if not x["removed"])
+    assert kept(1) == kept(1000) and len(kept(1000)) < 120
+
+
+def test_simhash_equals_plain(spark):
+    lines = [(i, prose(i, 1 + 7 * i)) for i in range(8)]
+    df = spark.createDataFrame(lines, "line long, norm string")
+    h = {r["w"]: r["h"] for r in df.select(F.explode(F.split("norm", " ")).alias("w")).distinct().select("w", F.xxhash64("w").alias("h")).collect()}
+    for r in line_dedup.simhash(df, "line", F.split("norm", " ")).collect():
+        words = dict(lines)[r["line"]].split(" ")
+        want = sum(1 << b for b in range(64) if 2 * sum(h[w] >> b & 1 for w in words) > len(words))
+        assert r["sim"] % (1 << 64) == want
+
+
+def test_line_edges(nasty):
+    got = line_dedup.repeated_lines(nasty).collect()
+    assert len(got) == nasty.count() and all(r["removed"] == [] for r in got if r["doc_id"] == 1)
+    assert line_dedup.repeated_lines(empty(nasty)).count() == 0
+    left = line_dedup.without_repeated_lines(nasty)
+    assert left.columns == nasty.columns and {r["doc_id"] for r in left.collect()} >= {1, 2, 3, 6, 7, 8}
+    assert {r["source"] for r in left.collect()} == {None} and {r["removed"] for r in left.collect()} == {"clash-removed"}
+
+
+# --- 7 and 9 ---
+
+
+def crc(i, n):
+    return zlib.crc32(str(i).encode()) % n
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.queries()["op7_quality"](spark, sf).collect()}
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [i for i in truth if crc(i, 5) == 0]
+    assert all(got[i]["held_out"] == (crc(i, 5) == 0) for i in got) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+    assert sum(got[i]["predicted"] == truth[i] for i in held) / len(held) > 0.95
+
+
+def test_quality_scores_equal_plain():
+    rng = np.random.default_rng(2)
+    z, v, y = rng.normal(size=(20, 8)).astype(np.float32), rng.normal(size=(300, 8)).astype(np.float32), rng.integers(0, 2, 300).astype(np.float32)
+    m = quality.QualityModel(None, None, v, y)
+    s = z @ v.T
+    for block in (7, 64, 1000):
+        got = m.score(z, 9, 4, block)
+        for i in range(20):
+            near = np.argsort(-s[i])[:9]
+            w = np.maximum(s[i][near], 0) ** 4
+            assert got[i] == pytest.approx((w * y[near]).sum() / w.sum(), rel=1e-4)
+
+
+def test_quality_edges(spark, nasty):
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (4, 1, 0), (None, 1, 1), (9, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(nasty, quality.fit_quality(nasty, labels)).collect()
+    assert len(got) == nasty.count() and all(r["score"] == 0 for r in got if r["doc_id"] in (1, 2))
+    assert quality.classify(empty(nasty), quality.fit_quality(empty(nasty), labels)).count() == 0
+    assert {r["score"] for r in quality.classify(nasty, quality.fit_quality(nasty, empty(labels))).collect()} == {0}
+
+
+def test_language_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.queries()["op9_language_id"](spark, sf).collect()}
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = [i for i in truth if crc(i, 4) == 2]
+    assert len(got) == len(truth) and all(got[i]["held_out"] == (crc(i, 4) == 2) for i in truth)
+    assert sum(got[i]["lang_pred"] == truth[i] for i in held) / len(held) > 0.98
+
+
+def test_language_backs_off():
+    m = language_id.LanguageModel(["a", "b"], [{"known": 0}, {"x": 0}, {"kn": 0, "xy": 1}, {}, {}, {}], [np.array([[-1.0, -2.0]]), np.array([[-3.0, -4.0]]), np.array([[-5.0, -6.0], [-7.0, -1.0]]), *[np.zeros((0, 2))] * 3])
+    assert m.row("known").tolist() == [-1, -2] and m.row("xy").tolist() == [-7, -1] and m.row("xkn").tolist() == [-5, -6] and m.row("qx").tolist() == [-3, -4]
+    assert m.row("qqq").tolist() == [-2, -2]
+
+
+def test_language_edges(nasty):
+    model = language_id.fit_languages(nasty)
+    got = language_id.identify(nasty, model).collect()
+    assert len(got) == nasty.count() and all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if r["doc_id"] in (1, 2, 6))
+    assert {r["lang_pred"] for r in got if r["doc_id"] == 8} <= {"en", "fr"}
+    none = language_id.fit_languages(empty(nasty))
+    assert {r["lang_pred"] for r in language_id.identify(nasty, none).collect()} == {"und"} and language_id.identify(empty(nasty), model).count() == 0
+
+
+# --- 8 ---
+
+
+def test_shards(spark, sf, nasty):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    hot = docs.union(docs.where("doc_id = 0").select(F.explode(F.sequence(F.lit(10_000), F.lit(10_099))).alias("doc_id"), *docs.columns[1:]))
+    for df in (docs, hot):
+        got = sharding.shard_by_bytes(df).toPandas()
+        text = {r["doc_id"]: r["text"] for r in df.collect()}
+        assert sorted(got["doc_id"]) == sorted(text)
+        assert all(s == len(text[i].encode()) + 1 and c == zlib.crc32(text[i].encode()) for i, s, c in zip(got["doc_id"], got["size"], got["text_crc32"]))
+        for _, g in got.groupby("shard"):
+            assert sorted(g["slot"]) == list(range(len(g)))
+        weight = got.groupby("shard")["size"].sum().reindex(range(16), fill_value=0)
+        largest = max(got["size"].max(), got["size"].sum() // 2048)
+        assert weight.max() - weight.min() <= 2 * largest + 0.02 * got["size"].sum() / 16
+    assert sharding.shard_by_bytes(nasty).count() == nasty.count() and sharding.shard_by_bytes(empty(nasty)).count() == 0
+    a, b = (sorted(map(tuple, sharding.shard_by_bytes(docs.repartition(n)).collect())) for n in (2, 5))
+    assert a == b
+
+
+# --- 10 ---
+
+
+def brute_nearest(rows, k):
+    rows = {i: v for i, v in rows if v and len(v) == 4 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    out = {}
+    for q in rows:
+        s = sorted(((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q))
+        out[q] = [i for _, i in s[:k]]
+    return out
+
+
+def test_nearest_edges(spark):
+    r = random.Random(1)
+    rows = [(i, [float(r.randrange(-3, 4)) for _ in range(4)]) for i in range(60)] + [(100 + i, [1.0, 0.0, -0.0, 2.0]) for i in range(50)]
+    rows += [(200, None), (201, [0.0] * 4), (202, [1.0, None, 2.0, 3.0]), (203, [float("nan"), 1.0, 1.0, 1.0]), (204, [float("inf"), 1.0, 1.0, 1.0]), (205, [1.0, 2.0]), (None, [1.0, 1.0, 1.0, 1.0]), (7, dict(rows)[7])]
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "vec_id long, embedding array<float>, key string").repartition(3)
+    want = brute_nearest([x for x in rows if x[0] is not None], 20)
+    for lists in (512, 8):
+        got = collections.defaultdict(list)
+        for x in nearest.nearest_neighbours(df, df, list_size=lists, ratio=1e9, group_rows=10).collect():
+            got[x["query_id"]].append((x["rank"], x["vec_id"]))
+        assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: v for q, v in want.items()}
+    assert nearest.nearest_neighbours(empty(df), df).count() == 0 and nearest.nearest_neighbours(df, empty(df)).count() == 0
+    few = df.where("vec_id < 5")
+    assert nearest.nearest_neighbours(few, few).groupBy("query_id").count().select("count").distinct().collect()[0][0] <= 4
+
+
+def test_nearest_recall(spark):
+    """Recall with the production settings on unclustered vectors, many lists."""
+    x = np.random.default_rng(8).normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = nearest.nearest_neighbours(df, df.where("vec_id % 100 = 0"), list_size=100).collect()
+    s = x.astype(np.float32).astype(np.float64) @ x.astype(np.float32).astype(np.float64)[::100].T
+    hits = 0
+    for c in range(40):
+        s[c * 100, c] = -9
+        top = set(np.argsort(-s[:, c])[:20].tolist())
+        hits += len(top & {r["vec_id"] for r in got if r["query_id"] == c * 100})
+    assert hits / 800 >= 0.9
+
+
+# --- all ---
+
+
+def test_word_hashes():
+    h, at = tokens.words_of(["The cat, the CAT", "", "día 12 dia", "x_y"])
+    assert np.diff(at).tolist() == [4, 0, 3, 2] and h[0] == h[2] and h[1] == h[3] and h[4] != h[6]
+    s, sat = tokens.shingles(h, at, 3)
+    assert np.diff(sat).tolist() == [2, 0, 1, 1]
+
+
+def test_pipeline(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    scratch, cur = common.Scratch(spark), docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        nxt = scratch.cut(stage(spark, cur, sf))
+        assert nxt.columns == docs.columns, name
+        before, after = {r["doc_id"] for r in cur.collect()}, {r["doc_id"] for r in nxt.collect()}
+        assert after <= before and after
+        if name == "jaccard_join":
+            rows = [(r["doc_id"], r["text"]) for r in cur.orderBy("doc_id").collect()]
+            assert after == {c for c, _ in brute_classes(rows)}
+        if name == "decontaminate":
+            hit = {r["doc_id"] for r in decontaminate.find_overlaps(cur, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+            assert after == before - hit
+        cur = nxt
+    out = corpus_pipeline.STAGES[-1][1](spark, cur, sf).collect()
+    assert len(out) == cur.count() and all(r["decoded"] for r in out)
+
+
+def test_pipeline_takes_nasty_rows(spark, sf, nasty):
+    cur = nasty
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        cur = common.Scratch(spark).cut(stage(spark, cur, sf))
+        assert cur.columns == nasty.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, cur, sf).count() == cur.count()
