@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,8 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        gc.collect()  # plans that are done with let go of their shuffle files, which else fill the disks until the
+        self.spark._jvm.System.gc()  # driver happens to collect its garbage
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
