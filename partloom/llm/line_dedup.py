@@ -1,8 +1,8 @@
-"""Fuzzy line dedup: SimHash of normalised lines, join on blocks, edit similarity, one occurrence per group."""
+"""Fuzzy line dedup: join of normalised lines on their rarest word runs, edit similarity, one occurrence per group."""
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,8 @@ from partloom.llm.common import Scratch, components, table
 
 BITS = 64
 LANES = 3  # counters of 21 bits in one long
-BLOCKS = 4
+RUN = 4  # words in a run, at most
+HASH_BITS = 40
 
 
 def normalised(text: Column) -> Column:
@@ -43,11 +44,17 @@ def simhash(lines: DataFrame, key: str, words: Column) -> DataFrame:
     return counted.select(key, sim.alias("sim"))
 
 
-def _blocks(sim: Column) -> Column:
-    """For each pair of the four 16-bit blocks its number and bits: two hashes that differ in at most two bits, and
-    most that differ in a few more, have two equal blocks."""
-    part = lambda i: F.shiftrightunsigned(sim, 16 * i).bitwiseAND(F.lit(0xFFFF))
-    return F.array(*(F.shiftleft(part(i), 16).bitwiseOR(part(j)).bitwiseOR(F.lit(t << 32)) for t, (i, j) in enumerate(combinations(range(BLOCKS), 2))))
+def _run_words(similarity: float) -> int:
+    """Words in a run: so few that the edits which `similarity` allows cannot break all runs of a line."""
+    free = similarity / (1 - similarity)  # words of a line for one edit
+    return max(1, min(RUN, math.ceil((free + 1) / 2 - 1e-9) - 1))
+
+
+def _runs(norm: Column, words: int) -> Column:
+    """Hashes of the distinct runs of `words` words."""
+    at = lambda w: F.sequence(F.lit(0), F.size(w) - words)
+    one = lambda w, i: F.shiftrightunsigned(F.xxhash64(*(F.get(w, i + j) for j in range(words))), 64 - HASH_BITS)
+    return F.get(F.transform(F.array(F.split(norm, " ")), lambda w: F.array_distinct(F.transform(at(w), lambda i: one(w, i)))), F.lit(0))
 
 
 def word_string(norm: Column) -> Column:
@@ -65,22 +72,42 @@ def _similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     return both.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b", "la", "lb")
 
 
-def _near(p: str, q: str, radius: int) -> Column:
-    return F.bit_count(F.col(p).bitwiseXOR(F.col(q))) <= radius
+def _bitmap(hashes: DataFrame, bits: int) -> DataFrame:
+    """Which of `bits` places the hashes `h` take, as a table of words of 64 places: its size is `bits` / 64 rows at most."""
+    place = F.pmod("h", F.lit(bits))
+    return hashes.groupBy(F.shiftright(place, 6).alias("bucket")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}L) % 64 as int))")).alias("bits"))
 
 
-def _bitmap(lids: DataFrame, bits: int) -> DataFrame:
-    """Which of `bits` hash places the numbers take, as a table of 4 KB bitmaps: its size is `bits` / 8 at most."""
-    place = F.pmod("lid", F.lit(bits))
-    return lids.groupBy((place / 32768).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(place % 32768).alias("bits"))
+def _in_bitmap(df: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
+    """Rows whose `h` may be among the bitmap's hashes; the others are dropped before any shuffle."""
+    rows = df.withColumn("bucket", F.shiftright(F.pmod("h", F.lit(bits)), 6))
+    bit = F.expr(f"shiftrightunsigned(bits, cast(pmod(h, {bits}L) % 64 as int)) & 1L = 1L")
+    return rows.join(F.broadcast(bitmap), "bucket").where(bit).drop("bucket", "bits")
 
 
-def _in_bitmap(df: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
-    """Rows whose `lid` may be among the bitmap's numbers; the others are dropped before any shuffle."""
-    place = F.pmod("lid", F.lit(bits))
-    rows = df.withColumn("bucket", (place / 32768).cast("int")).withColumn("place", (place % 32768).cast("int"))
-    bit = F.expr("shiftright(cast(conv(hex(substring(bits, place div 8 + 1, 1)), 16, 10) as int), place % 8) & 1 = 1")
-    return rows.join(F.broadcast(bitmap), "bucket").where(bit).drop("bucket", "place", "bits")
+def _candidates(scratch: Scratch, texts: DataFrame, similarity: float, filter_bits: int) -> DataFrame:
+    """Of the lines (lid, norm): rows (block, lid) such that any two of sufficient similarity share a block.
+
+    A line of n words is at most n * (1 - similarity) / similarity = k edits from a partner, and an edit breaks as many
+    distinct runs of words as a run has words, w. All runs are ordered by how many lines have them. Of the first w * k + 1
+    runs of two similar lines at least one is the same, because else one of the two had w * k + 1 runs the other has not.
+    Runs of one line only come first and are no blocks; a line that has w * k + 1 of them has no partner.
+    """
+    words = _run_words(similarity)
+    edits = F.floor(F.size(F.split("norm", " ")) * ((1 - similarity) / similarity) + 1e-9).cast("int")
+    long = texts.withColumn("need", edits * words + 1).where(F.col("need") > words)
+
+    def runs(df: DataFrame) -> DataFrame:
+        return df.select("lid", "need", _runs(F.col("norm"), words).alias("runs")).select("lid", "need", F.size("runs").alias("m"), F.explode("runs").alias("h"))
+
+    common = scratch.cut(runs(long).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    may = _in_bitmap(runs(long), _bitmap(common, filter_bits), filter_bits)
+    left = scratch.cut(may.groupBy("lid", "need", "m").agg(F.count("*").alias("c")).where("m - c < need").select("lid"))
+    ranked = runs(long.join(left, "lid", "left_semi")).join(common, "h").groupBy("lid", "need", "m").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("r"))
+    first = ranked.withColumn("take", F.expr("need - (m - size(r))")).where("take > 0").select("lid", F.explode(F.slice("r", F.lit(1), F.col("take"))).alias("r"))
+    dealt = scratch.cut(first.select("lid", F.col("r.h").alias("block")))
+    sizes = dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    return scratch.cut(dealt.join(sizes, "block"))
 
 
 def repeated_lines(
@@ -90,7 +117,6 @@ def repeated_lines(
     text_col: str = "text",
     similarity: float = 0.9,
     min_chars: int = 30,
-    radius: int = 10,
     small: int = 32,
     filter_bits: int = 1 << 26,
 ) -> DataFrame:
@@ -98,16 +124,16 @@ def repeated_lines(
 
     A line is what stands between line ends; its normal form (`normalised`, trimmed) needs at least `min_chars`
     characters to be compared: shorter lines recur by chance and stay. Lines of equal normal form are one. Others are
-    candidates if two of four blocks of their SimHash agree, and are linked if the hashes differ in at most `radius`
-    bits and the edit similarity of their words, 1 - distance / words of the longer one, is at least `similarity`. Of every connected group the occurrence
-    with the smallest (id, text hash, line number) stays; nulls come first.
+    linked if the edit similarity of their words, 1 - distance / words of the longer one, is at least `similarity`;
+    `_candidates` names all pairs that can reach it. Of every connected group the occurrence with the smallest
+    (id, text hash, line number) stays; nulls come first.
 
     Blocks of up to `small` lines are compared pair by pair. In larger ones, rounds compare some representatives, eight
     at first and four times as many in each further round, with all lines of the block; who is linked with one needs no
     further partner there, because the two are connected and every line not yet linked will be a representative itself.
     So a block of near copies takes one round of eight rows a line, and only lines that are like no other there are
-    compared with the whole block. Words are compared as one character each. The lines' texts are shuffled
-    only where a bitmap of `filter_bits` bits, which is broadcast, says that they may be candidates.
+    compared with the whole block. Words are compared as one character each. Runs that one line only has are thinned
+    out by a bitmap of `filter_bits` bits, which is broadcast.
 
     Returns one row per row of `docs`: `id_col, text_hash, n_lines, removed` (array of line numbers from 0). Null text:
     no lines. Empty text: one empty line. Rows that agree in id and text count as one document and get equal rows.
@@ -121,26 +147,23 @@ def repeated_lines(
     lines = scratch.cut(split.withColumn("line", F.unhex(F.md5(F.encode("norm", "UTF-8")))))
 
     first = F.min(F.struct("id", "th", "pos")).alias("first")
-    groups = scratch.cut(lines.groupBy("line").agg(first, F.count("*").alias("copies")))
+    groups = scratch.cut(lines.groupBy("line").agg(first, F.count("*").alias("copies"), F.max("norm").alias("norm")))
+    whole, lines = lines, scratch.cut(lines.select("line", "id", "th", "pos"))
+    scratch.drop(whole)
     # In the block join lines go by short numbers; lines that share a number are all compared, so none is mistaken.
-    sims = scratch.cut(simhash(lines, "line", F.split("norm", " ")).withColumn("lid", F.xxhash64("line")))
-    dealt = sims.select("lid", F.explode(_blocks(F.col("sim"))).alias("block"))
-    sizes = dealt.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.cut(dealt.join(sizes, "block").join(sims.select("lid", "sim"), "lid"))
-
-    wanted = met.select("lid").distinct()
-    may = _in_bitmap(lines.select("line", "norm").withColumn("lid", F.xxhash64("line")), _bitmap(wanted, filter_bits), filter_bits)
-    texts = may.join(wanted, "lid", "left_semi").groupBy("lid", "line").agg(F.max("norm").alias("norm"))
+    numbered = groups.select(F.xxhash64("line").alias("lid"), "line", "norm")
+    met = _candidates(scratch, numbered.select("lid", "norm"), similarity, filter_bits)
+    texts = numbered.join(met.select("lid").distinct(), "lid", "left_semi")
     texts = scratch.cut(texts.select("lid", "line", word_string(F.col("norm")).alias("words")))
-    few, many = met.where(F.col("n") <= small), met.where(F.col("n") > small).select("block", "lid", "sim")
-    side = lambda df, lid, sim: df.select("block", F.col("lid").alias(lid), F.col("sim").alias(sim))
-    pairs = side(few, "a", "p").join(side(few, "b", "q"), "block").where("a < b").where(_near("p", "q", radius)).select("a", "b").distinct()
+    few, many = met.where(F.col("n") <= small), met.where(F.col("n") > small).select("block", "lid")
+    side = lambda df, lid: df.select("block", F.col("lid").alias(lid))
+    pairs = side(few, "a").join(side(few, "b"), "block").where("a < b").select("a", "b").distinct()
     links = scratch.cut(_similar(pairs, texts, similarity)).select("la", "lb")
 
     open_, most = many, 8
     while not open_.isEmpty():
-        chosen = open_.groupBy("block", F.pmod(F.xxhash64("lid"), F.lit(most)).alias("part")).agg(F.min(F.struct("lid", "sim")).alias("r")).select("block", F.col("r.lid").alias("a"), F.col("r.sim").alias("p"))
-        pairs = scratch.cut(chosen.join(side(many, "b", "q"), "block").where("a <> b").where(_near("p", "q", radius)).select("block", "a", "b"))
+        chosen = open_.groupBy("block", F.pmod(F.xxhash64("lid"), F.lit(most)).alias("part")).agg(F.min("lid").alias("a")).select("block", "a")
+        pairs = scratch.cut(chosen.join(side(many, "b"), "block").where("a <> b").select("block", "a", "b"))
         found = scratch.cut(_similar(pairs.select("a", "b").distinct(), texts, similarity))
         links = links.union(found.select("la", "lb"))
         settled = pairs.join(found, ["a", "b"]).select("block", F.col("b").alias("lid")).union(chosen.select("block", F.col("a").alias("lid")))
@@ -149,7 +172,7 @@ def repeated_lines(
         open_, most = new, 4 * most
 
     roots = components(scratch, links.selectExpr("la a", "lb b")).withColumnRenamed("node", "line")
-    of = groups.join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
+    of = groups.drop("norm").join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
     keep = of.groupBy("root").agg(F.min("first").alias("keep"), F.sum("copies").alias("total")).where("total > 1")
     known = of.select("line", "root").join(keep, "root").select("line", "keep")
     gone = lines.select("line", "id", "th", "pos").join(known, "line").where(~F.struct("id", "th", "pos").eqNullSafe(F.col("keep")))

@@ -282,6 +282,49 @@ def test_large_blocks_find_the_same_groups(spark):
     assert kept(1) == kept(1000) and len(kept(1000)) < 120
 
 
+def word_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def brute_lines(lines):
+    """Which of the lines stay: the first of every group connected by a word edit similarity of 0.9."""
+    w, root = [x.split(" ") for x in lines], list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(w)):
+        for j in range(i):
+            most = max(len(w[i]), len(w[j])) // 10
+            if abs(len(w[i]) - len(w[j])) <= most and word_distance(w[i], w[j]) <= most:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [i for i in range(len(w)) if find(i) == i]
+
+
+def test_near_lines_equal_brute_force(spark):
+    """One word in ten to fifty replaced, left out or added."""
+    r, lines = random.Random(13), []
+    for n, edits in ((10, 1), (20, 1), (20, 2), (30, 3), (50, 1), (50, 5), (9, 1), (19, 2), (12, 2)):
+        for _ in range(6):
+            w = [f"{prose(r.randrange(10**6), 1)}{r.randrange(40)}" for _ in range(n)]
+            v = list(w)
+            for e in range(edits):
+                at, kind = r.randrange(len(v)), r.randrange(3)
+                v[at : at + (kind != 2)] = [] if kind == 1 else [f"edit{e}"]
+            lines += [" ".join(w), " ".join(v)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = sorted(x["doc_id"] for x in line_dedup.repeated_lines(docs, min_chars=1).collect() if not x["removed"])
+    assert kept == brute_lines(lines) and len(kept) < len(lines) - 30
+
+
 def test_simhash_equals_plain(spark):
     lines = [(i, prose(i, 1 + 7 * i)) for i in range(8)]
     df = spark.createDataFrame(lines, "line long, norm string")
