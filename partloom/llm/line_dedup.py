@@ -128,12 +128,12 @@ def repeated_lines(
     `_candidates` names all pairs that can reach it. Of every connected group the occurrence with the smallest
     (id, text hash, line number) stays; nulls come first.
 
-    Blocks of up to `small` lines are compared pair by pair. In larger ones, rounds compare some representatives, eight
-    at first and four times as many in each further round, with all lines of the block; who is linked with one needs no
-    further partner there, because the two are connected and every line not yet linked will be a representative itself.
-    So a block of near copies takes one round of eight rows a line, and only lines that are like no other there are
-    compared with the whole block. Words are compared as one character each. Runs that one line only has are thinned
-    out by a bitmap of `filter_bits` bits, which is broadcast.
+    Blocks of up to `small` lines are compared pair by pair. In larger ones eight representatives are compared with all
+    lines of the block, and then all lines of the block that are not connected yet with each other: similarity is not
+    transitive, so a line that a representative settles may still be the only link to lines of another one. A block of
+    near copies thus takes eight rows a line, and only lines that are not connected are compared in pairs, dealt out
+    in parts. Words are compared as one character each. Runs that one line only has are thinned out by a bitmap of
+    `filter_bits` bits, which is broadcast.
 
     Returns one row per row of `docs`: `id_col, text_hash, n_lines, removed` (array of line numbers from 0). Null text:
     no lines. Empty text: one empty line. Rows that agree in id and text count as one document and get equal rows.
@@ -160,16 +160,20 @@ def repeated_lines(
     pairs = side(few, "a").join(side(few, "b"), "block").where("a < b").select("a", "b").distinct()
     links = scratch.cut(_similar(pairs, texts, similarity)).select("la", "lb")
 
-    open_, most = many, 8
-    while not open_.isEmpty():
-        chosen = open_.groupBy("block", F.pmod(F.xxhash64("lid"), F.lit(most)).alias("part")).agg(F.min("lid").alias("a")).select("block", "a")
-        pairs = scratch.cut(chosen.join(side(many, "b"), "block").where("a <> b").select("block", "a", "b"))
-        found = scratch.cut(_similar(pairs.select("a", "b").distinct(), texts, similarity))
-        links = links.union(found.select("la", "lb"))
-        settled = pairs.join(found, ["a", "b"]).select("block", F.col("b").alias("lid")).union(chosen.select("block", F.col("a").alias("lid")))
-        new = scratch.cut(open_.join(settled.distinct(), ["block", "lid"], "left_anti"))
-        scratch.drop(pairs)
-        open_, most = new, 4 * most
+    if not many.isEmpty():
+        chosen = many.groupBy("block", F.pmod(F.xxhash64("lid"), F.lit(8)).alias("part")).agg(F.min("lid").alias("a")).select("block", "a")
+        pairs = chosen.join(side(many, "b"), "block").where("a <> b").select("a", "b").distinct()
+        links = scratch.cut(links.union(_similar(pairs, texts, similarity).select("la", "lb")))
+        known = components(scratch, links.selectExpr("la a", "lb b")).withColumnRenamed("node", "line")
+        of = texts.select("lid", "line", F.length("words").alias("long")).join(known, "line", "left").select("lid", "long", F.coalesce("root", "line").alias("root"))
+        apart = many.join(of, "lid")
+        mixed = apart.groupBy("block").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count("*") / F.lit(8.0 * small)).cast("int").alias("parts")).where("r <> s")
+        apart = scratch.cut(apart.join(mixed.select("block", "parts"), "block"))
+        part = F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int")
+        x = apart.select("block", part.alias("part"), F.col("lid").alias("a"), F.col("long").alias("m"), F.col("root").alias("p"))
+        y = apart.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("lid").alias("b"), F.col("long").alias("n"), F.col("root").alias("q"))
+        near = x.join(y, ["block", "part"]).where("a < b and p <> q").where(f"abs(m - n) <= floor(greatest(m, n) * {1 - similarity:.6f}D + 1e-9)")
+        links = scratch.cut(links.union(_similar(near.select("a", "b").distinct(), texts, similarity).select("la", "lb")))
 
     roots = components(scratch, links.selectExpr("la a", "lb b")).withColumnRenamed("node", "line")
     of = groups.drop("norm").join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))

@@ -325,6 +325,23 @@ def test_near_lines_equal_brute_force(spark):
     assert kept == brute_lines(lines) and len(kept) < len(lines) - 30
 
 
+def linked_groups(seed):
+    """Two groups of lines; the first two lines, which are no centres, are the only link between the groups."""
+    zone = [2 * i for i in range(8)]
+    one, two = ([f"{c}{i}" if i in zone else f"word{seed}x{i}" for i in range(60)] for c in "pq")
+    b, d = list(one), list(two)
+    b[0], b[8], b[59], d[4], d[12], d[59] = two[0], two[8], "mine", one[4], one[12], "other"
+    return [" ".join(b), " ".join(d)] + [" ".join(f"own{k}" if i == 18 + k % 40 else x for i, x in enumerate(w)) for w in (one, two) for k in range(60)]
+
+
+def test_large_blocks_keep_a_single_link(spark):
+    lines = linked_groups(0)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert brute_lines(lines) == [0] and brute_lines(lines[1:]) == [0, 1]
+    kept = sorted(x["doc_id"] for x in line_dedup.repeated_lines(docs, small=8).collect() if not x["removed"])
+    assert kept == [0]
+
+
 def test_simhash_equals_plain(spark):
     lines = [(i, prose(i, 1 + 7 * i)) for i in range(8)]
     df = spark.createDataFrame(lines, "line long, norm string")
