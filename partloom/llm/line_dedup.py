@@ -117,13 +117,14 @@ def repeated_lines(
     text_col: str = "text",
     similarity: float = 0.9,
     min_chars: int = 30,
+    min_equal: int = 6,
     small: int = 32,
     filter_bits: int = 1 << 26,
 ) -> DataFrame:
     """Which lines of every document go, so that one occurrence of each group of equal or nearly equal lines stays.
 
-    A line is what stands between line ends; its normal form (`normalised`, trimmed) needs at least `min_chars`
-    characters to be compared: shorter lines recur by chance and stay. Lines of equal normal form are one. Others are
+    A line is what stands between line ends; its normal form (`normalised`, trimmed) needs `min_equal` characters
+    to be compared. Lines of equal normal form are one. Others, if they have `min_chars` characters, are
     linked if the edit similarity of their words, 1 - distance / words of the longer one, is at least `similarity`;
     `_candidates` names all pairs that can reach it. Of every connected group the occurrence with the smallest
     (id, text hash, line number) stays; nulls come first.
@@ -143,7 +144,7 @@ def repeated_lines(
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     split = rows.where("text is not null").select("id", "th", F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("pos", "norm"))
-    split = split.withColumn("norm", F.trim("norm")).where(F.length("norm") >= min_chars)
+    split = split.withColumn("norm", F.trim("norm")).where(F.length("norm") >= min(min_equal, min_chars))
     lines = scratch.cut(split.withColumn("line", F.unhex(F.md5(F.encode("norm", "UTF-8")))))
 
     first = F.min(F.struct("id", "th", "pos")).alias("first")
@@ -151,7 +152,7 @@ def repeated_lines(
     whole, lines = lines, scratch.cut(lines.select("line", "id", "th", "pos"))
     scratch.drop(whole)
     # In the block join lines go by short numbers; lines that share a number are all compared, so none is mistaken.
-    numbered = groups.select(F.xxhash64("line").alias("lid"), "line", "norm")
+    numbered = groups.where(F.length("norm") >= min_chars).select(F.xxhash64("line").alias("lid"), "line", "norm")
     met = _candidates(scratch, numbered.select("lid", "norm"), similarity, filter_bits)
     texts = numbered.join(met.select("lid").distinct(), "lid", "left_semi")
     texts = scratch.cut(texts.select("lid", "line", word_string(F.col("norm")).alias("words")))

@@ -342,6 +342,12 @@ def test_large_blocks_keep_a_single_link(spark):
     assert kept == [0]
 
 
+def test_equal_short_lines_go(spark):
+    docs = spark.createDataFrame([(1, "The end of it\none"), (2, "the end, of it!\ntwo"), (3, "Theand thble"), (4, "theand thble")], "doc_id long, text string")
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.repeated_lines(docs).collect()}
+    assert got == {1: [], 2: [0], 3: [], 4: [0]}
+
+
 def test_simhash_equals_plain(spark):
     lines = [(i, prose(i, 1 + 7 * i)) for i in range(8)]
     df = spark.createDataFrame(lines, "line long, norm string")
