@@ -187,17 +187,17 @@ def repeated_lines(
     return out.select(F.col("r.id").alias(id_col), F.col("r.th").alias("text_hash"), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 30, **options) -> DataFrame:
-    """`docs` with the text of what `repeated_lines` leaves. Rows that lose lines and keep no line of `min_chars`
-    are dropped; rows that lose none stay as they are, whatever their lines. All columns are kept."""
-    found = repeated_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, **options)
+def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`docs` with the text of what `repeated_lines` leaves. Rows that lose lines and keep only blank ones are
+    dropped; rows that lose none stay as they are, whatever their lines. All columns are kept."""
+    found = repeated_lines(docs, id_col=id_col, text_col=text_col, **options)
     lost = found.where("size(removed) > 0").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col("removed").alias("_removed")).distinct()
     held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_of"), F.col(text_col).alias("_text"))
     both = held.join(lost, F.col("_of").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_th")), "left")
     numbered = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     left = F.transform(F.filter(numbered, lambda s: ~F.array_contains("_removed", s["i"])), lambda s: s["x"])
     both = both.withColumn("_left", F.when(F.col("_removed").isNotNull(), left))
-    worth = F.exists("_left", lambda x: F.length(F.trim(normalised(x))) >= min_chars)
+    worth = F.exists("_left", lambda x: x.rlike(r"\S"))
     both = both.where(F.col("_removed").isNull() | worth)
     text = F.coalesce(F.array_join("_left", "\n"), F.col("_text")).alias(text_col)
     return both.select(*(text if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns))

@@ -348,6 +348,12 @@ def test_equal_short_lines_go(spark):
     assert got == {1: [], 2: [0], 3: [], 4: [0]}
 
 
+def test_short_lines_outlive_a_repeated_one(spark):
+    line = prose(1, 40)
+    docs = spark.createDataFrame([(1, line), (2, f"{line}\na rose\nis red"), (3, f"{line}\n  \n")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(docs).collect()} == {1: line, 2: "a rose\nis red"}
+
+
 def test_simhash_equals_plain(spark):
     lines = [(i, prose(i, 1 + 7 * i)) for i in range(8)]
     df = spark.createDataFrame(lines, "line long, norm string")
