@@ -14,6 +14,7 @@ U = np.uint64
 # Fixed masks over nine tokens: 1 is hashed, 0 is ignored.
 MASKS = ("110101101", "101110011", "111001011", "110011011")
 SPAN = 9
+WHOLE_RUN = 6  # equal tokens in a row that align a text and an item beside the masks: next to a replaced phrase
 SHORTEST = 5
 
 
@@ -39,7 +40,7 @@ class SeedIndex:
             keys, item, place = [], [], []
             for i in range(len(items)):
                 w = self.words[self.at[i] : self.at[i + 1]]
-                if (len(w) >= SPAN and len(mask) == SPAN) or len(w) == len(mask) < SPAN:
+                if (len(w) >= SPAN and len(mask) in (SPAN, WHOLE_RUN)) or len(w) == len(mask) < SPAN:
                     h = seed_hashes(w, mask)
                     keys.append(h)
                     item.append(np.full(len(h), i, np.int64))
@@ -76,6 +77,17 @@ def best_segment(same: np.ndarray, miss: int = 3) -> tuple[int, int]:
     return start, end
 
 
+def longest_segment(same: np.ndarray, share: float) -> tuple[int, int]:
+    """The longest run that starts and ends with equal tokens and has at least a `share` of them; the earliest on ties."""
+    at = np.flatnonzero(same)
+    total = np.concatenate([[0], np.cumsum(same - share)])
+    low = np.minimum.accumulate(total[at])
+    first = np.searchsorted(-low, -(total[at + 1] + 1e-9), "left")  # the earliest start that lies no higher than the end
+    n = at + 1 - at[first]
+    k = int(np.argmax(n))
+    return int(at[first[k]]), int(at[k]) + 1
+
+
 def find_overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -91,9 +103,9 @@ def find_overlaps(
     """The best overlap of every (document, benchmark item) that have one.
 
     Tokens are the lower-case runs of letters and digits. Four fixed masks over nine tokens ignore three of them each;
-    a document and an item that agree under a mask are aligned there and compared along the whole alignment: the
-    segment with the highest score (equal token +1, other -3) is an overlap if it has at least `min_tokens` tokens and
-    a `min_share` of them are equal. Substituted words are thus tolerated, inside and outside the seed. An item of
+    a document and an item that agree under a mask, or in six tokens in a row, are aligned there and compared along the
+    whole alignment. An overlap has at least `min_tokens` tokens, a `min_share` of them equal, and equal ones at both
+    ends: the segment with the highest score (equal token +1, other -3) or, if that one is none, the longest. Substituted words are thus tolerated, inside and outside the seed. An item of
     fewer tokens than a mask, but at least five, must occur whole; shorter ones cannot be told from chance and are
     left out.
 
@@ -131,9 +143,12 @@ def find_overlaps(
                     for t, i, d in ix.hits(words, row).tolist():
                         lo, hi = max(d, at[t]), min(d + ix.at[i + 1] - ix.at[i], at[t + 1])
                         same = words[lo:hi] == ix.words[ix.at[i] + lo - d : ix.at[i] + hi - d]
+                        least = min(min_tokens, ix.at[i + 1] - ix.at[i])
                         a, b = best_segment(same)
+                        if b - a < least or same[a:b].sum() < min_share * (b - a):
+                            a, b = longest_segment(same, min_share)
                         n, eq = b - a, int(same[a:b].sum())
-                        if n >= min(min_tokens, ix.at[i + 1] - ix.at[i]) and eq >= min_share * n:
+                        if n >= least:
                             new = (eq, -n, -int(lo + a - at[t]), -int(lo + a - d))
                             best[t, i] = max(best.get((t, i), new), new)
                     for (t, i), (eq, n, p, q) in sorted(best.items()):

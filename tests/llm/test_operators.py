@@ -230,6 +230,25 @@ def test_overlaps(spark, nasty):
     assert decontaminate.find_overlaps(empty(docs), bench).count() == 0 and decontaminate.find_overlaps(docs, empty(bench)).count() == 0
 
 
+def test_replaced_phrases(spark):
+    """Adjacent replaced words: the best-scoring run alone is too short, the overlap is not."""
+    items, docs = [], []
+    for i, (left, gap, right) in enumerate(((8, 3, 8), (6, 2, 6), (7, 2, 7), (8, 4, 8))):
+        w = [f"{prose(60 + i, 1)}{k}i{i}" for k in range(left + gap + right)]
+        items.append((i, " ".join(w)))
+        docs.append((i, " ".join([*prose(70 + i, 9).split(), *w[:left], *(f"new{k}" for k in range(gap)), *w[left + gap :], "tail"])))
+    got = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_tokens"], r["n_equal"]) for r in got) == [(0, 0, 19, 16), (1, 1, 14, 12), (2, 2, 16, 14), (3, 3, 20, 16)]
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        same = r.random(r.integers(1, 25)) < 0.7
+        if same.any():
+            on = np.flatnonzero(same)
+            want = max(b + 1 - a for a in on for b in on if b >= a and same[a : b + 1].sum() >= 0.8 * (b + 1 - a) - 1e-9)
+            a, b = decontaminate.longest_segment(same, 0.8)
+            assert b - a == want and same[a] and same[b - 1] and same[a:b].sum() >= 0.8 * want - 1e-9
+
+
 def test_seeds_skip_ignored_places():
     a, b = np.arange(1, 10, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
     for mask in decontaminate.MASKS:
