@@ -86,6 +86,17 @@ class CentroidGraph:
             done += 1
         return dist <= ratio * dist.min(axis=1, keepdims=True)
 
+    def filled(self, q: np.ndarray, taken: np.ndarray, held: np.ndarray, least: int) -> np.ndarray:
+        """`taken`, and where its centroids' lists hold (`held`) fewer than `least` ids the nearest ones that do."""
+        short = np.flatnonzero(taken @ held < least)
+        if len(short):
+            order = np.argsort(distances(q[short], self.c), axis=1, kind="stable")
+            before = np.cumsum(held[order], axis=1) - held[order]
+            more = np.zeros((len(short), len(self.c)), bool)
+            np.put_along_axis(more, order, before < least, axis=1)
+            taken[short] |= more
+        return taken
+
 
 def _matrix(column) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -114,8 +125,8 @@ def nearest_neighbours(
     the inner product into a distance. Centroids, one for `list_size` entries and `max_lists` at most, are fitted on a
     bounded `sample` drawn by hash with a size penalty. Every entry goes to the list of its nearest centroid and, near
     a boundary, to up to `replicas` lists whose centroid is within `boundary` times that distance. A query searches
-    the centroid graph and takes the lists within `ratio` times the nearest distance, however many. Lists and their
-    queries are cut into pieces of at most about `group_rows` and multiplied block by block in double precision.
+    the centroid graph and takes the lists within `ratio` times the nearest distance, however many, and further ones
+    in order of distance until they hold k + 1 ids, each counted at its nearest centroid only. Lists and their queries are cut into pieces of at most about `group_rows` and multiplied block by block in double precision.
 
     Returns `query_id, rank, id_col, score`. Vectors that are null, zero, of another length than the most frequent
     one, or have null or non-finite components take no part, on either side; null ids take no part. Of repeated rows
@@ -154,7 +165,7 @@ def nearest_neighbours(
         c = shared.value.c
         for b in batches:
             x = augmented(_matrix(b.column("v")), largest)
-            owner, to = [], []
+            owner, to, home = [], [], []
             for a in range(0, len(x), 1024):
                 d = distances(x[a : a + 1024], c)
                 near = np.argsort(d, axis=1, kind="stable")[:, :replicas]
@@ -163,8 +174,9 @@ def nearest_neighbours(
                 i, j = np.nonzero(take)
                 owner.append(i + a)
                 to.append(near[i, j])
+                home.append(j == 0)
             o = pa.array(np.concatenate(owner)) if owner else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int32) if to else [], pa.int32()), b.column("key").take(o), b.column("v").take(o), b.column("ids").take(o)], names=["list", "key", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int32) if to else [], pa.int32()), pa.array(np.concatenate(home) if home else [], pa.bool_()), b.column("key").take(o), b.column("v").take(o), b.column("ids").take(o)], names=["list", "home", "key", "v", "ids"])
 
     def select(batches):
         g = shared.value
@@ -172,13 +184,19 @@ def nearest_neighbours(
             q = scaled(_matrix(b.column("v")), largest)
             owner, to = [], []
             for a in range(0, len(q), 256):
-                i, j = np.nonzero(g.within(q[a : a + 256], ratio))
+                block = q[a : a + 256]
+                i, j = np.nonzero(g.filled(block, g.within(block, ratio), held_ids.value, k + 1))
                 owner.append(i + a)
                 to.append(j)
             o = pa.array(np.concatenate(owner)) if owner else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int32) if to else [], pa.int32()), b.column("key").take(o), b.column("v").take(o)], names=["list", "key", "v"])
 
-    posted = scratch.cut(entries.mapInArrow(place, "list int, key string, v array<double>, ids array<long>"))
+    posted = scratch.cut(entries.mapInArrow(place, "list int, home boolean, key string, v array<double>, ids array<long>"))
+    held = np.zeros(len(shared.value.c), np.int64)
+    for r in posted.where("home").groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
+        held[r["list"]] = r["n"]
+    held_ids = spark.sparkContext.broadcast(held)
+    posted = posted.drop("home")
     probes = scratch.cut(asked.mapInArrow(select, "list int, key string, v array<double>"))
     n_lists = len(shared.value.c)
     pieces = {}

@@ -517,6 +517,20 @@ def test_nearest_recall(spark):
     assert hits / 800 >= 0.9
 
 
+def test_nearest_in_small_clusters(spark):
+    """Tight, isolated groups of five: every query still gets twenty rows, its own group first."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(40, 16))
+    x = (centre[:, None, :] + 1e-3 * rng.normal(size=(40, 5, 16))).reshape(200, 16)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(dict)
+    for r in nearest.nearest_neighbours(df, df, list_size=5).collect():
+        got[r["query_id"]][r["rank"]] = r["vec_id"]
+    assert len(got) == 200 and all(sorted(v) == list(range(1, 21)) for v in got.values())
+    assert all({v[r] // 5 for r in range(1, 5)} == {q // 5} for q, v in got.items())
+
+
 # --- all ---
 
 
