@@ -172,8 +172,13 @@ def _verify(threshold: float):
 
 
 def runs_for(recall: float, threshold: float, depth: int = 2) -> int:
-    """Runs after which a pair at the threshold has met with chance `recall`, if every run goes `depth` levels deep."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+    """Runs after which a pair at the threshold has met with chance `recall`, if every run goes `depth` levels deep: a
+    node has one child, or two for a quarter of them, and the pair goes on in each with the chance `threshold`."""
+    met = 1.0
+    for _ in range(depth):
+        lost = 1 - threshold * met
+        met = 1 - (0.75 * lost + 0.25 * lost * lost)
+    return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
 def similar_classes(
@@ -196,7 +201,7 @@ def similar_classes(
     Chosen paths: in each run all sets start in one node. A node of more than `leaf_sets` sets is split: it samples
     1.25 of 64 min-hash coordinates on average, the same for all its sets, and a set goes to the child that the token
     found there names. Nodes that are small enough, or `max_depth` deep, are leaves. `runs_for` gives the number of
-    runs for the target `recall`. In a leaf, pairs are first estimated from one byte of each coordinate (half the
+    runs for the target `recall` of pairs whose nodes are split down to `max_depth`. In a leaf, pairs are first estimated from one byte of each coordinate (half the
     threshold's distance below it is kept: at 0.8 a pair is lost with a chance below 1e-8), then the exact sets of
     those left are compared in blocks. A pair that shares several leaves belongs to the smallest of them, so links are
     counted once; a leaf that stays large is cut into blocks and dealt out as pairs of blocks. A leaf returns one row
@@ -223,7 +228,7 @@ def similar_classes(
     leaves = None
     for depth in range(max_depth):
         if depth == 0:
-            roots = F.transform(F.sequence(F.lit(1), F.lit(runs_for(recall, threshold))), lambda r: F.xxhash64(r, F.lit(31)))
+            roots = F.transform(F.sequence(F.lit(1), F.lit(runs_for(recall, threshold, max_depth))), lambda r: F.xxhash64(r, F.lit(31)))
             nodes = sets.select("key", F.explode(F.flatten(F.transform(roots, lambda r: _children(r, F.col("sig"))))).alias("node"))
         else:
             nodes = level.join(sets.select("key", "sig"), "key").select("key", F.explode(_children(F.col("node"), F.col("sig"))).alias("node"))

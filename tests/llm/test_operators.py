@@ -191,6 +191,21 @@ def test_classes_equal_brute_force(spark, leaf_sets, max_depth):
     assert [got[i] for i, _ in rows] == brute_classes(rows)
 
 
+def test_runs_reach_the_recall_at_any_depth(spark, monkeypatch):
+    """Drawn splits of a pair at the threshold; and the join asks for the runs of its deepest level."""
+    rng = np.random.default_rng(4)
+    for depth in (2, 4, 6):
+        nodes = np.ones(40_000, np.int64)
+        for _ in range(depth):
+            nodes = rng.binomial(nodes + rng.binomial(nodes, 0.25), 0.8)
+        missed = (nodes == 0).mean()
+        assert missed ** jaccard_join.runs_for(0.999, 0.8, depth) <= 0.0012
+    asked, plain = [], jaccard_join.runs_for
+    monkeypatch.setattr(jaccard_join, "runs_for", lambda *a: asked.append(plain(*a)) or asked[-1])
+    jaccard_join.similar_classes(spark.createDataFrame([(1, prose(1)), (2, prose(1))], "doc_id long, text string"))
+    assert asked == [plain(0.999, 0.8, 6)]
+
+
 def test_classes_edges(nasty):
     got = jaccard_join.similar_classes(nasty).collect()
     assert len(got) == nasty.count()
