@@ -180,7 +180,7 @@ def greedy_matches(spark, d):
 
 
 def optimal_matches(spark, d):
-    labels, measured = _labels(spark, d).where("pos % 5 = 0"), _measured(spark, d).where("pos % 4 < 3")
+    labels, measured = _labels(spark, d), _measured(spark, d)
     sides = labels.groupBy("model_id").agg(F.count("*").alias("n2")).join(measured.groupBy("model_id").agg(F.count("*").alias("n3")), "model_id")
     return rounded(M.optimal_matches(M.scores(labels, measured), cutter(spark), sides).select("model_id", "src", "dst", "score"), 5)
 

@@ -188,3 +188,23 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     assert {(r["cloud"], r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(0, 5), (1, 5)}
     assert arrivals.cloud_counts(s).isStreaming
+
+
+def test_optimal_matches_take_all_rows(spark, sf):
+    """Every model's labels and features: a least assignment where the smaller side fits whole, greedy matches elsewhere."""
+    import numpy as np
+    from partloom.plans import graph_queries as G
+
+    labels, measured = G._labels(spark, sf), G._measured(spark, sf)
+    sides = [{r["model_id"]: r["count"] for r in x.groupBy("model_id").count().collect()} for x in (labels, measured)]
+    scored, got, greedy = G.M.scores(labels, measured).toPandas(), G.optimal_matches(spark, sf).toPandas(), G.greedy_matches(spark, sf).toPandas()
+    assert set(got["model_id"]) == set(scored["model_id"])
+    for m, s in scored.groupby("model_id"):
+        i, j = sorted(s["i"].unique()), sorted(s["j"].unique())
+        cost = np.full((len(i), len(j)), np.inf)
+        cost[np.searchsorted(i, s["i"]), np.searchsorted(j, s["j"])] = 1 - s["score"]
+        whole = min(sides[0][m], sides[1][m]) <= min(cost.shape)
+        found = G.M.assignment(cost) if whole else None
+        want = sum(1 - cost[a, b] for a, b in found) if found is not None else greedy[greedy["model_id"] == m]["score"].sum()
+        mine = got[got["model_id"] == m]["score"]
+        assert abs(mine.sum() - want) < 1e-4 * max(1, len(mine))
