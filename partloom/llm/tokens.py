@@ -44,8 +44,9 @@ def normal(text: str) -> bytes:
     return low.encode() if low.isascii() else NOT_WORD.sub(" ", low).encode("utf-8", "replace")
 
 
-def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of all texts one after the other, offsets: text i has words[offsets[i]:offsets[i + 1]])."""
+def words_and_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes of all texts one after the other, their lengths in bytes, offsets: text i has
+    words[offsets[i]:offsets[i + 1]])."""
     parts = [normal(t) for t in texts]
     buf = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
     is_word = _IS_WORD[buf]
@@ -54,7 +55,13 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     total = np.cumsum(_BYTE[buf] * powers(_BASE, len(buf)))
     hashes = mix((total[end - 1] - total[start - 1]) * powers(_UNBASE, len(buf))[start])
     at = np.cumsum([0] + [len(p) + 1 for p in parts])
-    return hashes, np.searchsorted(start, at + 1)
+    return hashes, end - start, np.searchsorted(start, at + 1)
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """`words_and_bytes` without the lengths."""
+    hashes, _, at = words_and_bytes(texts)
+    return hashes, at
 
 
 def in_chunks(texts: Iterable[str], most: int = 1 << 20) -> Iterator[list[str]]:
