@@ -111,3 +111,61 @@ def _runs(k):
     import numpy as np
 
     return np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+
+
+def bitmap(hashes: DataFrame, bits: int) -> DataFrame:
+    """Which of `bits` places the hashes `h` take, as a table of words of 64 places: its size is `bits` / 64 rows at most."""
+    place = F.pmod("h", F.lit(bits))
+    return hashes.groupBy(F.shiftright(place, 6).alias("bucket")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}L) % 64 as int))")).alias("bits"))
+
+
+def in_bitmap(df: DataFrame, places: DataFrame, bits: int, among: bool = True) -> DataFrame:
+    """Rows whose `h` may be among the bitmap's hashes, without a shuffle of `df`; or else (not `among`) the others."""
+    rows = df.withColumn("bucket", F.shiftright(F.pmod("h", F.lit(bits)), 6)).join(F.broadcast(places), "bucket", "inner" if among else "left")
+    bit = F.expr(f"coalesce(shiftrightunsigned(bits, cast(pmod(h, {bits}L) % 64 as int)) & 1L, 0L)")
+    return rows.where(bit == int(among)).select(*df.columns)
+
+
+def packed(hashes_of, buckets: int, most: int = 1 << 21):
+    """A mapInArrow function: the hashes (arrays of int64, from `hashes_of(batch)`) of a task, distinct and packed by
+    bucket: `one` holds those that came once, `many` the others. Hashes, not rows, are what a shuffled row consists of."""
+    import numpy as np
+    import pyarrow as pa
+
+    def pack(parts):
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        to = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+        to = (to % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        h, n, to = h[order], n[order], to[order]
+        cut = np.searchsorted(to, np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cut))
+        blob = lambda b, keep: h[cut[b] : cut[b + 1]][keep(n[cut[b] : cut[b + 1]])].tobytes()
+        columns = [pa.array([blob(b, k) for b in some], pa.binary()) for k in (lambda n: n == 1, lambda n: n > 1)]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *columns], names=["bucket", "one", "many"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in hashes_of(batch):
+                held.append(part)
+                size += len(part)
+                if size >= most:
+                    yield pack(held)
+                    held, size = [], 0
+        if size:
+            yield pack(held)
+
+    return run
+
+
+def repeated_in(batches):
+    """Of sorted buckets of `packed`: the hashes `h` that came more than once."""
+    import numpy as np
+    import pyarrow as pa
+
+    for t, bounds in whole_groups(batches, "bucket", 1):
+        one, many = t.column("one").to_pylist(), t.column("many").to_pylist()
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            h, n = np.unique(np.frombuffer(b"".join(one[a:b]), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.union1d(h[n > 1], np.frombuffer(b"".join(many[a:b]), np.int64)))], names=["h"])

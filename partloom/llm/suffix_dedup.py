@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import Scratch, small_batches, table, whole_groups
+from partloom.llm.common import Scratch, bitmap, in_bitmap, packed, repeated_in, small_batches, table, whole_groups
 from partloom.llm.tokens import _BASE, _BYTE, _UNBASE, in_chunks, mix, powers
 
 U = np.uint64
@@ -137,41 +137,43 @@ def runs_of(buf: np.ndarray, ends: list[int], length: int) -> tuple[np.ndarray,
     return start, number, h[place[start]]
 
 
+def _runs(batch: pa.RecordBatch, length: int):
+    """Per group of texts: (text, its start in the group, start, number, anchor) of `runs_of`, and the group's bytes."""
+    base = 0
+    for chunk in in_chunks(batch.column("text").to_pylist()):
+        raw = [t.encode("utf-8", "replace") for t in chunk]
+        pieces = [(i, a, r[a : a + SEGMENT + length - 1]) for i, r in enumerate(raw) for a in range(0, max(1, len(r) - length + 1), SEGMENT)]
+        groups = [pieces] if len(raw) > 1 else [[p] for p in pieces]
+        for group in groups:
+            joined = b"".join(p[2] for p in group)
+            size = np.array([len(p[2]) for p in group], np.int64)
+            ends = np.cumsum(size)
+            start, number, anchor = runs_of(np.frombuffer(joined, np.uint8), ends.tolist(), length)
+            of = np.searchsorted(ends, start, "right")
+            text, offset = (np.array([p[k] for p in group], np.int64) for k in (0, 1))
+            yield base + text[of], start - (ends - size)[of] + offset[of], start, number, anchor, joined
+        base += len(chunk)
+
+
 def _describe(length: int):
-    schema = pa.schema([("tkey", pa.binary()), ("id", pa.string()), ("start", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("slice", pa.binary())])
+    schema = pa.schema([("tkey", pa.binary()), ("id", pa.string()), ("start", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("slice", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            tkeys, ids, texts = (batch.column(c).to_pylist() for c in ("tkey", "id", "text"))
-            base = 0
-            for chunk in in_chunks(texts):
-                raw = [t.encode("utf-8", "replace") for t in chunk]
-                pieces = [(i, a, r[a : a + SEGMENT + length - 1]) for i, r in enumerate(raw) for a in range(0, max(1, len(r) - length + 1), SEGMENT)]
-                groups = [pieces] if len(raw) > 1 else [[p] for p in pieces]
-                for group in groups:
-                    joined = b"".join(p[2] for p in group)
-                    ends = np.cumsum([len(p[2]) for p in group])
-                    start, number, anchor = runs_of(np.frombuffer(joined, np.uint8), ends.tolist(), length)
-                    of = np.searchsorted(ends, start, "right")
-                    first = ends[of] - np.array([len(p[2]) for p in group], np.int64)[of] if len(of) else of
-                    own = [xxhash.xxh3_128_digest(joined[s : s + n + length - 1]) for s, n in zip(start.tolist(), number.tolist())]
-                    text = [base + group[k][0] for k in of]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([tkeys[k] for k in text], pa.binary()),
-                            pa.array([ids[k] for k in text], pa.string()),
-                            pa.array(start - first + np.array([group[k][1] for k in of], np.int64)),
-                            pa.array(number.astype(np.int32)),
-                            pa.array(anchor.view(np.int64)),
-                            pa.array(own, pa.binary()),
-                        ],
-                        schema=schema,
-                    )
-                base += len(chunk)
+            for text, place, start, number, anchor, joined in _runs(batch, length):
+                own = [xxhash.xxh3_128_digest(joined[s : s + n + length - 1]) for s, n in zip(start.tolist(), number.tolist())]
+                text = pa.array(text)
+                columns = [batch.column("tkey").take(text), batch.column("id").take(text), pa.array(place), pa.array(number.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
+def _anchors(length: int, buckets: int):
+    """The anchors of all runs of a task, packed by bucket."""
+    return packed(lambda batch: [r[4].view(np.int64) for r in _runs(batch, length)], buckets)
+
+
 def _repeats(length: int, most_bytes: int):
     """Of sorted slices: the start places whose string also starts at another place of the same anchor's slices."""
 
@@ -259,17 +261,18 @@ def _cut_out(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, task_slices: int = 4096, sort_bytes: int = 1 << 18) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, task_slices: int = 4096, sort_bytes: int = 1 << 18, filter_bits: int = 1 << 26) -> DataFrame:
     """What is left of every text when each byte covered by a repeated `length`-byte string goes.
 
     A string is repeated if it also starts anywhere else in the table, the same text included; overlaps count; all is
     judged on the input. (1) Start places are put in runs by the anchor of their string (`runs_of`): equal strings have
     equal anchors, so only runs of one anchor can hold a repeat, and the run's slice is all that its strings cover.
-    (2) Equal slices are counted; those that occur twice are repeated whole. (3) Anchors with several different slices
+    Anchors are counted first, packed by bucket, and runs are written only where their anchor occurs again (or shares
+    one of `filter_bits` places with such an anchor). (2) Equal slices are counted; those that occur twice are repeated whole. (3) Anchors with several different slices
     have one of each dealt to a task, which joins the slices into texts of about `sort_bytes`, builds their suffix
     arrays by two-stage sorting, and marks the neighbours with a common prefix of `length`. An anchor with more than
     `task_slices` different slices, which one task should not hold, has the strings of its slices counted by hash
-    instead. (4) The places found meet their text once more. A text that occurs twice is repeated whole, so of copies
+    instead. (4) The places found meet their text once more; texts without any are not shuffled. A text that occurs twice is repeated whole, so of copies
     only counts are moved.
 
     Returns `id_col, n_bytes, n_removed, spans, kept_sha256`; spans: the maximal removed runs as byte offsets. Null
@@ -284,17 +287,25 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     id_type = rows.schema["id"].dataType.simpleString()
     long = rows.where(F.col("n_bytes") >= length)
 
-    runs = scratch.cut(long.select("tkey", F.col("id").cast("string").alias("id"), "text").mapInArrow(_describe(length), "tkey binary, id string, start long, n int, anchor long, slice binary"))
+    own = long.select("tkey", F.col("id").cast("string").alias("id"), "text")
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = long.select("text").mapInArrow(_anchors(length, buckets), "bucket int, one binary, many binary").repartition("bucket").sortWithinPartitions("bucket")
+    again = bitmap(dealt.mapInArrow(repeated_in, "h long"), filter_bits)
+    runs = own.mapInArrow(_describe(length), "tkey binary, id string, start long, n int, h long, slice binary")
+    runs = scratch.cut(in_bitmap(runs, again, filter_bits).withColumnRenamed("h", "anchor"))
     slices = scratch.cut(runs.groupBy("anchor", "slice").agg(F.count("*").alias("copies"), F.min(F.struct("tkey", "id", "start", "n")).alias("of")))
     met = slices.groupBy("anchor").agg(F.count("*").alias("slices")).where("slices > 1")
     unsure = slices.join(met, "anchor").select("anchor", "slice", "slices", (F.col("copies") > 1).alias("heavy"), "of.*")
-
-    wanted = unsure.groupBy("tkey", "id").agg(F.collect_list(F.struct("anchor", "slice", "slices", "heavy", "start", "n")).alias("parts"))  # bounded by one text
-    text_of = long.select("tkey", F.col("id").cast("string").alias("id"), F.encode("text", "UTF-8").alias("bytes"))
-    w, x = wanted.alias("w"), text_of.alias("x")
-    joined = w.join(x, F.expr("w.tkey = x.tkey and w.id <=> x.id")).select("w.tkey", F.explode("w.parts").alias("p"), "x.bytes")
-    cut = joined.select("tkey", "p.*", F.expr(f"substring(bytes, cast(p.start as int) + 1, p.n + {length - 1})").alias("bytes"))
-    cut = scratch.cut(cut.dropDuplicates(["anchor", "slice"]))
+    wanted = scratch.cut(unsure.groupBy("tkey", "id").agg(F.collect_list(F.struct("anchor", "slice", "slices", "heavy", "start", "n")).alias("parts")))  # bounded by one text
+    repeated = scratch.cut(slices.where("copies > 1").select("anchor", "slice"))
+    scratch.drop(slices)
+
+    text_of = in_bitmap(own.withColumn("h", F.xxhash64("tkey")), bitmap(wanted.select(F.xxhash64("tkey").alias("h")), filter_bits), filter_bits)
+    w, x = wanted.alias("w"), text_of.select("tkey", "id", F.encode("text", "UTF-8").alias("bytes")).alias("x")
+    part = lambda p: F.struct(*(p[c].alias(c) for c in ("anchor", "slice", "slices", "heavy", "start", "n")), F.substring("x.bytes", p["start"].cast("int") + 1, p["n"] + (length - 1)).alias("bytes"))
+    joined = w.join(x, F.expr("w.tkey = x.tkey and w.id <=> x.id")).select("w.tkey", F.explode_outer(F.transform("w.parts", part)).alias("p"))
+    cut = scratch.cut(joined.select("tkey", "p.*").dropDuplicates(["anchor", "slice"]))
+    scratch.drop(wanted)
     few, many = cut.where(F.col("slices") <= task_slices), cut.where(F.col("slices") > task_slices)
     cols = ["tkey", "anchor", "start", "n", "heavy", "bytes"]
     sorted_ = few.select(cols).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeats(length, sort_bytes), "tkey binary, start long, n long")
@@ -302,13 +313,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     twice = each.groupBy("h").agg(F.count("*").alias("c"), F.max("heavy").alias("heavy")).where("c > 1 or heavy").select("h")
     hashed = each.join(twice, "h").select("tkey", "start", F.lit(1).cast("long").alias("n"))
 
-    whole = runs.join(slices.where("copies > 1").select("anchor", "slice"), ["anchor", "slice"]).select("tkey", "start", F.col("n").cast("long").alias("n"))
-    counts = rows.groupBy("tkey").agg(F.count("*").alias("texts"))
-    single = counts.where("texts = 1").select("tkey")
-    ranges = whole.union(sorted_).union(hashed).join(single, "tkey", "left_semi").groupBy("tkey").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    whole = runs.join(repeated, ["anchor", "slice"]).select("tkey", "start", F.col("n").cast("long").alias("n"))
+    counts = scratch.cut(rows.groupBy("tkey").agg(F.count("*").alias("texts")).where("texts > 1"))
+    found = whole.union(sorted_).union(hashed).join(counts, "tkey", "left_anti").groupBy("tkey").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    ranges = scratch.cut(found)
+    scratch.drop(runs)
+    scratch.drop(cut)
 
     light = rows.select("id", "tkey", "n_bytes", F.sha2("text", 256).alias("whole"))
-    copies = light.join(counts.where("texts > 1"), "tkey")
+    copies = light.join(counts, "tkey")
     span = F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))
     nothing = F.array().cast("array<struct<begin:bigint,end:bigint>>")
     copies = copies.select(
@@ -318,8 +331,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.when(F.col("n_bytes") >= length, F.array(span)).otherwise(nothing).alias("spans"),
         F.when(F.col("n_bytes") >= length, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("whole")).alias("kept_sha256"),
     )
-    once = rows.join(single, "tkey", "left_semi").join(ranges, "tkey", "left")
-    once = once.select("id", "n_bytes", "text", "ranges").mapInArrow(_cut_out(length), f"id {id_type}, n_bytes long, n_removed long, spans array<struct<begin:bigint,end:bigint>>, kept_sha256 string")
+    marked = bitmap(counts.select(F.xxhash64("tkey").alias("h")).union(ranges.select(F.xxhash64("tkey").alias("h"))), filter_bits)
+    keyed = rows.withColumn("h", F.xxhash64("tkey"))
+    touched = in_bitmap(keyed, marked, filter_bits).join(counts, "tkey", "left_anti").join(ranges, "tkey", "left").select("id", "n_bytes", "text", "ranges")
+    clean = in_bitmap(keyed, marked, filter_bits, among=False).select("id", "n_bytes", "text", F.lit(None).cast("array<struct<start:bigint,n:bigint>>").alias("ranges"))
+    result = f"id {id_type}, n_bytes long, n_removed long, spans array<struct<begin:bigint,end:bigint>>, kept_sha256 string"
+    once = touched.mapInArrow(_cut_out(length), result).union(clean.mapInArrow(_cut_out(length), result))
     return once.union(copies).withColumnRenamed("id", id_col)
 
 
