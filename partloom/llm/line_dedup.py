@@ -1,4 +1,4 @@
-"""Fuzzy line dedup: join of normalised lines on their longest word pairs, edit similarity, one occurrence per group."""
+"""Fuzzy line dedup: join of normalised lines on their longest word runs, edit similarity, one occurrence per group."""
 
 from __future__ import annotations
 
@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import Scratch, components, small_batches, table, whole_groups
+from partloom.llm.common import Scratch, bitmap, components, in_bitmap, small_batches, table, whole_groups
 from partloom.llm.tokens import _BASE, in_chunks, mix, powers, words_and_bytes
 
 U = np.uint64
 BITS = 64
 LANES = 3  # counters of 21 bits in one long
-RUN = 2  # words in a run, at most
+RUN = 3  # words in a run, at most
 HASH_BITS = 46
 LENGTH_BITS = 12  # of a short line number, which hold the line's number of words
 FULL = (1 << LENGTH_BITS) - 1
@@ -248,19 +248,6 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.where(F.expr("levenshtein(x, y, most) >= 0")).select("la", "lb")
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> DataFrame:
-    """Which of `bits` places the hashes `h` take, as a table of words of 64 places: its size is `bits` / 64 rows at most."""
-    place = F.pmod("h", F.lit(bits))
-    return hashes.groupBy(F.shiftright(place, 6).alias("bucket")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}L) % 64 as int))")).alias("bits"))
-
-
-def _in_bitmap(df: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
-    """Rows whose `h` may be among the bitmap's hashes; the others are dropped before any shuffle."""
-    rows = df.withColumn("bucket", F.shiftright(F.pmod("h", F.lit(bits)), 6))
-    bit = F.expr(f"shiftrightunsigned(bits, cast(pmod(h, {bits}L) % 64 as int)) & 1L = 1L")
-    return rows.join(F.broadcast(bitmap), "bucket").where(bit).drop("bucket", "bits")
-
-
 def repeated_lines(
     docs: DataFrame,
     *,
@@ -285,7 +272,7 @@ def repeated_lines(
     and an edit breaks as many runs of words as a run has words, w. Put in any order that is the same for all lines,
     of the first w * k + 1 runs of two similar lines at least one is the same, because else one of the two had
     w * k + 1 runs the other has not. The order here is by length, so that the blocks are made of rare words without
-    a count of any. Pairs of words serve as runs (single words where `similarity` is low). A line that is too short
+    a count of any. Three words make a run, or fewer where `similarity` is low. A line that is too short
     for one edit has no blocks.
 
     A task packs its blocks' members by bucket, so that a shuffled row holds thousands of them; of a block with more
@@ -327,7 +314,9 @@ def repeated_lines(
     pairs = scratch.cut(pairs.distinct())
     need = pairs.select(F.explode(F.array("a", "b")).alias("lid"))
     need = scratch.cut((need if crowded is None else need.union(crowded)).distinct())
-    some = _in_bitmap(texts.select("text").mapInArrow(_coded, "lid long, line binary, words string").withColumn("h", F.col("lid")), _bitmap(need.select(F.col("lid").alias("h")), filter_bits), filter_bits)
+    hashed = F.xxhash64("lid").alias("h")  # the low bits of the number itself are no hash
+    some = texts.select("text").mapInArrow(_coded, "lid long, line binary, words string").select("*", hashed)
+    some = in_bitmap(some, bitmap(need.select(hashed), filter_bits), filter_bits)
     coded = scratch.cut(some.drop("h").join(need, "lid", "left_semi").groupBy("lid", "line").agg(F.max("words").alias("words")))
 
     links = scratch.cut(_similar(pairs, coded, similarity))
