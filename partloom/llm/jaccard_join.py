@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import Scratch, components, small_batches, table, whole_groups
+from partloom.llm.common import Scratch, bitmap, components, in_bitmap, small_batches, table, whole_groups
 from partloom.llm.tokens import in_chunks, mix, shingles, words_of
 
 U = np.uint64
@@ -83,7 +83,7 @@ def _padded(column) -> np.ndarray:
     return out
 
 
-def _promising(least: float, most: int):
+def _promising(least: float):
     """Rows (leaf, key) of the sets that have, in a leaf that owns the pair, a partner of sufficient estimated similarity."""
 
     def run(batches):
@@ -93,9 +93,6 @@ def _promising(least: float, most: int):
             sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(leaf), COORDINATES)
             leaves = _padded(t.column("leaves"))
             for a, b in zip(bounds[:-1], bounds[1:]):
-                if b - a > most:
-                    take[a:b] = True
-                    continue
                 for r in range(a, b, 64):
                     same = (sk[r : min(b, r + 64), None, :] == sk[None, a:b, :]).sum(axis=2)
                     i, j = np.nonzero(same >= least * COORDINATES)
@@ -181,7 +178,7 @@ def runs_for(recall: float, threshold: float, depth: int = 2) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
-def similar_classes(
+def _classes(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -191,27 +188,10 @@ def similar_classes(
     recall: float = 0.999,
     leaf_sets: int = 400,
     max_depth: int = 6,
+    broadcast_leaves: int = 100_000,
 ) -> DataFrame:
-    """Every row's class of near-duplicates and its number of links.
-
-    A text is the set of its `words`-word shingles (lower-case runs of letters and digits; a shorter text is one
-    shingle). Two rows are linked if the Jaccard similarity of their sets is at least `threshold`; classes are the
-    connected components. Equal sets are one entry with a weight, so copies are never paired.
-
-    Chosen paths: in each run all sets start in one node. A node of more than `leaf_sets` sets is split: it samples
-    1.25 of 64 min-hash coordinates on average, the same for all its sets, and a set goes to the child that the token
-    found there names. Nodes that are small enough, or `max_depth` deep, are leaves. `runs_for` gives the number of
-    runs for the target `recall` of pairs whose nodes are split down to `max_depth`. In a leaf, pairs are first estimated from one byte of each coordinate (half the
-    threshold's distance below it is kept: at 0.8 a pair is lost with a chance below 1e-8), then the exact sets of
-    those left are compared in blocks. A pair that shares several leaves belongs to the smallest of them, so links are
-    counted once; a leaf that stays large is cut into blocks and dealt out as pairs of blocks. A leaf returns one row
-    a set, its count and local root, never pairs.
-
-    Returns `id_col, class_id, n_links`: class_id is the smallest id of the class; n_links the number of other rows
-    linked with this one, copies included. Null, empty and wordless texts have no shingle: class_id is their own id,
-    n_links 0. A null id is nobody's class id unless the whole class has none. Repeated rows count as copies. An empty
-    table gives no rows. Other columns are ignored.
-    """
+    """`similar_classes` by row: `id, tkey` (hash of the text), `root` (the same for all rows of a class and no others;
+    null without a shingle), `class_id, n_links`."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
@@ -247,9 +227,10 @@ def similar_classes(
     of = members.groupBy("key").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
     sketch = F.expr(f"unhex(concat_ws('', transform(sequence(0, {COORDINATES - 1}), j -> hex(substring(sig, j * 4 + 1, 1)))))")
     known = scratch.cut(of.join(sets, "key").select("key", "leaves", "weight", "of", sketch.alias("sketch")))
-    sides = members.join(known.select("key", "leaves", "sketch"), "key")
-    floor = 1 - 2.5 * (1 - threshold)
-    active = scratch.cut(sides.select("leaf", "key", "leaves", "sketch").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_promising(floor, 4 * leaf_sets), "leaf long, key string"))
+    most, floor = 4 * leaf_sets, 1 - 2.5 * (1 - threshold)
+    sides = members.where(F.col("n") <= most).join(known.select("key", "leaves", "sketch"), "key")
+    promising = sides.select("leaf", "key", "leaves", "sketch").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_promising(floor), "leaf long, key string")
+    active = scratch.cut(promising.union(members.where(F.col("n") > most).select("leaf", "key")))
 
     def tokens(batches):
         for batch in batches:
@@ -260,8 +241,11 @@ def similar_classes(
     wanted = active.select("key").distinct().join(known, "key").select("key", F.col("of.id").alias("of_id"), F.col("of.tkey").alias("of_tkey"))
     texts = rows.join(wanted, F.col("tkey").eqNullSafe(F.col("of_tkey")) & F.col("id").eqNullSafe(F.col("of_id"))).select("key", "text")
     tokened = texts.mapInArrow(tokens, "key string, tokens binary").dropDuplicates(["key"])
-    blocks = active.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(2.0 * leaf_sets)).cast("int").alias("blocks"))
-    dealt = active.join(blocks, "leaf").withColumn("mine", F.pmod(F.xxhash64(F.lit(6), "key"), F.col("blocks")).cast("int"))
+    blocks = active.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(2.0 * leaf_sets)).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = scratch.cut(blocks)
+    blocks = F.broadcast(blocks) if blocks.limit(broadcast_leaves + 1).count() <= broadcast_leaves else blocks
+    dealt = active.join(blocks, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(F.lit(6), "key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "leaf", "key", F.xxhash64("leaf", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), (F.col("mine") > F.col("other")).cast("int").alias("side")
@@ -274,18 +258,56 @@ def similar_classes(
     classes = sets.select("key", "weight", "min_id").join(roots.withColumnRenamed("node", "key"), "key", "left").join(counted, "key", "left")
     classes = classes.withColumn("root", F.coalesce("root", "key"))
     named = classes.groupBy("root").agg(F.min("min_id").alias("class_id"))
-    per_set = scratch.cut(classes.join(named, "root").select("key", "class_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
-    out = described.select("id", "key").join(per_set, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is their class's id; of rows that repeat that id in one class, one. Rows with a
-    null id whose class has no id stay."""
-    ids = similar_classes(docs, id_col=id_col, text_col=text_col, **options)
-    keep = ids.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("id")).distinct()
-    kept = docs.alias("d").join(keep.alias("k"), F.expr(f"d.`{id_col}` <=> k.id"), "left_semi")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
+    per_set = scratch.cut(classes.join(named, "root").select("key", "root", "class_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
+    out = described.select("id", "tkey", "key").join(per_set, "key", "left")
+    class_id = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id")
+    return out.select("id", "tkey", "root", class_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Every row's class of near-duplicates and its number of links.
+
+    A text is the set of its `words`-word shingles (lower-case runs of letters and digits; a shorter text is one
+    shingle). Two rows are linked if the Jaccard similarity of their sets is at least `threshold`; classes are the
+    connected components. Equal sets are one entry with a weight, so copies are never paired.
+
+    Chosen paths: in each run all sets start in one node. A node of more than `leaf_sets` sets is split: it samples
+    1.25 of 64 min-hash coordinates on average, the same for all its sets, and a set goes to the child that the token
+    found there names. Nodes that are small enough, or `max_depth` deep, are leaves. `runs_for` gives the number of
+    runs for the target `recall` of pairs whose nodes are split down to `max_depth`. In a leaf, pairs are first estimated from one byte of each coordinate (half the
+    threshold's distance below it is kept: at 0.8 a pair is lost with a chance below 1e-8), then the exact sets of
+    those left are compared in blocks. A pair that shares several leaves belongs to the smallest of them, so links are
+    counted once. A leaf of over 4 * `leaf_sets` sets is neither gathered nor estimated, and one of which over twice
+    `leaf_sets` are left is cut into blocks and dealt out as pairs of blocks; the names of such leaves are broadcast
+    while there are at most `broadcast_leaves`. A leaf returns one row a set, its count and local root, never pairs.
+
+    Returns `id_col, class_id, n_links`: class_id is the smallest id of the class; n_links the number of other rows
+    linked with this one, copies included. Null, empty and wordless texts have no shingle: class_id is their own id,
+    n_links 0. A null id is nobody's class id unless the whole class has none. Repeated rows count as copies. An empty
+    table gives no rows. Other columns are ignored.
+    """
+    out = _classes(docs, id_col=id_col, text_col=text_col, **options)
+    return out.select(F.col("id").alias(id_col), "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 26, **options) -> DataFrame:
+    """One row of `docs` for each class, that with the smallest (id, text hash), null ids last; of rows that agree in
+    both, one. Rows without a shingle all stay.
+
+    Only rows that may have to go, by a bitmap of `filter_bits` bits, are shuffled; the others pass as they are."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    rows = scratch.cut(_classes(docs, id_col=id_col, text_col=text_col, **options).where("root is not null").groupBy("root", "id", "tkey").agg(F.count("*").alias("n")))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tkey")).alias("first"))
+    doubt = rows.join(first, "root").withColumn("stays", F.expr("id <=> first.id and tkey = first.tkey")).where("not stays or n > 1")
+    doubt = scratch.cut(doubt.select("id", "tkey", "stays"))
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tkey"))
+    held = held.withColumn("h", F.xxhash64("id", "tkey"))
+    places = bitmap(doubt.select(F.xxhash64("id", "tkey").alias("h")), filter_bits)
+    same = F.expr("h.id <=> d.id and h.tkey = d.tkey")
+    among = in_bitmap(held, places, filter_bits).alias("h")
+    untouched = in_bitmap(held, places, filter_bits, among=False).select("_row.*").union(among.join(doubt.alias("d"), same, "left_anti").select("_row.*"))
+    return untouched.union(among.join(doubt.where("stays").alias("d"), same, "left_semi").dropDuplicates(["id", "tkey"]).select("_row.*"))
 
 
 def op3_jaccard_join(spark, sf_dir) -> DataFrame:
