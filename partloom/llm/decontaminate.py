@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from partloom.llm.common import small_batches, table
 from partloom.llm.tokens import in_chunks, mix, words_of
@@ -51,6 +52,22 @@ class SeedIndex:
                 table = np.zeros(1 << bits, bool)
                 table[(k >> U(64 - bits)).astype(np.int64)] = True
                 self.parts.append((mask, k[order], np.concatenate(item)[order], np.concatenate(place)[order], table, U(64 - bits)))
+        self.short: dict[bytes, list[int]] = {}
+        for i, n in enumerate(np.diff(self.at)):
+            if 0 < n < SHORTEST:
+                self.short.setdefault(self.words[self.at[i] : self.at[i + 1]].tobytes(), []).append(i)
+
+    def short_lines(self, texts: list[str]):
+        """(text, item, first token, tokens) of lines that are, as a whole, an item of fewer than SHORTEST tokens."""
+        if not self.short:
+            return
+        lines = [x for t in texts for x in t.split("\n")]
+        of = np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts])
+        words, at = words_of(lines)
+        begin = at[np.searchsorted(of, np.arange(len(texts)))]
+        for k in np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < SHORTEST)).tolist():
+            for i in self.short.get(words[at[k] : at[k + 1]].tobytes(), ()):
+                yield int(of[k]), i, int(at[k] - begin[of[k]]), int(at[k + 1] - at[k])
 
     def hits(self, words: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Distinct (text, item, diagonal) of all seed matches; diagonal: place in `words` minus place in the item."""
@@ -106,8 +123,8 @@ def find_overlaps(
     a document and an item that agree under a mask, or in six tokens in a row, are aligned there and compared along the
     whole alignment. An overlap has at least `min_tokens` tokens, a `min_share` of them equal, and equal ones at both
     ends: the segment with the highest score (equal token +1, other -3) or, if that one is none, the longest. Substituted words are thus tolerated, inside and outside the seed. An item of
-    fewer tokens than a mask, but at least five, must occur whole; shorter ones cannot be told from chance and are
-    left out.
+    fewer tokens than a mask, but at least five, must occur whole; a shorter one, which running text contains by
+    chance, must be a whole line of the document.
 
     Benchmark rows are split into blocks of about `block_chars` characters by their hash. A block's index, whose size
     is thereby bounded, is broadcast and joined with all documents in one scan; a benchmark that needs several blocks
@@ -125,7 +142,7 @@ def find_overlaps(
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     kinds = f"id {rows.schema['id'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, n_tokens int, n_equal int, doc_token int, item_token int"
-    item_type = pa.int64() if items.schema["item"].dataType.simpleString() in ("bigint", "long") else None
+    item_type = to_arrow_type(items.schema["item"].dataType)
 
     def scan(block: int) -> DataFrame:
         found = items.where(F.pmod(F.xxhash64(F.lit(4), "item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
@@ -151,6 +168,8 @@ def find_overlaps(
                         if n >= least:
                             new = (eq, -n, -int(lo + a - at[t]), -int(lo + a - d))
                             best[t, i] = max(best.get((t, i), new), new)
+                    for t, i, p, n in ix.short_lines(chunk):
+                        best[t, i] = max(best.get((t, i), (0,)), (n, -n, -p, 0))
                     for (t, i), (eq, n, p, q) in sorted(best.items()):
                         took.append(base + t)
                         out.append((ix.ids[i], -n, eq, -p, -q))
