@@ -8,7 +8,8 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.llm.common import small_batches, table
@@ -18,9 +19,14 @@ LONGEST = 5
 BLOCK = 1 << 18
 
 
+def _letters(word: str) -> list[str]:
+    """The runs of letters of a word that holds other numeric characters, such as fractions and raised digits."""
+    return "".join(c if c.isalpha() else " " for c in word).split()
+
+
 def _words(text: str):
     """Lists of at most BLOCK lower-case words, so that no list grows with the text."""
-    found = (m.group() for m in WORD.finditer(text.lower()))
+    found = (w for m in WORD.finditer(text.lower()) for w in ((m.group(),) if m.group().isalpha() else _letters(m.group())))
     while block := list(islice(found, BLOCK)):
         yield block
 
@@ -76,49 +82,37 @@ def fit_languages(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    sample_per_lang: int = 1000,
-    words_per_lang: int = 30_000,
-    grams_per_lang: int = 15_000,
+    sample_per_lang: int = 400,
     unseen: float = -7.0,
-    max_langs: int = 256,
 ) -> LanguageModel:
     """Learn word and n-gram frequencies from a bounded sample of the labelled rows.
 
     Rows with null text or language are left out. About `sample_per_lang` distinct texts of a language are drawn by
-    their hash, so copies of one text count once and a repeated task draws the same. Of every language the most
-    frequent `words_per_lang` words and `grams_per_lang` n-grams of each length from 1 to 5 are kept, ties by the
-    unit; both, and `max_langs` (the most frequent languages), bound the model.
+    their hash, so copies of one text count once and a repeated task draws the same. All words and n-grams (of 1 to 5
+    letters) of the drawn texts are kept: the sample alone bounds the model.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    sizes = rows.groupBy("lang").count().collect()  # a row for each language
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return LanguageModel([], [{} for _ in range(LONGEST + 1)], [np.zeros((0, 0), np.float32)] * (LONGEST + 1))
-    rate = F.lit(0.0)
-    for r in sizes:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_per_lang / r["count"]))).otherwise(rate)
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text").distinct()
+    rates = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, sample_per_lang / r["count"]) * (1 << 30)) for r in sizes], "lang string, rate double"))
+    drawn = rows.join(rates, "lang").where(F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(1 << 30)) < F.col("rate")).select("lang", "text").distinct()
     counts = drawn.mapInArrow(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    whole = Window.partitionBy("lang", "n")
-    top = (
-        counts.withColumn("total", F.sum("c").over(whole))
-        .withColumn("place", F.row_number().over(whole.orderBy(F.desc("c"), "gram")))
-        .where(F.col("place") <= F.when(F.col("n") == 0, words_per_lang).otherwise(grams_per_lang))
-        .select("lang", "n", "gram", F.log10(F.col("c") / F.col("total")).cast("float").alias("v"))
-    )
-    units: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    cells: list[list] = [[] for _ in range(LONGEST + 1)]
-    column = {x: i for i, x in enumerate(langs)}
-    for r in top.orderBy("n", "gram", "lang").toLocalIterator():
-        cells[r["n"]].append((units[r["n"]].setdefault(r["gram"], len(units[r["n"]])), column[r["lang"]], r["v"]))
+    found = counts.toArrow()  # bounded by the sample
+    units: list[dict[str, int]] = []
     logs = []
     for n in range(LONGEST + 1):
-        m = np.full((len(units[n]), len(langs)), unseen, np.float32)
-        if cells[n]:
-            i, j, v = zip(*cells[n])
-            m[list(i), list(j)] = v
+        own = found.filter(pc.equal(found["n"], n)).combine_chunks()
+        grams, column = own["gram"].combine_chunks().dictionary_encode(), own["lang"].to_pylist()
+        column = np.searchsorted(np.array(langs, dtype=object), column) if column else np.zeros(0, np.int64)
+        c = own["c"].to_numpy().astype(np.float64)
+        m = np.full((len(grams.dictionary), len(langs)), unseen, np.float32)
+        if len(c):
+            m[grams.indices.to_numpy(), column] = np.log10(c / np.bincount(column, c, len(langs))[column])
+        units.append({g: i for i, g in enumerate(grams.dictionary.to_pylist())})
         logs.append(m)
     return LanguageModel(langs, units, logs)
 
