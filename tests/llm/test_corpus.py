@@ -581,3 +581,112 @@ def test_pipeline_takes_nasty_rows(spark, sf, nasty):
         cur = common.Scratch(spark).cut(stage(spark, cur, sf))
         assert cur.columns == nasty.columns
     assert corpus_pipeline.STAGES[-1][1](spark, cur, sf).count() == cur.count()
+
+
+def test_near_lines_are_found_at_any_place(spark):
+    """One word of 10, 25 and 50 changed: all pairs meet."""
+    r, lines = random.Random(29), []
+    for n in (10, 25, 50):
+        for _ in range(100):
+            w = [f"{prose(r.randrange(10**6), 1)}{r.randrange(999)}" for _ in range(n)]
+            at = r.randrange(n)
+            lines += [" ".join(w), " ".join([*w[:at], prose(r.randrange(10**6), 1) + "z", *w[at + 1 :]])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {x["doc_id"] for x in line_dedup.repeated_lines(docs).collect() if x["removed"]}
+    assert gone == set(range(1, len(lines), 2))
+
+
+def test_words_of_scripts_without_spaces(spark):
+    one, two = "日本語の文章は空白なしで書かれるので一文字ごとに比べる", "日本語の文章は空白なしで書かれるので一文字ごとに比ぶる"
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {x["doc_id"]: x["removed"] for x in line_dedup.repeated_lines(docs).collect()} == {1: [], 2: [0]}
+
+
+# --- what the rounds found ---
+
+
+def test_license_spelling_over_a_line_end(spark):
+    known = license_scan.known_digests(spark)
+    bsd = license_scan.KNOWN["BSD-2-Clause"]
+    wrapped = "The BSD 2-Clause License\n\n" + bsd.replace("COPYRIGHT HOLDERS AND", "COPYRIGHT\nOWNERS AND").replace("\nfollowing", " following")
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + license_scan.KNOWN["MIT"].replace("\n", " ")
+    docs = spark.createDataFrame([(1, wrapped), (2, mit), (3, "favour favour licence licence"), (4, "favor favor license license"), (5, "MIT License")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs, known).collect()}
+    assert got[1]["license_id"] == "BSD-2-Clause" and got[2]["license_id"] == "MIT" and got[3]["digest"] == got[4]["digest"] and got[5]["license_id"] is None
+
+
+def test_one_row_of_each_class(spark):
+    a, b = prose(1), prose(2)
+    rows = [(2, a), (4, a), (4, b), (9, b), (None, a), (None, b), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(2, a), (4, b), (5, None), (6, "")], key=str)
+    twice = spark.createDataFrame([(4, a), (4, b), (4, a)], "doc_id long, text string")
+    assert sorted(r["text"] for r in jaccard_join.one_of_each(twice).collect()) == sorted([a, b])
+
+
+def test_items_of_any_type_and_length(spark):
+    docs = spark.createDataFrame([(1, "first line\nFour words, in all!\nlast"), (2, "we have four words in all here"), (3, prose(5, 40))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "four words in all"), (8, prose(5, 40))], "item_id int, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["n_tokens"], r["doc_token"]) for r in decontaminate.find_overlaps(docs, items).collect())
+    assert got == [(1, 7, 4, 2), (3, 8, 40, 0)]
+
+
+def test_overlaps_equal_brute_force(spark):
+    """Copies of items with replaced words, among clean texts."""
+    r = random.Random(17)
+    items = [(i, prose(900 + i, 30)) for i in range(12)]
+    docs = [(i, prose(100 + i, 60)) for i in range(20)]
+    for i, (_, t) in enumerate(items):
+        w = t.split()
+        w[r.randrange(12, 18)] = "changed"
+        docs.append((100 + i, prose(300 + i, 20) + " " + " ".join(w) + " " + prose(500 + i, 20)))
+
+    def overlaps(d, t, least=10, share=0.8):
+        x, y = d.split(), t.split()
+        for k in range(-len(y) + 1, len(x)):
+            same = [x[k + j] == y[j] for j in range(len(y)) if 0 <= k + j < len(x)]
+            for p in range(len(same)):
+                for q in range(p + least, len(same) + 1):
+                    if same[p] and same[q - 1] and sum(same[p:q]) >= share * (q - p):
+                        return True
+        return False
+
+    want = {(a, b) for a, d in docs for b, t in items if overlaps(d, t)}
+    found = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in found} == want and len(want) >= 12
+
+
+def test_shards_of_repeated_rows(spark):
+    heavy, half = "h" * 2000, "k" * 600
+    rows = [(1, heavy)] * 300 + [(1000 + i, half) for i in range(30)] + [(i, prose(i, 40)) for i in range(600)]
+    out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size, shards_of = collections.Counter(), collections.defaultdict(set)
+    for x in out:
+        size[x["shard"]] += x["size"]
+        shards_of[x["text_crc32"]].add(x["shard"])
+    assert len(size) == 16 and max(size.values()) < 1.15 * min(size.values())
+    assert all(len(s) == 1 for c, s in shards_of.items() if c != zlib.crc32(heavy.encode()))
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² Ⅷ 12"), (2, "x² the")], "doc_id long, text string")
+    learn = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "le chat est sur le tapis", "fr")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, language_id.fit_languages(learn)).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] == "en"
+
+
+def test_predictions_equal_plain(spark):
+    """Mean log frequency of known words, of the longest known n-grams for others."""
+    learn = [(i, prose(i, 60), "a") for i in range(4)] + [(i + 10, prose(i, 60).replace("th", "zu").replace("er", "ok"), "b") for i in range(4, 8)]
+    model = language_id.fit_languages(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
+    counts = [{}, {}]
+    for _, t, g in learn:
+        for w in t.split():
+            counts[g == "b"][w] = counts[g == "b"].get(w, 0) + 1
+    text = "thti zuti okndly erou thti"
+    want = [sum(np.log10(c[w] / sum(c.values())) if w in c else -7.0 for w in text.split() if w in counts[0] or w in counts[1]) for c in counts]
+    rows = np.array([model.row(w) for w in text.split() if w in counts[0] or w in counts[1]])
+    assert np.allclose(rows.sum(axis=0), want, atol=1e-4)
+    got = language_id.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert got["lang_pred"] == model.langs[int(np.argmax(np.mean([model.row(w) for w in text.split()], axis=0)))]
