@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +48,26 @@ def best_epoch(rows: DataFrame, metric: str, epoch: str = "epoch") -> DataFrame:
     return rows.agg(F.max_by(epoch, F.struct(metric, -F.col(epoch))).alias("epoch"), F.max(metric).alias(metric))
 
 
-def positional_split(rows: DataFrame, order: str, share: float = 0.8, group: str | None = None) -> DataFrame:
-    """The first int(n * share) rows in `order` train, the others validate."""
-    w = Window.partitionBy(*([group] if group else []))
-    place = F.row_number().over(w.orderBy(order))
-    return rows.withColumn("split", F.when(place <= F.floor(F.count("*").over(w) * F.lit(share) + 1e-9), "train").otherwise("val"))
+def positional_split(rows: DataFrame, order: str, share: float = 0.8, group: str | None = None, parts: int = 1024) -> DataFrame:
+    """The first int(n * share) rows in `order` train, the others validate, in each group or over all rows.
+
+    Over all rows a numeric order is cut into `parts` ranges at its quantiles; a row's place is its place in the range
+    plus the sizes of the ranges before, so that no task ranks more than a range."""
+    if group or rows.schema[order].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        w = Window.partitionBy(*([group] if group else []))
+        place = F.row_number().over(w.orderBy(order))
+        return rows.withColumn("split", F.when(place <= F.floor(F.count("*").over(w) * F.lit(share) + 1e-9), "train").otherwise("val"))
+    cuts = rows.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first()["q"] or []
+    cuts = sorted(set(cuts))
+    ranged = rows.withColumn("_part", F.expr(f"size(filter(array({', '.join(map(repr, cuts))}), b -> b < `{order}`))") if cuts else F.lit(0))
+    before, at = 0, []
+    for p, n in sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect()):  # at most `parts` rows
+        at.append((p, before))
+        before += n
+    train = math.floor(before * share + 1e-9)
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(at, "_part int, _before long"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_before")
+    return ranged.join(offsets, "_part").withColumn("split", F.when(place <= train, "train").otherwise("val")).drop("_part", "_before")
 
 
 def part_split(rows: DataFrame, part: str, train: float = 0.7, val: float = 0.2) -> DataFrame:

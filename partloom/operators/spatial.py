@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from partloom.functions.linear import covariance, eigenvalues
 
 
-def _pairs_in(points: DataFrame, radius: float, group: str) -> DataFrame:
-    """All ordered pairs of one group whose cells of side `radius` touch, with squared distance `d2`.
+def _pairs_in(points: DataFrame, radius, group: str) -> DataFrame:
+    """All ordered pairs of one group whose cells of side `radius` (a number, or a column that is the same for the
+    whole group) touch, with squared distance `d2`.
 
     Each point is sent to the 27 cells around its own and meets the points of that cell by an equi join, so a point is
     compared with its surroundings only; no nested loop over a cloud.
@@ -20,7 +21,7 @@ def _pairs_in(points: DataFrame, radius: float, group: str) -> DataFrame:
     right = points.select(F.col(group), *(c.alias(f"c{n}") for c, n in zip(cell, "xyz")), *(F.col(c).alias(f"{c}2") for c in ("pid", *"xyz")))
     around = F.array(*(F.struct(*(F.lit(v).alias(f"d{n}") for v, n in zip((i, j, k), "xyz"))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
     left = points.select("*", F.explode(around).alias("o")).select(
-        F.col(group), *(F.col(c).alias(f"{c}1") for c in ("pid", *"xyz")), *((c + F.col(f"o.d{n}")).alias(f"c{n}") for c, n in zip(cell, "xyz"))
+        F.col(group), *([] if isinstance(radius, (int, float)) else [radius.alias("reach")]), *(F.col(c).alias(f"{c}1") for c in ("pid", *"xyz")), *((c + F.col(f"o.d{n}")).alias(f"c{n}") for c, n in zip(cell, "xyz"))
     )
     d2 = sum(((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "yz"), (F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2")))
     return left.join(right, [group, "cx", "cy", "cz"]).withColumn("d2", d2)
@@ -31,22 +32,36 @@ def radius_join(points: DataFrame, radius: float, group: str = "cloud") -> DataF
     return _pairs_in(points, radius, group).where(F.col("d2") <= radius * radius).select(group, "pid1", "pid2", "x2", "y2", "z2", "d2")
 
 
-def knn_join(points: DataFrame, k: int, group: str = "cloud", reach: float | None = None) -> DataFrame:
+def knn_join(points: DataFrame, k: int, group: str = "cloud", reach: float | None = None, whole: int = 64) -> DataFrame:
     """The k nearest points of every point in its group, itself included, ties by pid: `(group, pid1, pid2, rank, d2)`.
 
-    With `reach`, points that have k neighbours within it are settled by the grid join, whose cost grows with the
-    local density; only the others are compared with their whole group. Spark keeps k rows of a point on the map side
-    of the ranking window.
+    Points that have k neighbours within a reach are settled by the grid join, whose cost grows with the local density;
+    only the others are compared with their whole group. Without a given `reach` a group's reach is what would hold
+    2k points if they filled its box evenly, and groups of up to `whole` * k points, for which 27 cells gain nothing,
+    are compared whole. Spark keeps k rows of a point on the map side of the ranking window.
     """
     rank = F.row_number().over(Window.partitionBy(group, "pid1").orderBy("d2", "pid2"))
     cols = [group, "pid1", "pid2", "x2", "y2", "z2", "d2"]
-    if reach:
-        close = radius_join(points, reach, group).select(*cols).withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def settled_and_rest(some: DataFrame, near: DataFrame) -> DataFrame:
+        close = near.select(*cols).withColumn("rank", rank).where(F.col("rank") <= k)
         full = close.where(F.col("rank") == k).select(group, F.col("pid1"))
-        rest = knn_join_of(points.join(full.withColumnRenamed("pid1", "pid"), [group, "pid"], "left_anti"), points, group)
-        settled = close.join(full, [group, "pid1"], "left_semi")
-        return settled.select(*cols, "rank").union(rest.select(*cols).withColumn("rank", rank).where(F.col("rank") <= k))
-    return knn_join_of(points, points, group).withColumn("rank", rank).where(F.col("rank") <= k)
+        rest = knn_join_of(some.join(full.withColumnRenamed("pid1", "pid"), [group, "pid"], "left_anti"), some, group)
+        return close.join(full, [group, "pid1"], "left_semi").select(*cols).union(rest.select(*cols))
+
+    if reach:
+        found = settled_and_rest(points, radius_join(points, reach, group))
+    else:
+        size = lambda c: F.max(c) - F.min(c)
+        box = points.groupBy(group).agg(F.count("*").alias("n"), *(size(c).alias(f"s{c}") for c in "xyz")).where(F.col("n") > whole * k)
+        widest = F.greatest("sx", "sy", "sz")
+        volume = F.greatest("sx", widest / 1000) * F.greatest("sy", widest / 1000) * F.greatest("sz", widest / 1000)
+        box = box.select(group, F.when(widest > 0, F.cbrt(volume * 2 * k / F.col("n"))).otherwise(1.0).alias("reach"))
+        large = points.select(group, "pid", "x", "y", "z").join(box, group)
+        small = points.join(box, group, "left_anti")
+        near = _pairs_in(large, F.col("reach"), group).where(F.col("d2") <= F.col("reach") * F.col("reach"))
+        found = knn_join_of(small, small, group).select(*cols).union(settled_and_rest(large, near))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def knn_join_of(left: DataFrame, right: DataFrame, group: str) -> DataFrame:

@@ -52,10 +52,10 @@ select f.model_id, case when c >= 2 then 'through_hole' else 'blind_hole' end as
 
 def components(spark, d):
     e = P.face_adjacency(X.edge_faces(spark, d))
-    return P.components(e.where("(a + b + model_id) % 7 = 0"), X.faces(spark, d), cutter(spark))
+    return P.components(e, X.faces(spark, d), cutter(spark))
 
 
-COMPONENTS_SQL = (with_views("edge_faces", "faces") + f", {ADJ}").replace("with ", "with recursive ", 1) + """, e as (select * from adj where (a + b + model_id)%7 = 0),
+COMPONENTS_SQL = (with_views("edge_faces", "faces") + f", {ADJ}").replace("with ", "with recursive ", 1) + """, e as (select * from adj),
  reach as (select model_id, face_id, face_id as label from faces union select e.model_id, e.b, reach.label from reach join e on e.model_id = reach.model_id and e.a = reach.face_id),
  low as (select model_id, face_id, min(label) as label from reach group by 1, 2) select model_id, face_id, dense_rank() over (partition by model_id order by label) - 1 as component from low"""
 
@@ -93,10 +93,10 @@ def _face_points(spark, d):
 
 
 def point_labels(spark, d):
-    return P.point_labels(_face_points(spark, d), _feature_table(spark, d).where("feat_idx < 15"))
+    return P.point_labels(_face_points(spark, d), _feature_table(spark, d))
 
 
-POINT_LABELS_SQL = with_views("edge_faces", "faces") + f", {FEATURES}, own as (select model_id, face_id, max(seg) as label from feats where seg < 15 group by 1, 2) select model_id, face_id, edge_id as pid, coalesce(label, -1) as label from edge_faces left join own using (model_id, face_id)"
+POINT_LABELS_SQL = with_views("edge_faces", "faces") + f", {FEATURES}, own as (select model_id, face_id, max(seg) as label from feats group by 1, 2) select model_id, face_id, edge_id as pid, coalesce(label, -1) as label from edge_faces left join own using (model_id, face_id)"
 
 
 def segment_points(spark, d):

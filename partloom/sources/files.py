@@ -106,3 +106,49 @@ def write_splits(splits: DataFrame, path: str) -> None:
 
 def write_statistics(stats: DataFrame, path: str) -> None:
     stats.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_annotations(spark: SparkSession, path: str, kind: str = "drawings") -> DataFrame:
+    """The files that annotation documents list under `kind` (`drawings` or `pointclouds`), as one row each:
+    `model_id, step_file, file`."""
+    docs = spark.read.option("multiLine", "true").schema("model_id string, step_file string, drawings array<string>, pointclouds array<string>").json(path)
+    return docs.select("model_id", "step_file", F.explode(kind).alias("file"))
+
+
+def existing(listed: DataFrame, files: DataFrame, column: str = "file") -> DataFrame:
+    """Listed files that are among those found (`discover`), told by their paths without a scheme."""
+    bare = lambda c: F.regexp_replace(c, r"^[a-z]+:/+", "/")
+    return listed.join(files.select(bare(F.col("path")).alias("_at")), bare(F.col(column)) == F.col("_at"), "left_semi")
+
+
+def both_sides(two: DataFrame, three: DataFrame, by: str = "model_id") -> DataFrame:
+    """Pairs of files of one part that has both a label file and a feature file; a graph needs either."""
+    return two.join(three, by)
+
+
+def write_annotations(models: DataFrame, path: str) -> None:
+    """One JSON line per model: files with their counts. models: model_id, step_file, drawings, pointclouds."""
+    counts = F.struct(
+        F.size("drawings").alias("num_drawings"), F.size("pointclouds").alias("num_pointclouds"),
+        F.array(*map(F.lit, ("front", "top", "side"))).alias("views"), F.array(*map(F.lit, ("ideal", "in_tolerance", "out_of_tolerance"))).alias("deviation_types"),
+    )
+    models.select("model_id", "step_file", "drawings", "pointclouds", counts.alias("metadata")).write.mode("overwrite").json(path)
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """`{segment: {nodes, feature_type, confidence}}` documents as one row per segment."""
+    docs = spark.read.option("wholetext", "true").text(path).select(stem(F.input_file_name()).alias("doc"), F.from_json("value", "map<string,struct<nodes:array<int>,feature_type:string,confidence:double>>").alias("m"))
+    return docs.select("doc", F.explode("m").alias("segment", "s")).select("doc", "segment", "s.*")
+
+
+def write_segments(segments: DataFrame, path: str) -> None:
+    """One JSON document per `doc`, a text file each: `{segment: {nodes, feature_type, confidence}}`."""
+    body = F.map_from_entries(F.sort_array(F.collect_list(F.struct("segment", F.struct("nodes", "feature_type", "confidence")))))
+    segments.groupBy("doc").agg(F.to_json(body).alias("value")).select("doc", "value").write.mode("overwrite").partitionBy("doc").text(path)
+
+
+def write_config(config: DataFrame, path: str, by: str = "model_id") -> None:
+    """A model's features as one JSON line, in the order of their ids; of a correspondence's or feature's columns those
+    that begin with an underscore are left out."""
+    kept = [c for c in config.columns if c != by and not c.startswith("_")]
+    config.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("id", *(c for c in kept if c != "id")))).alias("features")).write.mode("overwrite").json(path)
