@@ -120,7 +120,9 @@ def bitmap(hashes: DataFrame, bits: int) -> DataFrame:
 
 
 def in_bitmap(df: DataFrame, places: DataFrame, bits: int, among: bool = True) -> DataFrame:
-    """Rows whose `h` may be among the bitmap's hashes, without a shuffle of `df`; or else (not `among`) the others."""
+    """Rows whose `h` may be among the bitmap's hashes, without a shuffle of `df`; or else (not `among`) the others.
+
+    Join the result by inner or outer joins: Spark moves a semi or anti join below this one, to all rows."""
     rows = df.withColumn("bucket", F.shiftright(F.pmod("h", F.lit(bits)), 6)).join(F.broadcast(places), "bucket", "inner" if among else "left")
     bit = F.expr(f"coalesce(shiftrightunsigned(bits, cast(pmod(h, {bits}L) % 64 as int)) & 1L, 0L)")
     return rows.where(bit == int(among)).select(*df.columns)

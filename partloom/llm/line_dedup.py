@@ -277,10 +277,10 @@ def repeated_lines(
 
     A task packs its blocks' members by bucket, so that a shuffled row holds thousands of them; of a block with more
     than `small` lines it sends the block's name only, so a block that a third of all lines share costs each task one
-    entry. Where a bucket comes together, lines of a block of up to `small` lines become pairs. In larger blocks two
-    lines are compared with all lines of the block, and then all lines of the block that are not connected yet with
+    entry. Where a bucket comes together, lines of a block of up to `small` lines become pairs. In larger blocks one
+    line is compared with all lines of the block, and then all lines of the block that are not connected yet with
     each other: similarity is not transitive, so a settled line may still be the only link to others. A block of near
-    copies thus takes two rows a line, and only lines that are not connected are compared in pairs, dealt out in parts.
+    copies thus takes one row a line, and only lines that are not connected are compared in pairs, dealt out in parts.
     Pairs are dropped at once whose numbers of words differ too much. Texts of lines are read again, from the
     documents, for those lines only that can be in a pair; words are compared as one character each. The names of large
     blocks are broadcast while there are at most `broadcast_blocks`, else joined by a shuffle; the numbers of lines
@@ -307,8 +307,8 @@ def repeated_lines(
     if known_size:
         names = F.broadcast(big) if known_size <= broadcast_blocks else big
         held = scratch.cut(lines.select("lid", F.explode_outer("blocks").alias("h")).join(names, "h").distinct())
-        ends = held.groupBy("h").agg(F.min("lid").alias("x"), F.max("lid").alias("y")).select("h", F.explode(F.array("x", "y")).alias("a"))
-        star = held.withColumnRenamed("lid", "b").join(ends, "h").where("a <> b").where(_close("a", "b", similarity))
+        centre = held.groupBy("h").agg(F.min("lid").alias("a"))
+        star = held.withColumnRenamed("lid", "b").join(centre, "h").where("a <> b").where(_close("a", "b", similarity))
         pairs = pairs.union(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         crowded = held.select("lid")
     pairs = scratch.cut(pairs.distinct())
@@ -317,7 +317,7 @@ def repeated_lines(
     hashed = F.xxhash64("lid").alias("h")  # the low bits of the number itself are no hash
     some = texts.select("text").mapInArrow(_coded, "lid long, line binary, words string").select("*", hashed)
     some = in_bitmap(some, bitmap(need.select(hashed), filter_bits), filter_bits)
-    coded = scratch.cut(some.drop("h").join(need, "lid", "left_semi").groupBy("lid", "line").agg(F.max("words").alias("words")))
+    coded = scratch.cut(some.drop("h").join(need, "lid").groupBy("lid", "line").agg(F.max("words").alias("words")))
 
     links = scratch.cut(_similar(pairs, coded, similarity))
     known = components(scratch, links.selectExpr("la a", "lb b")).withColumnRenamed("node", "line")
