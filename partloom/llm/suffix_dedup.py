@@ -333,7 +333,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
     marked = bitmap(counts.select(F.xxhash64("tkey").alias("h")).union(ranges.select(F.xxhash64("tkey").alias("h"))), filter_bits)
     keyed = rows.withColumn("h", F.xxhash64("tkey"))
-    touched = in_bitmap(keyed, marked, filter_bits).join(counts, "tkey", "left_anti").join(ranges, "tkey", "left").select("id", "n_bytes", "text", "ranges")
+    touched = in_bitmap(keyed, marked, filter_bits).join(counts, "tkey", "left").where("texts is null").join(ranges, "tkey", "left").select("id", "n_bytes", "text", "ranges")
     clean = in_bitmap(keyed, marked, filter_bits, among=False).select("id", "n_bytes", "text", F.lit(None).cast("array<struct<start:bigint,n:bigint>>").alias("ranges"))
     result = f"id {id_type}, n_bytes long, n_removed long, spans array<struct<begin:bigint,end:bigint>>, kept_sha256 string"
     once = touched.mapInArrow(_cut_out(length), result).union(clean.mapInArrow(_cut_out(length), result))
