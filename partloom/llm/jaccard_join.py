@@ -306,8 +306,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     places = bitmap(doubt.select(F.xxhash64("id", "tkey").alias("h")), filter_bits)
     same = F.expr("h.id <=> d.id and h.tkey = d.tkey")
     among = in_bitmap(held, places, filter_bits).alias("h")
-    untouched = in_bitmap(held, places, filter_bits, among=False).select("_row.*").union(among.join(doubt.alias("d"), same, "left_anti").select("_row.*"))
-    return untouched.union(among.join(doubt.where("stays").alias("d"), same, "left_semi").dropDuplicates(["id", "tkey"]).select("_row.*"))
+    untouched = in_bitmap(held, places, filter_bits, among=False).select("_row.*").union(among.join(doubt.alias("d"), same, "left").where("d.tkey is null").select("_row.*"))
+    kept = among.join(doubt.where("stays").alias("d"), same).select("h.*").dropDuplicates(["id", "tkey"])
+    return untouched.union(kept.select("_row.*"))
 
 
 def op3_jaccard_join(spark, sf_dir) -> DataFrame:
