@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partloom.operators.segments import graph_segment_class
 from partloom.operators.spatial import radius_join
 from partloom.operators.topology import components
 
@@ -72,3 +73,30 @@ def first_claim(members: DataFrame, sizes: DataFrame, group: str = "cloud") -> D
     """Of several segments that hold a point the smallest claims it; ties to the smaller label."""
     rows = members.join(sizes, [group, "label"])
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(group, "pid").orderBy("n", "label"))).where("_place = 1").drop("_place")
+
+
+def label_clusters(points: DataFrame, cut, share: float = 0.1, least: int = 30, label: str = "label", group: str = "cloud") -> DataFrame:
+    """Connected parts `(group, label, cluster, n, confidence)` of at least `least` points of each predicted label:
+    density clusters with a reach of `share` of the label's box diagonal and a third of `least` as core size."""
+    w = Window.partitionBy(group, label)
+    size = [F.max(c).over(w) - F.min(c).over(w) for c in "xyz"]
+    diagonal = F.sqrt(size[0] * size[0] + size[1] * size[1] + size[2] * size[2])
+    whole = points.withColumn("_d", diagonal).withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= least)
+    scaled = whole.select(F.struct(group, label).alias("_key"), "pid", *(F.when(F.col("_d") > 0, F.col(c) / F.col("_d")).otherwise(0.0).alias(c) for c in "xyz"))
+    found = dbscan(scaled, share, max(1, least // 3), cut, "_key").where("label >= 0").groupBy("_key", F.col("label").alias("cluster")).agg(F.count("*").alias("n"))
+    return found.where(F.col("n") >= least).select(F.col(f"_key.{group}").alias(group), F.col(f"_key.{label}").alias(label), "cluster", "n", F.lit(0.7).alias("confidence"))
+
+
+def segment_features(points: DataFrame, cut, eps: float = 0.15, core: int = 5, least: int = 5, group: str = "cloud") -> DataFrame:
+    """Segments of a cloud and their classes: density clusters of the positions (noise is a segment, too), of at least
+    `least` points, classified by mean curvature, variances of the normals and aspect of the box.
+
+    points: group, pid, x, y, z, nx, ny, nz, curvature."""
+    label = dbscan(points.select(group, "pid", "x", "y", "z"), eps, core, cut, group)
+    out = points.join(label, [group, "pid"]).groupBy(group, "label").agg(
+        F.count("*").alias("n"), F.avg("curvature").alias("mean_curvature"), F.max("curvature").alias("max_curvature"), F.array(*(F.var_pop(f"n{c}") for c in "xyz")).alias("variances"),
+        F.array(*(F.max(c) - F.min(c) for c in "xyz")).alias("sides"),
+    ).where(F.col("n") >= least)
+    aspect = F.array_max("sides") / (F.coalesce(F.array_min(F.filter("sides", lambda v: v > 0)), F.lit(0.0)) + 1e-10)
+    kind, confidence = graph_segment_class(F.col("n"), F.col("mean_curvature"), F.col("variances"), aspect)
+    return out.select(group, "label", "n", "mean_curvature", "max_curvature", aspect.alias("aspect"), kind.alias("type"), confidence.alias("confidence"))

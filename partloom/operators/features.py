@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partloom.functions.linear import covariance, eigenvalues, eigenvector
 from partloom.functions.records import dimension_fits
 from partloom.operators import segments as G
 from partloom.operators import spatial as S
@@ -19,6 +20,25 @@ def normal_statistics(points: DataFrame, group: str = "cloud") -> DataFrame:
     return out.select(group, unit("x", 0.0).alias("normal_x"), unit("y", 0.0).alias("normal_y"), unit("z", 1.0).alias("normal_z"), "normal_std")
 
 
+def point_normals(points: DataFrame, k: int = 10, toward: str = "centroid", group: str = "cloud") -> DataFrame:
+    """Unit normal (nx, ny, nz) of every point: the shortest axis of its k nearest, turned so that it does not point
+    against the neighbours' centroid or (`toward` "point") against the point itself, both seen from the origin.
+    [0, 0, 1] where the axis is not unique or there are fewer than three points."""
+    near = S.knn_join(points, k, group)
+    fit = near.groupBy(group, F.col("pid1").alias("pid")).agg(F.count("*").alias("k"), *covariance("x2", "y2", "z2"), *(F.avg(f"{c}2").alias(f"m{c}") for c in "xyz"))
+    fit = fit.withColumn("e", eigenvalues()).withColumn("v", F.when(F.col("k") >= 3, eigenvector(F.col("e.e2"))).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))))
+    if toward == "point":
+        fit = fit.join(points.select(group, "pid", "x", "y", "z"), [group, "pid"])
+    to = [F.col(c if toward == "point" else f"m{c}") for c in "xyz"]
+    against = sum((F.col("v")[i] * to[i] for i in (1, 2)), F.col("v")[0] * to[0]) < 0
+    return fit.select(group, "pid", *(F.when(against, -F.col("v")[i]).otherwise(F.col("v")[i]).alias(f"n{c}") for i, c in enumerate("xyz")))
+
+
+def with_dimensions(segments: DataFrame, dimensions: DataFrame, by: str = "seg_id") -> DataFrame:
+    """Segments with the measures of their id, where there are any."""
+    return segments.join(dimensions, by, "left")
+
+
 def normal_deviation(points: DataFrame, k: int, group: str = "cloud") -> DataFrame:
     """Mean distance of the normals of the k nearest points from their mean."""
     near = S.knn_join(points.select(group, "pid", "x", "y", "z"), k, group).select(group, "pid1", "pid2")

@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 from partloom.functions import records as R
 from partloom.functions import vectors as V
+from partloom.operators import clusters as C
 from partloom.operators import features as P
 from partloom.operators import matching as M
 from partloom.operators import spatial as S
-from partloom.plans.graph_queries import SCORES_CTE, _labels, _measured
-from partloom.plans.shape_queries import DESCRIPTORS_SQL, GEO, STATS, curvature_cte, knn, r, rounded
+from partloom.plans.graph_queries import DBSCAN_SQL, SCORES_CTE, _labels, _measured
+from partloom.plans.runtime import cutter
+from partloom.plans.shape_queries import DESCRIPTORS_SQL, GEO, STATS, cov_sql, curvature_cte, eig, knn, r, rounded
 from partloom.sources import fixtures as X
 from partloom.sources.fixtures import with_views
 
@@ -100,6 +102,30 @@ DEVIATION_SQL = with_views("normals_small") + f""", {knn(12, 'normals_small')},
  m as (select cloud, pid1, avg(nx) mx, avg(ny) my, avg(nz) mz from w group by 1, 2) select cloud, pid1 as pid, {r('avg(sqrt((nx-mx)*(nx-mx)+(ny-my)*(ny-my)+(nz-mz)*(nz-mz)))', 'curvature')} from w join m using (cloud, pid1) group by 1, 2"""
 
 
+def point_normals(spark, d):
+    """Normals of ten neighbours, turned by their centroid and by the point."""
+    p = X.pts_small(spark, d)
+    a = P.point_normals(p, 10)
+    b = P.point_normals(p, 10, "point").select("cloud", "pid", *(F.col(f"n{c}").alias(f"p{c}") for c in "xyz"))
+    return rounded(a.join(b, ["cloud", "pid"]), 4)
+
+
+TURNED = lambda sign, name: ", ".join(r(f"case when {sign} < 0 then -v[{i}]/len else v[{i}]/len end", f"{name}{c}", 4) for i, c in ((1, "x"), (2, "y"), (3, "z")))
+POINT_NORMALS_SQL = with_views("pts_small") + f""", {knn(10)}, cov as (select cloud, pid1 as pid, {cov_sql('', 'x2', 'y2', 'z2')}, avg(x2) mx, avg(y2) my, avg(z2) mz from near group by 1, 2), {eig('cov')},
+ cr as (select *, [cxy*cyz - cxz*(cyy-e2), cxz*cxy - (cxx-e2)*cyz, (cxx-e2)*(cyy-e2) - cxy*cxy] as a, [cxy*(czz-e2) - cxz*cyz, cxz*cxz - (cxx-e2)*(czz-e2), (cxx-e2)*cyz - cxy*cxz] as b, [(cyy-e2)*(czz-e2) - cyz*cyz, cyz*cxz - cxy*(czz-e2), cxy*cyz - (cyy-e2)*cxz] as c from eig),
+ s as (select *, list_dot_product(a, a) as sa, list_dot_product(b, b) as sb, list_dot_product(c, c) as sc from cr),
+ v as (select s.cloud, s.pid, mx, my, mz, x, y, z, case when sa >= sb and sa >= sc then a when sb >= sc then b else c end as v, sqrt(greatest(sa, sb, sc)) as len from s join pts_small p on p.cloud = s.cloud and p.pid = s.pid)
+select cloud, pid, {TURNED('v[1]*mx + v[2]*my + v[3]*mz', 'n')}, {TURNED('v[1]*x + v[2]*y + v[3]*z', 'p')} from v"""
+
+
+def segment_measures(spark, d):
+    """Clouds with the dimension of those that are slots or holes."""
+    kind = F.element_at(F.array(*map(F.lit, ("hole", "slot", "plane"))), (F.col("cloud") % 3 + 1).cast("int"))
+    p = X.pts_small(spark, d)
+    dims = P.dimension_of(p, p.select("cloud", kind.alias("type")).distinct()).where("type <> 'plane'").select(F.col("cloud").alias("seg_id"), "type", "dimension")
+    return rounded(P.with_dimensions(p.groupBy(F.col("cloud").alias("seg_id")).agg(F.count("*").alias("n")), dims), 4)
+
+
 def curvature_percentiles(spark, d):
     return rounded(P.percentiles(S.curvature(X.pts_small(spark, d), 20, 1e-10), F.col("curvature"), [1, 5, 10, 25, 50, 75, 90, 95, 99]))
 
@@ -228,6 +254,7 @@ def feature_correspondences(spark, d):
     return rounded(P.correspondences(f, dims))
 
 
+SEGMENT_MEASURES_SQL = f"""select seg_id, n, type, dimension from (select label as seg_id, count(*) as n from embeddings group by 1) left join (select cloud as seg_id, type, dimension from ({DIMENSIONS_SQL}) where type <> 'plane') using (seg_id)"""
 FEATURE_CORRESPONDENCES_SQL = with_views("labels_2d", "measured_3d") + f""", f as (select model_id, id, case when type like '%hole' then 'hole' else type end as type, case when key = 'radius' then 2*value else value end as nominal, value+1 as measured from measured_3d),
  l as (select model_id, id as dim_id, pos, (['diameter', 'radius', 'height', 'length', 'width', 'distance', 'angle'])[(pos%7 + 1)::int] as kind, nominal as value, tol from labels_2d),
  m as (select f.model_id, f.id, dim_id, l.value, l.tol from f join l on l.model_id = f.model_id and (type = 'hole' and kind in ('diameter', 'radius') or type = 'cylinder' and kind in ('diameter', 'height') or type = 'plane' and kind in ('length', 'width', 'distance')) qualify row_number() over (partition by f.model_id, f.id order by pos) = 1),
@@ -251,11 +278,38 @@ def training_dataset(spark, d):
 DATASET_SQL = with_views("labels_2d", "measured_3d") + f""", {SCORES_CTE}, z as (select vec_id as pos, embedding[1]::double as z from embeddings), e as (select * from sc where (i+j)%5 <> 0)
 select src, dst, case when err <= e.tol then 1.0 else 0.0 end::double as label, {r('a.z', 'a0', 5)}, {r('b.z', 'b0', 5)}, {r('abs(a.z-b.z)', 'd0', 5)}, {r('ln(1+abs(m.nominal-f.value))', 'dev', 5)} from e join z a on a.pos = e.i join z b on b.pos = e.j join labels_2d m on m.pos = e.i join measured_3d f on f.pos = e.j"""
 
+
+def label_clusters(spark, d):
+    p = X.pts_small(spark, d).withColumn("label", F.col("pid") % 2)
+    return C.label_clusters(p, cutter(spark), 0.15, 9)
+
+
+CLUSTERS_BODY = DBSCAN_SQL[len(with_views("pts_small").replace("with ", "with recursive ", 1)) :]
+LABEL_CLUSTERS_SQL = with_views("pts_small").replace("with ", "with recursive ", 1) + """, own as (select cloud*2 + pid%2 as cloud, pid, x, y, z from pts_small),
+ dia as (select cloud, sqrt(pow(max(x)-min(x), 2) + pow(max(y)-min(y), 2) + pow(max(z)-min(z), 2)) as d from own group by 1 having count(*) >= 9), scaled as (select cloud, pid, x/d as x, y/d as y, z/d as z from own join dia using (cloud))""" + CLUSTERS_BODY.replace("pts_small", "scaled").replace("0.12*0.12", "0.15*0.15").replace("count(*) >= 4", "count(*) >= 3").replace("select s.cloud, s.pid, coalesce(num.k, border.k, -1)::int as label from", ", lab as (select s.cloud, coalesce(num.k, border.k, -1)::int as k from") + """)
+select cloud//2 as cloud, cloud%2 as label, k as cluster, count(*) as n, 0.7::double as confidence from lab where k >= 0 group by 1, 2, 3 having count(*) >= 9"""
+
+
+def segment_features(spark, d):
+    p = X.normals_small(spark, d)
+    angle = rounded(S.descriptors(p), 5).select("cloud", "pid", F.col("angle").alias("curvature"))
+    return rounded(C.segment_features(p.join(angle, ["cloud", "pid"]), cutter(spark), 0.12, 4), 4)
+
+
+SEGMENT_FEATURES_SQL = with_views("pts_small", "normals_small").replace("with ", "with recursive ", 1) + CLUSTERS_BODY.replace("select s.cloud, s.pid, coalesce(num.k, border.k, -1)::int as label from", ", lab as (select s.cloud, s.pid, coalesce(num.k, border.k, -1)::int as label from") + f"""),
+ bend as (select cloud, pid, angle from ({DESCRIPTORS_SQL})), st as (select l.cloud, l.label, count(*) as n, avg(angle) as mc, max(angle) as xc, [var_pop(nx), var_pop(ny), var_pop(nz)] as v, [max(x)-min(x), max(y)-min(y), max(z)-min(z)] as s
+  from lab l join normals_small using (cloud, pid) join bend using (cloud, pid) group by 1, 2 having count(*) >= 5),
+ a as (select *, list_max(s)/(coalesce(list_min(list_filter(s, lambda x: x > 0)), 0) + 1e-10) as aspect, list_max(v) as vm from st),
+ k as (select *, case when mc > 0.5 and aspect > 2 then 'taper_hole' when mc > 0.5 then 'hole' when vm < 0.1 and aspect > 3 then 'slot' when vm < 0.1 then 'pocket' when vm > 0.5 and mc > 0.3 then 'fillet' when vm > 0.5 then 'chamfer'
+  when n > 100 and aspect > 1.5 then 'step' when mc < 0.1 and vm < 0.05 then 'plane' when mc > 0.2 and mc < 0.5 then 'cylinder' else 'unknown' end as type from a)
+select cloud, label, n, {r('mc', 'mean_curvature', 4)}, {r('xc', 'max_curvature', 4)}, {r('aspect', 'aspect', 4)}, type, case type when 'taper_hole' then 0.7 when 'hole' then 0.8 when 'slot' then 0.75 when 'pocket' then 0.7 when 'fillet' then 0.6 when 'chamfer' then 0.65 when 'step' then 0.6 when 'plane' then 0.9 when 'cylinder' then 0.75 else 0.5 end::double as confidence from k"""
+
 QUERIES = [
     ("cleaned_records", cleaned_records, CLEANED_SQL), ("label_numbers", label_numbers, LABEL_NUMBERS_SQL), ("neighbour_records", neighbour_records, NEIGHBOURS_SQL), ("text_regions", text_regions, REGIONS_SQL),
     ("view_rays", view_rays, RAYS_SQL), ("nominal_values", nominal_values, NOMINAL_SQL), ("normal_statistics", normal_statistics, NORMAL_STATISTICS_SQL), ("normal_deviation", normal_deviation, DEVIATION_SQL),
     ("curvature_percentiles", curvature_percentiles, PERCENTILES_SQL), ("angle_percentiles", angle_percentiles, ANGLES_SQL), ("descriptor_means", descriptor_means, DESCRIPTOR_MEANS_SQL), ("label_groups", label_groups, LABEL_GROUPS_SQL),
     ("distinct_labels", distinct_labels, DISTINCT_SQL), ("distinct_shapes", distinct_shapes, SHAPES_SQL), ("incidence_counts", incidence_counts, INCIDENCE_SQL), ("positive_measures", positive_measures, POSITIVE_SQL),
     ("measured_values", measured_values, MEASURED_SQL), ("feature_dimensions", feature_dimensions, DIMENSIONS_SQL), ("feature_config", feature_config, CONFIG_SQL), ("feature_correspondences", feature_correspondences, FEATURE_CORRESPONDENCES_SQL),
-    ("training_dataset", training_dataset, DATASET_SQL),
+    ("label_clusters", label_clusters, LABEL_CLUSTERS_SQL), ("segment_features", segment_features, SEGMENT_FEATURES_SQL),
+    ("training_dataset", training_dataset, DATASET_SQL), ("point_normals", point_normals, POINT_NORMALS_SQL), ("segment_measures", segment_measures, SEGMENT_MEASURES_SQL),
 ]
