@@ -31,8 +31,10 @@ def contrastive_loss(pairs: DataFrame, temperature: float = 0.1, group: str = "c
     """Mean over a group's pairs (eid, a, b) of the cross entropy of their cosine logits with the true partner, both ways."""
     p = pairs.withColumn("a", unit(F.col("a"))).withColumn("b", unit(F.col("b")))
     all_ = p.select(group, F.col("eid").alias("i"), "a").join(p.select(group, F.col("eid").alias("j"), "b"), group).withColumn("l", dot(F.col("a"), F.col("b")) / temperature)
-    one = lambda k: all_.groupBy(group, k).agg((F.log(F.sum(F.exp("l"))) - F.max(F.when(F.col("i") == F.col("j"), F.col("l")))).alias("loss")).select(group, "loss")
-    return one("i").union(one("j")).groupBy(group).agg(F.avg("loss").alias("loss"))
+    # either side's denominators from one evaluation of the products
+    sides = all_.withColumn("same", F.when(F.col("i") == F.col("j"), F.col("l"))).withColumn("s", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("k")), F.struct(F.lit(1).alias("side"), F.col("j").alias("k")))))
+    loss = sides.groupBy(group, "s.side", "s.k").agg((F.log(F.sum(F.exp("l"))) - F.max("same")).alias("loss"))
+    return loss.groupBy(group).agg(F.avg("loss").alias("loss"))
 
 
 def run_statistics(rows: DataFrame, ok: Column, made: Column) -> DataFrame:
@@ -85,4 +87,6 @@ def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.8)
 
 
 def split_manifest(splits: DataFrame, member: str) -> DataFrame:
-    return splits.groupBy("split").agg(F.count("*").alias("num_files"), F.array_sort(F.collect_list(member)).alias("files"))
+    """Rows `(split, num_files, file)`: every member with its split and the size of that split."""
+    counts = splits.groupBy("split").agg(F.count("*").alias("num_files"))  # a row for each split
+    return splits.select("split", F.col(member).alias("file")).join(F.broadcast(counts), "split")

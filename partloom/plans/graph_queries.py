@@ -179,6 +179,13 @@ def greedy_matches(spark, d):
     return rounded(out.select("model_id", "src", "dst", "score", "status"), 5)
 
 
+GREEDY_SQL = with_views("labels_2d", "measured_3d").replace("with ", "with recursive ", 1) + f""", {SCORES_CTE.replace('sc as (', 'sc as materialized (')}, pick as (
+ select model_id, src, dst, score, err, tol, [i] as is_, [j] as js from sc qualify row_number() over (partition by model_id order by score desc, i, j) = 1
+ union all select model_id, src, dst, score, err, tol, is_, js from (select sc.model_id, sc.src, sc.dst, sc.score, sc.err, sc.tol, list_append(p.is_, sc.i) as is_, list_append(p.js, sc.j) as js,
+   row_number() over (partition by sc.model_id order by sc.score desc, sc.i, sc.j) as best from pick p join sc on sc.model_id = p.model_id where not list_contains(p.is_, sc.i) and not list_contains(p.js, sc.j)) where best = 1)
+select model_id, src, dst, {r('score', 'score', 5)}, case when err <= tol then 'IN_TOLERANCE' else 'OUT_OF_TOLERANCE' end as status from pick"""
+
+
 def optimal_matches(spark, d):
     labels, measured = _labels(spark, d), _measured(spark, d)
     sides = labels.groupBy("model_id").agg(F.count("*").alias("n2")).join(measured.groupBy("model_id").agg(F.count("*").alias("n3")), "model_id")
@@ -398,7 +405,7 @@ QUERIES = [
     ("face_adjacency", face_adjacency, ADJACENCY_SQL), ("holes", holes, HOLES_SQL), ("recognised_features", recognised_features, None), ("hole_features", hole_features, HOLE_FEATURES_SQL), ("face_components", components, COMPONENTS_SQL),
     ("face_groups", face_groups, FACE_GROUPS_SQL), ("segment_face_classes", segment_face_classes, SEGMENT_FACE_SQL), ("point_labels", point_labels, POINT_LABELS_SQL), ("segment_points", segment_points, SEGMENT_POINTS_SQL),
     ("segment_adjacency", segment_adjacency, SEGMENT_ADJ_SQL), ("segment_relations", segment_relations, RELATIONS_SQL), ("segment_topology", segment_topology, TOPOLOGY_SQL), ("match_scores", match_scores, SCORES_SQL),
-    ("greedy_matches", greedy_matches, None), ("optimal_matches", optimal_matches, None), ("top_candidates", top_candidates, TOP_SQL), ("graph_edge_counts", graph_edge_counts, EDGE_COUNTS_SQL), ("training_pairs", training_pairs, TRAINING_SQL),
+    ("greedy_matches", greedy_matches, GREEDY_SQL), ("optimal_matches", optimal_matches, None), ("top_candidates", top_candidates, TOP_SQL), ("graph_edge_counts", graph_edge_counts, EDGE_COUNTS_SQL), ("training_pairs", training_pairs, TRAINING_SQL),
     ("edge_attributes", edge_attributes, ATTRIBUTES_SQL), ("node_vectors", node_vectors, _vectors_sql()), ("label_vectors", label_vectors, LABEL_VECTORS_SQL), ("pair_vectors", pair_vectors, PAIRS_SQL), ("recall_at_1", recall_at_1, RECALL_SQL),
     ("contrastive_loss", contrastive_loss, LOSS_SQL), ("classifier_scores", classifier_scores, SCORING_SQL), ("run_statistics", run_statistics, STATISTICS_SQL), ("splits", splits, SPLITS_SQL), ("best_epochs", best_epochs, EPOCH_SQL),
     ("correspondence", correspondence, CORRESPONDENCE_SQL), ("projections", projections, PROJECTIONS_SQL), ("core_points", core_points, CORE_SQL), ("density_clusters", density_clusters, DBSCAN_SQL), ("grown_regions", grown_regions, None),

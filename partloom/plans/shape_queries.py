@@ -386,10 +386,26 @@ def farthest_points(spark, d):
     return K.farthest_points(X.pts_small(spark, d), 8)
 
 
+FARTHEST_SQL = with_views("pts_small").replace("with ", "with recursive ", 1) + """, pick as (
+ select cloud, 1 as place, pid, [x] as xs, [y] as ys, [z] as zs from pts_small qualify row_number() over (partition by cloud order by pid) = 1
+ union all select cloud, place, pid, xs, ys, zs from (select k.cloud, k.place + 1 as place, p.pid, list_append(k.xs, p.x) as xs, list_append(k.ys, p.y) as ys, list_append(k.zs, p.z) as zs,
+   row_number() over (partition by k.cloud order by list_min(list_transform(range(1, k.place + 1), lambda i: (p.x-k.xs[i])*(p.x-k.xs[i]) + (p.y-k.ys[i])*(p.y-k.ys[i]) + (p.z-k.zs[i])*(p.z-k.zs[i]))) desc, p.pid) as best
+  from pick k join pts_small p using (cloud) where k.place < 8) where best = 1)
+select cloud, pid, place from pick"""
+
+
 def sphere_fits(spark, d):
     return rounded(G.sphere_fit(X.pts_small(spark, d)), 5)
 
 
+SPHERE_FITS_SQL = with_views("pts_small") + f""", m as (select cloud, avg(x) mx, avg(y) my, avg(z) mz, 0.01*sqrt(pow(max(x)-min(x), 2) + pow(max(y)-min(y), 2) + pow(max(z)-min(z), 2)) as lim from pts_small group by 1 having count(*) >= 4),
+ t as (select p.*, m.*exclude(cloud), x-mx as u, y-my as v, z-mz as w, (x-mx)*(x-mx) + (y-my)*(y-my) + (z-mz)*(z-mz) as q from pts_small p join m using (cloud)),
+ s as (select cloud, any_value(mx) mx, any_value(my) my, any_value(mz) mz, sum(u*u) a, sum(u*v) b, sum(u*w) c, sum(v*v) d, sum(v*w) e, sum(w*w) f, sum(u*q)/2 g, sum(v*q)/2 h, sum(w*q)/2 k, avg(q) as mq from t group by 1),
+ d as (select *, a*(d*f-e*e) - b*(b*f-c*e) + c*(b*e-c*d) as det from s),
+ o as (select *, (g*(d*f-e*e) - b*(h*f-e*k) + c*(h*e-d*k))/det as x0, (a*(h*f-e*k) - g*(b*f-c*e) + c*(b*k-c*h))/det as y0, (a*(d*k-e*h) - b*(b*k-c*h) + g*(b*e-c*d))/det as z0 from d),
+ r as (select cloud, mx+x0 as ox, my+y0 as oy, mz+z0 as oz, sqrt(greatest(0, mq + x0*x0 + y0*y0 + z0*z0)) as radius from o)
+select t.cloud, {', '.join(r(f'any_value(o{c})', f'o{c}', 5) for c in 'xyz')}, {r('any_value(radius)', 'radius', 5)}, {r('avg(case when abs(sqrt((x-ox)*(x-ox) + (y-oy)*(y-oy) + (z-oz)*(z-oz)) - radius) < lim then 1.0 else 0.0 end)', 'sphere', 5)} from t join r using (cloud) group by 1"""
+
 QUERIES = [
     ("segment_summary", segment_summary, SUMMARY_SQL), ("big_summary", big_summary, BIG_SUMMARY_SQL), ("value_distribution", distribution, DISTRIBUTION_SQL), ("nearest_points", nearest_points, NEAREST_SQL),
     ("nearest_points_grid", nearest_points_grid, NEAREST_GRID_SQL), ("radius_pairs", radius_pairs, RADIUS_SQL), ("point_curvature", point_curvature, CURVATURE_SQL), ("curvature_statistics", curvature_statistics, CURVATURE_STATS_SQL),
@@ -400,5 +416,5 @@ QUERIES = [
     ("whole_measure", whole_measure, WHOLE_SQL), ("scaled_clouds", scaled_clouds, SCALED_SQL), ("unit_ball", unit_ball, UNIT_SQL), ("near_centroids", near_centroids, CENTROIDS_SQL),
     ("points_in_features", points_in_features, IN_FEATURES_SQL), ("triangle_quota", triangle_quota, QUOTA_SQL), ("sampled_faces", sampled_faces, SAMPLED_SQL), ("downsampled", downsampled, DOWN_SQL),
     ("noise_variants", noise_variants, NOISE_SQL), ("outliers_moved", outliers_moved, OUT_SQL), ("occluded", occluded, OCC_SQL), ("tolerance_draw", tolerance_draw, DRAW_SQL),
-    ("farthest_points", farthest_points, None), ("sphere_fits", sphere_fits, None),
+    ("farthest_points", farthest_points, FARTHEST_SQL), ("sphere_fits", sphere_fits, SPHERE_FITS_SQL),
 ]
