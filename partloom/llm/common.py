@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it. Tests, which name none, get a local one."""
+    """The folder that driver and executors share, as the cluster names it; a session on one machine, such as tests
+    run in, gets a local one where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="partloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -33,8 +36,10 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
-        gc.collect()  # plans that are done with let go of their shuffle files, which else fill the disks until the
-        self.spark._jvm.System.gc()  # driver happens to collect its garbage
+        # Spark deletes the shuffle files of a plan when the driver's collector finds the plan dead, by default every 30
+        # minutes (spark.cleaner.periodicGC.interval). The plan just written is dead now, so ask for it here.
+        gc.collect()
+        self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
