@@ -87,6 +87,16 @@ class Lines:
         take = np.arange(len(of)) - first[of] < (edits * run + 1)[of]
         return of[take], key[take]
 
+    def sketches(self) -> np.ndarray:
+        """Two numbers of 64 bits a line: bit b tells whether an odd number of the line's words has b in its hash. A
+        replaced word changes at most two bits of each number."""
+        out = np.zeros((2, len(self.n)), np.uint64)
+        some = np.flatnonzero(self.n)
+        if len(some):
+            for k in (0, 1):
+                out[k, some] = np.bitwise_xor.reduceat(U(1) << (self.words >> U(6 * k) & U(63)), self.at[some])
+        return out.view(np.int64)
+
     def codes(self) -> list[str]:
         """Each line as a string with one character for each word, by the word's hash: its edit distance is that of the
         words."""
@@ -118,7 +128,7 @@ def _describe(similarity: float, run: int, min_chars: int, min_equal: int):
             for chunk in _split(texts):
                 x = Lines(chunk)
                 edits = np.floor(x.n * ((1 - similarity) / similarity) + 1e-9).astype(np.int64)
-                of, block = x.blocks((edits > 0) & (x.n > run) & (x.chars >= min_chars), edits, run)
+                of, block = x.blocks((edits > 0) & (x.n > run) & (x.chars >= max(min_chars, min_equal)), edits, run)
                 keep = np.flatnonzero((x.n > 0) & (x.chars >= min_equal))
                 at = np.searchsorted(of, keep).tolist() + [len(of)]
                 # lines that are left out have no blocks, so those of the others follow one another
@@ -137,7 +147,7 @@ def _coded(batches):
     for batch in batches:
         for chunk in _split(batch.column("text").to_pylist()):
             x = Lines(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(x.lid), _binary(x.line), pa.array(x.codes(), pa.string())], names=["lid", "line", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.lid), _binary(x.line), pa.array(x.codes(), pa.string()), *map(pa.array, x.sketches())], names=["lid", "line", "words", "s", "t"])
 
 
 def _within(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
@@ -235,14 +245,26 @@ def _close(a: str, b: str, similarity: float) -> Column:
     return (most == FULL) | (F.abs(_length(a) - _length(b)) <= F.floor(most * F.lit(1 - similarity) + 1e-9))
 
 
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """Whether the sketches of two lines (columns s, t with the suffixes of their numbers) differ by no more bits than
+    the edits of similar lines can change. Exact: no pair of similar lines is lost."""
+    most = F.greatest(_length(a), _length(b))
+    bits = sum((F.bit_count(F.col(f"{k}_{a}").bitwiseXOR(F.col(f"{k}_{b}"))) for k in "t"), F.bit_count(F.col(f"s_{a}").bitwiseXOR(F.col(f"s_{b}"))))
+    return (most == FULL) | (bits <= 4 * F.floor(most * F.lit(1 - similarity) + 1e-9))
+
+
 def _length(lid: str) -> Column:
     return F.col(lid).bitwiseAND(F.lit(FULL))
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of short line numbers the lines (la, lb) whose word edit similarity is high enough."""
-    x = texts.select(F.col("lid").alias("a"), F.col("line").alias("la"), F.col("words").alias("x"))
-    y = texts.select(F.col("lid").alias("b"), F.col("line").alias("lb"), F.col("words").alias("y"))
+def _similar(pairs: DataFrame, coded: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of short line numbers the lines (la, lb) whose word edit similarity is high enough. Sketches
+    are compared first, so that texts travel for pairs only that can be similar."""
+    for k in "ab":
+        pairs = pairs.join(coded.select(F.col("lid").alias(k), F.col("s").alias(f"s_{k}"), F.col("t").alias(f"t_{k}")), k)
+    pairs = pairs.where(_alike("a", "b", similarity)).select("a", "b")
+    x = coded.select(F.col("lid").alias("a"), F.col("line").alias("la"), F.col("words").alias("x"))
+    y = coded.select(F.col("lid").alias("b"), F.col("line").alias("lb"), F.col("words").alias("y"))
     most = F.expr(f"cast(floor(greatest(length(x), length(y)) * {1 - similarity:.6f}D + 1e-9) as int)")
     both = pairs.join(x, "a").join(y, "b").withColumn("most", most).where("abs(length(x) - length(y)) <= most and la <> lb")
     return both.where(F.expr("levenshtein(x, y, most) >= 0")).select("la", "lb")
@@ -281,7 +303,8 @@ def repeated_lines(
     line is compared with all lines of the block, and then all lines of the block that are not connected yet with
     each other: similarity is not transitive, so a settled line may still be the only link to others. A block of near
     copies thus takes one row a line, and only lines that are not connected are compared in pairs, dealt out in parts.
-    Pairs are dropped at once whose numbers of words differ too much. Texts of lines are read again, from the
+    Pairs are dropped at once whose numbers of words differ too much or whose sketches (parities of hashed words)
+    differ in more bits than the allowed edits can change. Texts of lines are read again, from the
     documents, for those lines only that can be in a pair; words are compared as one character each. The names of large
     blocks are broadcast while there are at most `broadcast_blocks`, else joined by a shuffle; the numbers of lines
     that can be in a pair are thinned out by a bitmap of `filter_bits` bits before their join.
@@ -315,21 +338,21 @@ def repeated_lines(
     need = pairs.select(F.explode(F.array("a", "b")).alias("lid"))
     need = scratch.cut((need if crowded is None else need.union(crowded)).distinct())
     hashed = F.xxhash64("lid").alias("h")  # the low bits of the number itself are no hash
-    some = texts.select("text").mapInArrow(_coded, "lid long, line binary, words string").select("*", hashed)
+    some = texts.select("text").mapInArrow(_coded, "lid long, line binary, words string, s long, t long").select("*", hashed)
     some = in_bitmap(some, bitmap(need.select(hashed), filter_bits), filter_bits)
-    coded = scratch.cut(some.drop("h").join(need, "lid").groupBy("lid", "line").agg(F.max("words").alias("words")))
+    coded = scratch.cut(some.drop("h").join(need, "lid").groupBy("lid", "line").agg(*(F.max(c).alias(c) for c in ("words", "s", "t"))))
 
     links = scratch.cut(_similar(pairs, coded, similarity))
     known = components(scratch, links.selectExpr("la a", "lb b")).withColumnRenamed("node", "line")
     if crowded is not None:
-        of = coded.select("lid", "line").join(known, "line", "left").select("lid", F.xxhash64(F.coalesce("root", "line")).alias("root"))
+        of = coded.select("lid", "line", "s", "t").join(known, "line", "left").select("lid", "s", "t", F.xxhash64(F.coalesce("root", "line")).alias("root"))
         apart = held.join(of, "lid")
         mixed = apart.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count("*") / F.lit(8.0 * small)).cast("int").alias("parts")).where("r <> s")
         apart = scratch.cut(apart.join(mixed.select("h", "parts"), "h"))
         part = F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int")
-        x = apart.select("h", part.alias("part"), F.col("lid").alias("a"), F.col("root").alias("p"))
-        y = apart.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("lid").alias("b"), F.col("root").alias("q"))
-        near = scratch.cut(x.join(y, ["h", "part"]).where("a < b and p <> q").where(_close("a", "b", similarity)).select("a", "b").distinct())
+        x = apart.select("h", part.alias("part"), F.col("lid").alias("a"), F.col("root").alias("p"), F.col("s").alias("s_a"), F.col("t").alias("t_a"))
+        y = apart.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("lid").alias("b"), F.col("root").alias("q"), F.col("s").alias("s_b"), F.col("t").alias("t_b"))
+        near = scratch.cut(x.join(y, ["h", "part"]).where("a < b and p <> q").where(_close("a", "b", similarity) & _alike("a", "b", similarity)).select("a", "b").distinct())
         if not near.isEmpty():
             more = scratch.cut(_similar(near, coded, similarity))
             if not more.isEmpty():
@@ -338,6 +361,7 @@ def repeated_lines(
     copies = lines.groupBy("line").agg(F.count("*").alias("copies"))
     several = copies.where("copies > 1").select("line").join(known, "line", "full").select("line", F.coalesce("root", "line").alias("root"))
     again = scratch.cut(lines.select("line", "id", "th", "pos").join(several, "line").drop("line"))
+    scratch.keep_only(again)
     keep = again.groupBy("root").agg(F.min(F.struct("id", "th", "pos")).alias("keep"))
     gone = again.join(keep, "root").where(~F.struct("id", "th", "pos").eqNullSafe(F.col("keep")))
     removed = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
