@@ -30,7 +30,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage: they outlive any executor. `drop` deletes one early."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n, self.paths = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0, set()
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -40,14 +40,23 @@ class Scratch:
         # minutes (spark.cleaner.periodicGC.interval). The plan just written is dead now, so ask for it here.
         gc.collect()
         self.spark._jvm.System.gc()
+        self.paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        jvm, path = self.spark._jvm, getattr(df, "_scratch_path", None)
-        if path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
+        self._delete(getattr(df, "_scratch_path", None))
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables written so far but those that a result still reads."""
+        for path in self.paths - {t._scratch_path for t in tables}:
+            self._delete(path)
+
+    def _delete(self, path: str | None) -> None:
+        if path in self.paths:
+            self.paths.discard(path)
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 

@@ -259,6 +259,7 @@ def _classes(
     classes = classes.withColumn("root", F.coalesce("root", "key"))
     named = classes.groupBy("root").agg(F.min("min_id").alias("class_id"))
     per_set = scratch.cut(classes.join(named, "root").select("key", "root", "class_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
+    scratch.keep_only(described, per_set)
     out = described.select("id", "tkey", "key").join(per_set, "key", "left")
     class_id = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id")
     return out.select("id", "tkey", "root", class_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -317,8 +317,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     counts = scratch.cut(rows.groupBy("tkey").agg(F.count("*").alias("texts")).where("texts > 1"))
     found = whole.union(sorted_).union(hashed).join(counts, "tkey", "left_anti").groupBy("tkey").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     ranges = scratch.cut(found)
-    scratch.drop(runs)
-    scratch.drop(cut)
+    scratch.keep_only(ranges, counts)
 
     light = rows.select("id", "tkey", "n_bytes", F.sha2("text", 256).alias("whole"))
     copies = light.join(counts, "tkey")
