@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from partloom.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, nearest, piece_lattice, quality, sharding, suffix_dedup
+from partloom.llm import (
+    collocations, decontaminate, jaccard_join, language_id, license_scan, line_dedup, nearest, piece_lattice, quality, secrets, sharding, suffix_dedup, whitening,
+)
 
 
 def queries() -> dict:
@@ -17,8 +19,11 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_language_id": language_id.op9_language_id,
         "op10_nearest": nearest.op10_nearest,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_secrets": secrets.op13_secrets,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_license_scan": license_scan.ORACLE}
+    return {"op5_license_scan": license_scan.ORACLE, "op11_collocations": collocations.ORACLE}
