@@ -278,5 +278,5 @@ def op13_secrets(spark, sf_dir) -> DataFrame:
     place = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("nth"), s["end"].alias("end"), s["kind"].alias("kind"))
     every = F.array_sort(F.transform(F.concat("base", "added"), place))
     found = scan_secrets(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long) as n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(every).alias("spans"), F.col("unread").cast("long").alias("n_unread"))
