@@ -12,12 +12,18 @@ from partloom.operators.spatial import radius_join
 from partloom.operators.topology import components
 
 
-def dbscan(points: DataFrame, eps: float, least: int, cut, group: str = "cloud") -> DataFrame:
+def dbscan(points: DataFrame, eps, least, cut, group: str = "cloud") -> DataFrame:
     """Labels `(group, pid, label)`: clusters of core points (at least `least` points within eps, themselves included)
     that are connected within eps, numbered by their smallest pid; a border point joins the lowest such cluster;
-    noise is -1. Counts, links and attachment are grid joins; components take a few rounds (see `components`)."""
+    noise is -1. Counts, links and attachment are grid joins; components take a few rounds (see `components`). `eps` and
+    `least` may be columns of the points that are the same for a whole group."""
     near = cut(radius_join(points, eps, group).select(group, "pid1", "pid2"))
-    core = cut(near.groupBy(group, F.col("pid1").alias("pid")).count().where(F.col("count") >= least).select(group, "pid"))
+    counted = near.groupBy(group, F.col("pid1").alias("pid")).count()
+    if isinstance(least, int):
+        dense = counted.where(F.col("count") >= least)
+    else:
+        dense = counted.join(points.groupBy(group).agg(F.max(least).alias("_least")), group).where(F.col("count") >= F.col("_least"))
+    core = cut(dense.select(group, "pid"))
     links = near.join(core.withColumnRenamed("pid", "pid1"), [group, "pid1"], "left_semi").join(core.withColumnRenamed("pid", "pid2"), [group, "pid2"], "left_semi")
     comp = components(links.select(group, F.col("pid1").alias("a"), F.col("pid2").alias("b")), core.withColumnRenamed("pid", "face_id"), cut, group)
     border = near.join(comp.select(group, F.col("face_id").alias("pid2"), "component"), [group, "pid2"]).groupBy(group, F.col("pid1").alias("pid")).agg(F.min("component").alias("border"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,8 +94,8 @@ def primitive_ratios(points: DataFrame, group: str = "cloud", share: float = 0.0
     """Share of points within 1 % of the box diagonal of a plane, cylinder (shortest axis), cone (1.5 times the
     tolerance) and torus (2 times, and an even ring), and mean residuals; the best primitive, the first on ties.
 
-    The plane, cylinder, cone and torus come from one join of points with their group's statistics; the algebraic
-    sphere needs a 4x4 solve, see `sphere_fit`."""
+    The plane, cylinder, cone and torus come from one join of points with their group's statistics; for the sphere see
+    `all_primitives`."""
     box = points.groupBy(group).agg(*((F.max(c) - F.min(c)).alias(f"s{c}") for c in "xyz"))
     c = centred(points, group).join(box, group)
     d = [F.col(f"d{k}") for k in "xyz"]
@@ -126,33 +125,33 @@ def best_primitive(names: tuple[str, ...]) -> Column:
 
 
 def sphere_fit(points: DataFrame, group: str = "cloud", share: float = 0.01) -> DataFrame:
-    """Algebraic least-squares sphere. The sums of the normal equations are one distributed aggregation; the 4x4 system
-    of a group, one row, is solved in a pandas UDF; inliers are counted by a join back."""
-    s = F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")
-    v = {"x": F.col("x"), "y": F.col("y"), "z": F.col("z"), "1": F.lit(1.0)}
-    names = list(v)
-    sums = [F.sum((2 * v[a] if a != "1" else v[a]) * (2 * v[b] if b != "1" else v[b])).alias(f"a{i}{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    rhs = [F.sum((2 * v[a] if a != "1" else v[a]) * s).alias(f"b{i}") for i, a in enumerate(names)]
-    grouped = points.groupBy(group).agg(F.count("*").alias("n"), *sums, *rhs, *((F.max(c) - F.min(c)).alias(f"s{c}") for c in "xyz"))
-
-    def solve(batches):
-        for pdf in batches:
-            out = pdf[[group, "n", "sx", "sy", "sz"]].copy()
-            sol = np.full((len(pdf), 4), np.nan)
-            for r in range(len(pdf)):
-                a = np.array([[pdf[f"a{min(i, j)}{max(i, j)}"].iat[r] for j in range(4)] for i in range(4)])
-                sol[r] = np.linalg.lstsq(a, np.array([pdf[f"b{i}"].iat[r] for i in range(4)]), rcond=None)[0]
-            for k, c in enumerate(("ox", "oy", "oz")):
-                out[c] = sol[:, k]
-            out["radius"] = np.sqrt(np.maximum(sol[:, 3] + (sol[:, :3] ** 2).sum(axis=1), 0))
-            yield out
-
-    kind = grouped.schema[group].dataType.simpleString()
-    fit = grouped.where("n >= 4").mapInPandas(solve, f"{group} {kind}, n long, sx double, sy double, sz double, ox double, oy double, oz double, radius double")
-    both = points.join(fit, group)
-    gap = F.abs(_length(*(F.col(c) - F.col(f"o{c}") for c in "xyz")) - F.col("radius"))
+    """Algebraic least-squares sphere of groups of at least four points, and the share of their points within `share` of
+    the box diagonal of it. About the centroid the normal equations fall apart into a mean and a symmetric 3x3 system,
+    whose sums are one combinable aggregation and whose solution is a quotient of determinants. Points of one plane have
+    no single sphere: their centre and radius are null and no point is near."""
+    c = centred(points, group)
+    d = {k: F.col(f"d{k}") for k in "xyz"}
+    q = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]
+    m = c.groupBy(group).agg(
+        F.count("*").alias("n"), F.avg(q).alias("mq"), *(F.first(f"m{k}").alias(f"m{k}") for k in "xyz"), *((F.max(k) - F.min(k)).alias(f"s{k}") for k in "xyz"),
+        *(F.sum(d[i] * d[j]).alias(i + j) for i, j in ("xx", "xy", "xz", "yy", "yz", "zz")), *((F.sum(d[k] * q) / 2).alias(f"r{k}") for k in "xyz"),
+    ).where("n >= 4")
+    det = lambda r0, r1, r2: f"({r0[0]} * ({r1[1]} * {r2[2]} - {r1[2]} * {r2[1]}) - {r0[1]} * ({r1[0]} * {r2[2]} - {r1[2]} * {r2[0]}) + {r0[2]} * ({r1[0]} * {r2[1]} - {r1[1]} * {r2[0]}))"
+    rows = [["xx", "xy", "xz"], ["xy", "yy", "yz"], ["xz", "yz", "zz"]]
+    put = lambda k: [[f"r{'xyz'[i]}" if j == k else v for j, v in enumerate(row)] for i, row in enumerate(rows)]
+    m = m.withColumn("det", F.expr(det(*rows))).withColumn("flat", F.expr("abs(det) <= 1e-12 * pow(xx + yy + zz, 3)"))
+    m = m.select("*", *(F.expr(f"if(flat, null, {det(*put(k))} / if(flat, 1, det))").alias(f"u{c}") for k, c in enumerate("xyz")))
+    fit = m.select(group, "sx", "sy", "sz", *((F.col(f"m{k}") + F.col(f"u{k}")).alias(f"o{k}") for k in "xyz"), F.sqrt(F.expr("mq + ux * ux + uy * uy + uz * uz")).alias("radius"))
+    gap = F.abs(_length(*(F.col(k) - F.col(f"o{k}") for k in "xyz")) - F.col("radius"))
     limit = share * _length(F.col("sx"), F.col("sy"), F.col("sz"))
-    return both.groupBy(group, "ox", "oy", "oz", "radius").agg(F.avg(F.when(gap < limit, 1.0).otherwise(0.0)).alias("sphere"))
+    return points.join(fit, group).groupBy(group, "ox", "oy", "oz", "radius").agg(F.avg(F.when(gap < limit, 1.0).otherwise(0.0)).alias("sphere"))
+
+
+def all_primitives(points: DataFrame, group: str = "cloud", share: float = 0.01) -> DataFrame:
+    """`primitive_ratios` with the sphere's ratio (0 below four points) and the best of all five, the first on ties."""
+    ball = sphere_fit(points, group, share).select(group, "sphere")
+    out = primitive_ratios(points, group, share).drop("best").join(ball, group, "left").withColumn("sphere", F.coalesce("sphere", F.lit(0.0)))
+    return out.withColumn("best", best_primitive(("plane", "cylinder", "sphere", "cone", "torus")))
 
 
 def shape_properties(points: DataFrame, curvatures: DataFrame, group: str = "cloud") -> DataFrame:

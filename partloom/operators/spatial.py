@@ -27,9 +27,11 @@ def _pairs_in(points: DataFrame, radius, group: str) -> DataFrame:
     return left.join(right, [group, "cx", "cy", "cz"]).withColumn("d2", d2)
 
 
-def radius_join(points: DataFrame, radius: float, group: str = "cloud") -> DataFrame:
-    """Ordered pairs `(group, pid1, pid2, d2)` at most `radius` apart, a point with itself included."""
-    return _pairs_in(points, radius, group).where(F.col("d2") <= radius * radius).select(group, "pid1", "pid2", "x2", "y2", "z2", "d2")
+def radius_join(points: DataFrame, radius, group: str = "cloud") -> DataFrame:
+    """Ordered pairs `(group, pid1, pid2, d2)` at most `radius` apart, a point with itself included. `radius` is a number
+    or a column of the points that is the same for a whole group."""
+    limit = radius * radius if isinstance(radius, (int, float)) else F.col("reach") * F.col("reach")
+    return _pairs_in(points, radius, group).where(F.col("d2") <= limit).select(group, "pid1", "pid2", "x2", "y2", "z2", "d2")
 
 
 def knn_join(points: DataFrame, k: int, group: str = "cloud", reach: float | None = None, whole: int = 64) -> DataFrame:

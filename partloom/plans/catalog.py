@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from partloom.plans import graph_queries, record_queries, shape_queries, text_queries
+from partloom.plans import graph_queries, record_queries, segmenter_queries, shape_queries, text_queries
 
-ALL = [*shape_queries.QUERIES, *text_queries.QUERIES, *graph_queries.QUERIES, *record_queries.QUERIES]
+ALL = [*shape_queries.QUERIES, *text_queries.QUERIES, *graph_queries.QUERIES, *record_queries.QUERIES, *segmenter_queries.QUERIES]
 
 
 def queries() -> dict:

@@ -17,6 +17,11 @@ def pts_small(spark, d) -> DataFrame:
     )
 
 
+def pts_lumps(spark, d) -> DataFrame:
+    """Points in two lumps, 0 to 1.2 apart by cloud."""
+    return pts_small(spark, d).withColumn("x", F.col("x") + (F.col("pid") % 2) * (F.col("cloud") % 5) * 0.3)
+
+
 def normals_small(spark, d) -> DataFrame:
     """Points with unit normals taken from the next three components."""
     v = F.col("embedding")
@@ -102,6 +107,7 @@ def triangles(spark, d) -> DataFrame:
 
 SQL = {
     "pts_small": "select label as cloud, vec_id as pid, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings",
+    "pts_lumps": "select label as cloud, vec_id as pid, embedding[1]::double + (vec_id%2)*(label%5)*0.3::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings",
     "normals_small": """select label as cloud, vec_id as pid, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z,
         embedding[4]::double / sqrt(embedding[4]::double*embedding[4]::double + embedding[5]::double*embedding[5]::double + embedding[6]::double*embedding[6]::double) as nx,
         embedding[5]::double / sqrt(embedding[4]::double*embedding[4]::double + embedding[5]::double*embedding[5]::double + embedding[6]::double*embedding[6]::double) as ny,
