@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.operators.segments import graph_segment_class
@@ -36,43 +34,47 @@ def cluster_sizes(labels: DataFrame, group: str = "cloud", least: int = 10) -> D
     return labels.where("label >= 0").groupBy(group, "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def grow_regions(points: DataFrame, near: DataFrame, reach: float, cosine: float, curvature_gap: float, least: int = 30, group: str = "cloud") -> DataFrame:
+def grow_regions(points: DataFrame, near: DataFrame, reach, cosine: float, curvature_gap, least: int = 30, group: str = "cloud", cut=None, whole: int = 0) -> DataFrame:
     """Segments grown from the flattest free point: a neighbour joins if it is within `reach`, its normal within the
     angle, and its curvature within the gap of the point it is met from. Points of segments below `least` stay
-    without a segment. If none is left, the whole cloud is segment 0. The order of seeds matters, so a cloud is one
-    pandas group; `near` (group, pid1, pid2) and the tests on pairs are distributed before it.
-
-    points: group, pid, x, y, z, nx, ny, nz, curvature."""
-    a = points.select(group, *(F.col(c).alias(f"{c}_1") for c in ("pid", "x", "y", "z", "nx", "ny", "nz", "curvature")))
+    without a segment (-1). If none is left, the whole cloud is segment `whole`.
+
+    Growing one region after the other gives every point to the flattest point from which it can be reached at all: had
+    a flatter one claimed a point on the way, it would have reached this one, too. So the flattest origin is handed on
+    along the links of all clouds at once, by itself and by its own origin's, in rounds that grow with the logarithm
+    of a region's width; no cloud is gathered. Regions are numbered in the order of their origins.
+
+    points: group, pid, x, y, z, nx, ny, nz, curvature (to twelve places, ties by pid); near: group, pid1, pid2. `reach`
+    and `curvature_gap` are numbers, or columns of the points that are the same for a whole group."""
+    if cut is None:
+        from partloom.plans.runtime import cutter
+
+        cut = cutter(points.sparkSession)
+    limit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    bend = F.round("curvature", 12)
+    a = points.select(group, *(F.col(c).alias(f"{c}_1") for c in ("pid", "x", "y", "z", "nx", "ny", "nz", "curvature")), limit(reach).alias("_reach"), limit(curvature_gap).alias("_gap"))
     b = points.select(group, *(F.col(c).alias(f"{c}_2") for c in ("pid", "x", "y", "z", "nx", "ny", "nz", "curvature")))
     pairs = near.select(group, F.col("pid1").alias("pid_1"), F.col("pid2").alias("pid_2")).where("pid_1 <> pid_2").join(a, [group, "pid_1"]).join(b, [group, "pid_2"])
     d2 = sum(((F.col(f"{c}_1") - F.col(f"{c}_2")) * (F.col(f"{c}_1") - F.col(f"{c}_2")) for c in "yz"), (F.col("x_1") - F.col("x_2")) * (F.col("x_1") - F.col("x_2")))
     turn = F.abs(F.col("nx_1") * F.col("nx_2") + F.col("ny_1") * F.col("ny_2") + F.col("nz_1") * F.col("nz_2"))
-    ok = (F.sqrt(d2) <= reach) & (turn >= cosine) & (F.abs(F.col("curvature_1") - F.col("curvature_2")) <= curvature_gap)
-    links = pairs.where(ok).groupBy(group, F.col("pid_1").alias("pid")).agg(F.array_sort(F.collect_list("pid_2")).alias("to"))
-    rows = points.select(group, "pid", "curvature").join(links, [group, "pid"], "left")
-    kind = points.schema[group].dataType.simpleString()
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["curvature", "pid"])
-        to = {p: [] if t is None else list(t) for p, t in zip(pdf["pid"], pdf["to"])}
-        segment, seen, number = {}, set(), 0
-        for seed in pdf["pid"]:
-            if seed in seen:
-                continue
-            seen.add(seed)
-            members = [seed]
-            for p in members:  # grows while it is walked
-                new = [q for q in to[p] if q not in seen]
-                seen.update(new)
-                members += new
-            if len(members) >= least:
-                segment.update(dict.fromkeys(members, number))
-                number += 1
-        out = [segment.get(p, -1 if number else 0) for p in pdf["pid"]]
-        return pd.DataFrame({group: pdf[group].to_numpy(), "pid": pdf["pid"].to_numpy(), "segment": np.array(out, np.int32)})
-
-    return rows.groupBy(group).applyInPandas(grow, f"{group} {kind}, pid long, segment int")
+    ok = (F.sqrt(d2) <= F.col("_reach")) & (turn >= cosine) & (F.abs(F.col("curvature_1") - F.col("curvature_2")) <= F.col("_gap"))
+    links = cut(pairs.where(ok).select(group, F.col("pid_1").alias("from"), F.col("pid_2").alias("pid")))
+
+    own = F.struct(bend.alias("bend"), F.col("pid").alias("pid"))
+    rows = cut(points.select(group, "pid", own.alias("seed")))
+    while True:
+        met = links.join(rows.select(group, F.col("pid").alias("from"), "seed"), [group, "from"]).groupBy(group, "pid").agg(F.min("seed").alias("met"))
+        step = rows.join(met, [group, "pid"], "left").select(group, "pid", "seed", F.least("seed", F.coalesce("met", "seed")).alias("next")).withColumn("via", F.col("next.pid"))
+        jump = rows.select(group, F.col("pid").alias("via"), F.col("seed").alias("far"))
+        new = cut(step.join(jump, [group, "via"]).select(group, "pid", F.col("seed").alias("old"), F.least("next", "far").alias("seed")))
+        rows = new.select(group, "pid", "seed")
+        if new.where("old <> seed").isEmpty():
+            break
+    sizes = rows.groupBy(group, "seed").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    number = sizes.withColumn("number", F.row_number().over(Window.partitionBy(group).orderBy("seed")) - 1).select(group, "seed", "number")
+    any_ = number.groupBy(group).agg(F.lit(-1).alias("none"))
+    out = rows.join(number, [group, "seed"], "left").join(any_, group, "left")
+    return out.select(group, "pid", F.coalesce("number", "none", F.lit(whole)).cast("int").alias("segment"))
 
 
 def first_claim(members: DataFrame, sizes: DataFrame, group: str = "cloud") -> DataFrame:

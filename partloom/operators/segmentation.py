@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partloom.operators.clusters import dbscan
-from partloom.operators.segments import all_primitives, local_primitive, manufacturing_feature, measurements, shape_properties
-from partloom.operators.spatial import curvature, spacing
+from partloom.operators.clusters import dbscan, grow_regions
+from partloom.operators.features import point_normals
+from partloom.operators.segments import all_primitives, local_primitive, manufacturing_feature, measurements, point_segment_class, shape_properties, summary, unit_ball, whole_measure
+from partloom.operators.spatial import curvature, knn_join, near_centroids, outliers_removed, spacing, two_scale_curvature
 
 FACTORS = (2.5, 2.0, 1.5, 1.2, 1.0)  # fixed values: reaches to try again with, times the spacing
 PRIMITIVES = ("plane", "cylinder", "sphere", "cone", "torus")
@@ -163,3 +164,41 @@ def described(segments: DataFrame, cut, group: str = "cloud") -> DataFrame:
         F.col(f"_key.{group}").alias(group), F.col("_key.segment_id").alias("segment_id"), "parent_id", "hierarchy_level", "path", F.col("n_points").alias("n"), "feature_type", "confidence", "best",
         params.alias("geometric_params"), measurements(F.col("feature_type"), F.col("height"), F.col("diameter"), F.col("thickness"), F.col("radius")).alias("measures"),
     )
+
+
+def extracted_features(points: DataFrame, cut, *, k: int = 10, least: int = 30, cosine: float = 0.9659258262890683, outlier_k: int = 20, outlier_stds: float = 2.0, near: float = 2.0, group: str = "cloud") -> DataFrame:
+    """Clouds to feature nodes: `(group, node_id, segment, feature_type, confidence, n, measured, surface_area, aspect_ratio,
+    quadrant, layer_index, cx, cy, cz, curvature, adjacent)`.
+
+    Outliers go, the rest is centred and scaled into the unit ball; clouds of under ten points give nothing. Normals
+    (15 nearest) and two-scale curvatures within three times the cloud's spacing follow; regions grow over the `k` nearest others
+    within four times the spacing and 15 degrees, the curvature within 0.35 of the cloud's 75th percentile. A cloud below `least`
+    points, or without a region, is one unknown segment. Nodes are numbered by their segment's place; segments that measure nothing take a
+    number and are left out. `adjacent` lists the segments whose centroids are less than `near` away."""
+    kept = cut(unit_ball(outliers_removed(points, outlier_k, outlier_stds, group), group))
+    kept = kept.withColumn("_n", F.count("*").over(Window.partitionBy(group))).where("_n >= 10")
+    wide = spacing(kept.select(group, "pid", "x", "y", "z"), k + 1, group)
+    rows = cut(kept.join(wide, group))
+    xyz = rows.select(group, "pid", "x", "y", "z")
+    bends = two_scale_curvature(rows.select(group, "pid", "x", "y", "z", "spacing"), F.col("spacing") * 3.0, group)
+    rows = cut(rows.join(point_normals(xyz, 15, group=group), [group, "pid"]).join(bends, [group, "pid"]))
+    gap = rows.groupBy(group).agg((F.percentile("curvature", F.lit(0.75)) * 0.35).alias("_gap"))
+    grown = rows.where(F.col("_n") >= least).join(gap, group)
+    found_ = grow_regions(grown, knn_join(xyz, k + 1, group), F.col("spacing") * 4.0, cosine, F.col("_gap"), least, group, cut, whole=-2)
+    small = rows.where(F.col("_n") < least).select(group, "pid", F.lit(-2).alias("segment"))
+    placed = found_.where("segment <> -1").union(small).select(group, "pid", F.greatest("segment", F.lit(0)).alias("segment"), (F.col("segment") == -2).alias("_whole"))
+    rows = cut(rows.join(placed, [group, "pid"]).withColumn("_key", F.struct(group, "segment")))
+
+    p = rows.select("_key", "pid", "x", "y", "z")
+    mean = rows.groupBy("_key").agg(F.avg("curvature").alias("curvature"), *(F.avg(f"n{c}").alias(f"m{c}") for c in "xyz"), F.max("_whole").alias("_whole"))
+    even = rows.join(mean.select("_key", "mx", "my", "mz"), "_key").groupBy("_key").agg(F.avg(F.abs(F.col("nx") * F.col("mx") + F.col("ny") * F.col("my") + F.col("nz") * F.col("mz"))).alias("even"))
+    shape = summary(p, "_key").select("_key", "n", F.col("c_x").alias("cx"), F.col("c_y").alias("cy"), F.col("c_z").alias("cz"), "linearity", "planarity", "scattering")
+    both = shape.join(mean, "_key").join(even, "_key").join(whole_measure(p, "_key"), "_key")
+    whole = F.col("_whole")
+    kind = F.when(whole, "unknown").otherwise(point_segment_class(F.col("n"), F.col("linearity"), F.col("planarity"), F.col("scattering"), F.col("curvature"), F.col("even")))
+    segs = cut(both.select(F.col(f"_key.{group}").alias(group), F.col("_key.segment").alias("segment"), kind.alias("feature_type"), F.when(whole, 0.3).otherwise(0.85).alias("confidence"), "n", "measured", "surface_area", "aspect_ratio", "quadrant", "layer_index", "cx", "cy", "cz", "curvature"))
+    pairs = near_centroids(segs.select(group, F.col("segment").alias("pid"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z")), near, group)
+    adjacent = pairs.groupBy(group, F.col("pid1").alias("segment")).agg(F.array_sort(F.collect_list("pid2")).alias("adjacent"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("segment")) - 1
+    out = segs.withColumn("node_id", F.format_string("node3d_%03d", place)).join(adjacent, [group, "segment"], "left").where("measured > 0")
+    return out.select(group, "node_id", *(c for c in segs.columns if c != group), F.coalesce("adjacent", F.array().cast("array<int>")).alias("adjacent"))

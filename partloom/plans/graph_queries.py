@@ -10,7 +10,7 @@ from partloom.operators import segments as G
 from partloom.operators import spatial as S
 from partloom.operators import topology as P
 from partloom.plans.runtime import cutter
-from partloom.plans.shape_queries import r, rounded
+from partloom.plans.shape_queries import curvature_cte, knn, r, rounded
 from partloom.sources import fixtures as X
 from partloom.sources.fixtures import with_views
 
@@ -398,7 +398,16 @@ def grown_regions(spark, d):
     p = X.normals_small(spark, d)
     xyz = p.select("cloud", "pid", "x", "y", "z")
     rows = p.join(S.curvature(xyz, 10), ["cloud", "pid"])
-    return C.grow_regions(rows, S.knn_join(xyz, 9), 0.4, 0.3, 0.2, least=5)
+    return C.grow_regions(rows, S.knn_join(xyz, 9), 0.4, 0.3, 0.2, least=5, cut=cutter(spark))
+
+
+def _grown_sql() -> str:
+    near = knn(9, "normals_small").replace("near as", "gnear as")
+    return with_views("pts_small", "normals_small").replace("with ", "with recursive ", 1) + f""", {curvature_cte(10)}, {near}, g as (select n.*, round(curvature, 12) as bend, curvature as cv, row_number() over (partition by n.cloud order by round(curvature, 12), n.pid) as place from normals_small n join curv using (cloud, pid)),
+ link as (select k.cloud, a.pid as p, b.pid as q from gnear k join g a on a.cloud = k.cloud and a.pid = pid1 join g b on b.cloud = k.cloud and b.pid = pid2 where pid1 <> pid2 and sqrt(k.d2) <= 0.4 and abs(a.nx*b.nx + a.ny*b.ny + a.nz*b.nz) >= 0.3 and abs(a.cv - b.cv) <= 0.2),
+ reach as (select cloud, pid, place from g union select l.cloud, l.q, w.place from reach w join link l on l.cloud = w.cloud and l.p = w.pid), first as (select cloud, pid, min(place) as place from reach group by 1, 2),
+ seg as (select cloud, place, row_number() over (partition by cloud order by place) - 1 as number from first group by 1, 2 having count(*) >= 5)
+select f.cloud, f.pid, coalesce(number, case when f.cloud in (select cloud from seg) then -1 else 0 end)::int as segment from first f left join seg using (cloud, place)"""
 
 
 QUERIES = [
@@ -408,5 +417,5 @@ QUERIES = [
     ("greedy_matches", greedy_matches, GREEDY_SQL), ("optimal_matches", optimal_matches, None), ("top_candidates", top_candidates, TOP_SQL), ("graph_edge_counts", graph_edge_counts, EDGE_COUNTS_SQL), ("training_pairs", training_pairs, TRAINING_SQL),
     ("edge_attributes", edge_attributes, ATTRIBUTES_SQL), ("node_vectors", node_vectors, _vectors_sql()), ("label_vectors", label_vectors, LABEL_VECTORS_SQL), ("pair_vectors", pair_vectors, PAIRS_SQL), ("recall_at_1", recall_at_1, RECALL_SQL),
     ("contrastive_loss", contrastive_loss, LOSS_SQL), ("classifier_scores", classifier_scores, SCORING_SQL), ("run_statistics", run_statistics, STATISTICS_SQL), ("splits", splits, SPLITS_SQL), ("best_epochs", best_epochs, EPOCH_SQL),
-    ("correspondence", correspondence, CORRESPONDENCE_SQL), ("projections", projections, PROJECTIONS_SQL), ("core_points", core_points, CORE_SQL), ("density_clusters", density_clusters, DBSCAN_SQL), ("grown_regions", grown_regions, None),
+    ("correspondence", correspondence, CORRESPONDENCE_SQL), ("projections", projections, PROJECTIONS_SQL), ("core_points", core_points, CORE_SQL), ("density_clusters", density_clusters, DBSCAN_SQL), ("grown_regions", grown_regions, _grown_sql()),
 ]

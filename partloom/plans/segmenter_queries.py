@@ -112,7 +112,12 @@ def community_segments(spark, d):
     return found.groupBy("cloud", "community").agg(F.count("*").alias("n"), F.max("node").alias("last"))
 
 
+def extracted_features(spark, d):
+    out = T.extracted_features(X.pts_lumps(spark, d), cutter(spark), least=6, cosine=0.3)
+    return rounded(out.withColumn("adjacent", F.concat_ws(",", F.col("adjacent").cast("array<string>"))), 4)
+
+
 QUERIES = [
     ("adaptive_clusters", adaptive_clusters, ADAPTIVE_SQL), ("level_segments", level_segments, LEVELS_SQL), ("routed_segments", routed_segments, _routed_sql()), ("community_moves", community_moves, MOVES_SQL),
-    ("community_segments", community_segments, None),
+    ("community_segments", community_segments, None), ("extracted_features", extracted_features, None),
 ]
