@@ -50,26 +50,39 @@ def best_epoch(rows: DataFrame, metric: str, epoch: str = "epoch") -> DataFrame:
     return rows.agg(F.max_by(epoch, F.struct(metric, -F.col(epoch))).alias("epoch"), F.max(metric).alias(metric))
 
 
-def positional_split(rows: DataFrame, order: str, share: float = 0.8, group: str | None = None, parts: int = 1024) -> DataFrame:
-    """The first int(n * share) rows in `order` train, the others validate, in each group or over all rows.
+def running_numbers(rows: DataFrame, order: list[str], cut=None, *, name: str = "number", first: int = 0, parts: int = 256) -> DataFrame:
+    """`rows` with their place, counted from `first`, in the order of the columns `order` over the whole table.
+
+    Spark samples splitters of the composite key, ranges go to tasks and are sorted there, and a row's number is its place
+    in its range plus the sizes of the ranges before, of which the driver sees `parts` at most. Any orderable types will
+    do; nulls come first, NaN last; where the first columns tie the next ones divide a range. Rows that are equal in all
+    of `order` take consecutive numbers in any order, so name a unique column last where that matters."""
+    if cut is None:
+        from partloom.plans.runtime import cutter
+
+        cut = cutter(rows.sparkSession)
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the high bits of this id are the range, the low 33 bits the place in it; written once, so that a task that runs again changes nothing
+    placed = cut(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.shiftright("_at", 33).alias("_part")).count().collect()
+    before, at = first, []
+    for part, n in sorted(sizes):
+        at.append((part, before))
+        before += n
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(at, "_part long, _before long"))
+    out = placed.withColumn("_part", F.shiftright("_at", 33)).join(offsets, "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_at")
+
 
-    Over all rows a numeric order is cut into `parts` ranges at its quantiles; a row's place is its place in the range
-    plus the sizes of the ranges before, so that no task ranks more than a range."""
-    if group or rows.schema[order].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        w = Window.partitionBy(*([group] if group else []))
+def positional_split(rows: DataFrame, order: str, share: float = 0.8, group: str | None = None, parts: int = 256) -> DataFrame:
+    """The first int(n * share) rows in `order` train, the others validate, in each group or over all rows (by
+    `running_numbers`: any orderable type)."""
+    if group:
+        w = Window.partitionBy(group)
         place = F.row_number().over(w.orderBy(order))
         return rows.withColumn("split", F.when(place <= F.floor(F.count("*").over(w) * F.lit(share) + 1e-9), "train").otherwise("val"))
-    cuts = rows.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    ranged = rows.withColumn("_part", F.expr(f"size(filter(array({', '.join(map(repr, cuts))}), b -> b < `{order}`))") if cuts else F.lit(0))
-    before, at = 0, []
-    for p, n in sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect()):  # at most `parts` rows
-        at.append((p, before))
-        before += n
-    train = math.floor(before * share + 1e-9)
-    offsets = F.broadcast(rows.sparkSession.createDataFrame(at, "_part int, _before long"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_before")
-    return ranged.join(offsets, "_part").withColumn("split", F.when(place <= train, "train").otherwise("val")).drop("_part", "_before")
+    train = math.floor(rows.count() * share + 1e-9)
+    return running_numbers(rows, [order], name="_place", first=1, parts=parts).withColumn("split", F.when(F.col("_place") <= train, "train").otherwise("val")).drop("_place")
 
 
 def part_split(rows: DataFrame, part: str, train: float = 0.7, val: float = 0.2) -> DataFrame:

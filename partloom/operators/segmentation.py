@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.operators.clusters import dbscan, grow_regions
-from partloom.operators.features import point_normals
-from partloom.operators.segments import all_primitives, local_primitive, manufacturing_feature, measurements, point_segment_class, shape_properties, summary, unit_ball, whole_measure
-from partloom.operators.spatial import curvature, knn_join, near_centroids, outliers_removed, spacing, two_scale_curvature
+from partloom.operators.communities import louvain
+from partloom.operators.features import dimension_of, point_normals
+from partloom.operators.segments import all_primitives, graph_segment_class, local_primitive, manufacturing_feature, measurements, point_segment_class, shape_properties, summary, unit_ball, whole_measure
+from partloom.operators.spatial import curvature, descriptors, knn_join, near_centroids, neighbour_edges, outliers_removed, spacing, two_scale_curvature
 
 FACTORS = (2.5, 2.0, 1.5, 1.2, 1.0)  # fixed values: reaches to try again with, times the spacing
 PRIMITIVES = ("plane", "cylinder", "sphere", "cone", "torus")
@@ -202,3 +203,30 @@ def extracted_features(points: DataFrame, cut, *, k: int = 10, least: int = 30,
     place = F.row_number().over(Window.partitionBy(group).orderBy("segment")) - 1
     out = segs.withColumn("node_id", F.format_string("node3d_%03d", place)).join(adjacent, [group, "segment"], "left").where("measured > 0")
     return out.select(group, "node_id", *(c for c in segs.columns if c != group), F.coalesce("adjacent", F.array().cast("array<int>")).alias("adjacent"))
+
+
+def community_features(points: DataFrame, cut, *, k: int = 10, reach: float = 0.1, least: int = 10, most: int = 10_000, group: str = "cloud") -> tuple[DataFrame, DataFrame]:
+    """Bare clouds to classified communities: (members `(group, pid, community)`, features `(group, community, n,
+    feature_type, confidence, mean_curvature, max_curvature, normal_variation, planarity, linearity, aspect_ratio, dimension)`).
+
+    Normals and the mean angle to the neighbours' normals (the curvature here) from `k` nearest points, a graph of
+    neighbours less than `reach` apart, its Louvain communities of `least` to `most` points, classes by curvature,
+    normals and box, descriptor means, and one dimension by the class. All clouds run through every step together."""
+    xyz = cut(points.select(group, "pid", "x", "y", "z"))
+    faced = cut(xyz.join(point_normals(xyz, k, group=group), [group, "pid"]))
+    desc = cut(descriptors(faced, k, group))
+    edges = neighbour_edges(xyz, k, reach, group)
+    found_ = louvain(edges, xyz.select(group, F.col("pid").alias("node")), cut, group=group).select(group, F.col("node").alias("pid"), "community")
+    n = F.count("*").over(Window.partitionBy(group, "community"))
+    members = cut(found_.withColumn("_n", n).where(F.col("_n").between(least, most)).select(group, "pid", "community"))
+    rows = members.join(faced, [group, "pid"]).join(desc.select(group, "pid", "angle", "normal_variation", "planarity", "linearity"), [group, "pid"])
+    seg = rows.groupBy(group, "community").agg(
+        F.count("*").alias("n"), F.avg("angle").alias("mean_curvature"), F.max("angle").alias("max_curvature"), F.array(*(F.var_pop(f"n{c}") for c in "xyz")).alias("variances"),
+        F.array(*(F.max(c) - F.min(c) for c in "xyz")).alias("sides"), *(F.avg(c).alias(c) for c in ("normal_variation", "planarity", "linearity")),
+    )
+    aspect = F.array_max("sides") / (F.coalesce(F.array_min(F.filter("sides", lambda v: v > 0)), F.lit(0.0)) + 1e-10)
+    kind, confidence = graph_segment_class(F.col("n"), F.col("mean_curvature"), F.col("variances"), aspect)
+    seg = cut(seg.select(group, "community", "n", kind.alias("feature_type"), confidence.alias("confidence"), "mean_curvature", "max_curvature", "normal_variation", "planarity", "linearity", aspect.alias("aspect_ratio")))
+    keyed = members.join(xyz, [group, "pid"]).select(F.struct(group, "community").alias("_key"), "pid", "x", "y", "z")
+    size = dimension_of(keyed, seg.select(F.struct(group, "community").alias("_key"), F.col("feature_type").alias("type")), "_key")
+    return members, seg.join(size.select(F.col(f"_key.{group}").alias(group), F.col("_key.community").alias("community"), "dimension"), [group, "community"])

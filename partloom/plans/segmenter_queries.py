@@ -1,10 +1,13 @@
 """Composed segmenters and communities: which method each cloud takes, and what it finds."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from partloom.operators import communities as L
+from partloom.operators import metrics as Q
 from partloom.operators import segmentation as T
 from partloom.operators import spatial as S
+from partloom.operators import traversal as R
 from partloom.plans.runtime import cutter
 from partloom.plans.shape_queries import curvature_cte, knn, r, rounded
 from partloom.sources import fixtures as X
@@ -117,7 +120,58 @@ def extracted_features(spark, d):
     return rounded(out.withColumn("adjacent", F.concat_ws(",", F.col("adjacent").cast("array<string>"))), 4)
 
 
+def community_features(spark, d):
+    """Bare clouds to classified communities."""
+    return rounded(T.community_features(X.pts_lumps(spark, d), cutter(spark), reach=0.25, least=4)[1], 4)
+
+
+def incidences(spark, d):
+    """Links (model_id, parent, child) of solids, shells, faces, wires, edges and vertices over the edge and face view."""
+    e = X.edge_faces(spark, d)
+    name = R.shape
+    steps = [
+        (name("solid", F.col("model_id")), name("shell", F.col("face_id") % 3)), (name("shell", F.col("face_id") % 3), name("face", F.col("face_id"))), (name("face", F.col("face_id")), name("wire", F.col("face_id"))),
+        (name("wire", F.col("face_id")), name("edge", F.col("edge_id"))), (name("edge", F.col("edge_id")), name("vertex", F.col("edge_id") % 17)), (name("edge", F.col("edge_id")), name("vertex", F.col("edge_id") % 23 + 20)),
+    ]
+    return e.select("model_id", F.explode(F.array(*(F.struct(p.alias("parent"), c.alias("child")) for p, c in steps))).alias("s")).select("model_id", "s.*").distinct()
+
+
+def shape_hierarchy(spark, d):
+    """Every shape's descendants at any depth, counted by kind."""
+    return R.shape_counts(R.closure(incidences(spark, d), cutter(spark)))
+
+
+HIERARCHY_SQL = with_views("edge_faces").replace("with ", "with recursive ", 1) + """, l as (select distinct model_id, unnest([{'p': 'solid:' || model_id, 'c': 'shell:' || face_id%3}, {'p': 'shell:' || face_id%3, 'c': 'face:' || face_id}, {'p': 'face:' || face_id, 'c': 'wire:' || face_id},
+  {'p': 'wire:' || face_id, 'c': 'edge:' || edge_id}, {'p': 'edge:' || edge_id, 'c': 'vertex:' || edge_id%17}, {'p': 'edge:' || edge_id, 'c': 'vertex:' || (edge_id%23 + 20)}]) as s from edge_faces),
+ ways as (select model_id, s.p as t, s.c as b from l union select w.model_id, w.t, l.s.c from ways w join l on l.model_id = w.model_id and l.s.p = w.b)
+select model_id, split_part(t, ':', 1) as top_kind, split_part(b, ':', 1) as bottom_kind, count(*) as ways, count(distinct t) as tops, count(distinct b) as bottoms from ways group by all"""
+
+
+def wire_order(spark, d):
+    """Orders as edges: in each wire one leads to the next by date; even wires are closed, odd ones open."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 4).alias("model_id"), (F.col("o_custkey") % 40).alias("wire"), F.col("o_orderkey").alias("edge"), "o_orderdate")
+    w = Window.partitionBy("wire").orderBy("o_orderdate", "edge")
+    after, begin = F.lead("edge").over(w), F.first("edge").over(w)
+    e = o.select("model_id", "wire", "edge", F.col("edge").alias("start"), F.coalesce(after, F.when(F.col("wire") % 2 == 0, begin).otherwise(-F.col("edge"))).alias("end"))
+    return R.ordered_wires(e, cutter(spark))
+
+
+WIRES_SQL = """with recursive o as (select o_custkey%4 as model_id, o_custkey%40 as wire, o_orderkey as edge, o_orderdate as t from orders), e as (select model_id, wire, edge, edge as start, coalesce(lead(edge) over w, case when wire%2 = 0 then first(edge) over w else -edge end) as "end" from o window w as (partition by wire order by t, edge)),
+ heads as (select wire, coalesce(min(edge) filter (edge not in (select "end" from e)), min(edge)) as head from e group by 1), walk as (select e.*, 0 as place, head from e join heads using (wire) where edge = head union all select e.*, place + 1, head from walk w join e on e.wire = w.wire and e.start = w."end" where e.edge <> head)
+select model_id, wire, edge, start, "end", place from walk"""
+
+
+def order_numbers(spark, d):
+    """A running number over all orders by date, priority and key."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderdate", "o_orderpriority", "o_orderkey")
+    return Q.running_numbers(o, o.columns, cutter(spark))
+
+
+NUMBERS_SQL = "select o_orderdate, o_orderpriority, o_orderkey, row_number() over (order by o_orderdate, o_orderpriority, o_orderkey) - 1 as number from orders"
+
+
 QUERIES = [
     ("adaptive_clusters", adaptive_clusters, ADAPTIVE_SQL), ("level_segments", level_segments, LEVELS_SQL), ("routed_segments", routed_segments, _routed_sql()), ("community_moves", community_moves, MOVES_SQL),
-    ("community_segments", community_segments, None), ("extracted_features", extracted_features, None),
+    ("community_segments", community_segments, None), ("extracted_features", extracted_features, None), ("community_features", community_features, None),
+    ("shape_hierarchy", shape_hierarchy, HIERARCHY_SQL), ("wire_order", wire_order, WIRES_SQL), ("order_numbers", order_numbers, NUMBERS_SQL),
 ]
