@@ -87,14 +87,15 @@ def fit_languages(
 ) -> LanguageModel:
     """Learn word and n-gram frequencies from a bounded sample of the labelled rows.
 
-    Rows with null text or language are left out. About `sample_per_lang` distinct texts of a language are drawn by
-    their hash, so copies of one text count once and a repeated task draws the same. All words and n-grams (of 1 to 5
+    Rows with null text or language are left out. About `sample_per_lang` distinct texts of a language, all if it has no
+    more, are drawn by their hash, so copies of one text count once and a repeated task draws the same. All words and n-grams (of 1 to 5
     letters) of the drawn texts are kept: the sample alone bounds the model.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().collect()  # a row for each language
+    # distinct texts of each language: a language whose rows are copies of a few texts gives all of these
+    sizes = rows.select("lang", F.xxhash64(F.lit(9), "text").alias("h")).distinct().groupBy("lang").count().collect()  # a row for each language
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return LanguageModel([], [{} for _ in range(LONGEST + 1)], [np.zeros((0, 0), np.float32)] * (LONGEST + 1))
