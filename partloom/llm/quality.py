@@ -61,11 +61,17 @@ class QualityModel:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def score(self, z: np.ndarray, k: int, power: int, block: int) -> np.ndarray:
-        """Exact cosines with all labelled vectors, block by block, keeping the k largest so far of every row."""
+        """Exact cosines with all labelled vectors, block by block, keeping the k largest so far of every row, of equal ones
+        those of the smaller numbers."""
         best, of = np.full((len(z), k), -2.0, np.float32), np.zeros((len(z), k), np.float32)
         for a in range(0, len(self.vectors), block):
             sims = np.concatenate([best, z @ self.vectors[a : a + block].T], axis=1)
             near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if sims.shape[1] > k else np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
+            tied = np.flatnonzero((sims >= np.take_along_axis(sims, near, 1).min(axis=1, keepdims=True)).sum(axis=1) > k)
+            if len(tied):
+                near = near.copy()
+                near[tied] = np.argsort(-sims[tied], axis=1, kind="stable")[:, :k]
+            near = np.sort(near, axis=1)  # columns stay in the order of the vectors' numbers
             labels = np.concatenate([of, np.broadcast_to(self.labels[a : a + block], (len(z), len(self.labels[a : a + block])))], axis=1)
             best, of = np.take_along_axis(sims, near, 1), np.take_along_axis(labels, near, 1)
         w = np.maximum(best, 0) ** power
@@ -89,7 +95,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     """Latent-semantic vectors of a bounded sample of the labelled rows.
 
     About `sample` labelled ids, drawn by their hash, are used: the number of vectors that every task compares with,
-    and so the model's size, does not grow. Several labels of one id are averaged; null ids and labels are left out.
+    and so the model's size, does not grow. Several labels of one id are averaged; of an id's several texts the one
+    with the smallest hash is taken; null ids and labels are left out. Vectors are numbered in the order of their ids.
     The axes are the `rank` leading right singular vectors (randomised, two power steps, fixed seed) of the sample's
     feature rows weighted by inverse document frequency.
     """
@@ -101,7 +108,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     drawn = known.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30))
     drawn = drawn.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(2 * sample)  # at most this many rows are broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("id", "label", "text")
-    found = rows.dropDuplicates(["id"]).select("label", "text").mapInArrow(_extract, "label double, idx array<int>, val array<float>").toLocalIterator()
+    one = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    found = one.orderBy("id").select("label", F.col("t.text").alias("text")).mapInArrow(_extract, "label double, idx array<int>, val array<float>").toLocalIterator()
     idx, val, y = [], [], []
     for r in found:
         idx.append(np.array(r["idx"], np.int32))
