@@ -67,8 +67,9 @@ def shard_by_bytes(
     groups of nearly a shard's size leave no other way.
 
     Returns `id_col, size, text_crc32, shard, slot`: slots count from 0 without gaps in each shard, in the order of
-    the ranges and of (key, id) within them. The slot is the range's offset plus the rank in the range, so no task
-    sorts more than a range.
+    the ranges and of (key, id) within them. The slot is the range's offset plus the rank in the range; a range of over
+    10,000 rows and four times the mean, which holds very small rows, is ranked in pieces by a hash of the row's number,
+    so no task sorts more than that many rows, whatever their size.
 
     Null text: size 1, checksum 0, dealt as the empty text. Null ids are dealt like others and sort first. Repeated
     rows each get a slot of their own. Empty table: no rows. Other columns are ignored.
@@ -115,13 +116,27 @@ def shard_by_bytes(
     for p, s in enumerate(shard):
         offset.append(rows[s])
         rows[s] += weights.get(p, (0, 0))[1]
-    order = Window.partitionBy("part").orderBy("k", "id", "crc", "size")
+    # a part of many small rows, such as empty texts, is ranked in pieces
+    most = max(10_000, 4 * sum(n for _, n in weights.values()) // n_ranges)
+    cut = [max(1, -(-weights.get(p, (0, 0))[1] // most)) for p in range(base[-1])]
+    begin = [0]
+    for n in cut:
+        begin.append(begin[-1] + n)
+    part = part.withColumn("piece", F.get(literal_array(begin), F.col("part")) + F.pmod(F.xxhash64(F.lit(12), "u"), F.get(literal_array(cut), F.col("part"))))
+    where_from = [0] * begin[-1]
+    counted = dict(part.where(F.get(literal_array(cut), F.col("part")) > 1).groupBy("piece").count().collect()) if max(cut, default=1) > 1 else {}
+    for p in range(base[-1]):
+        run = offset[p]
+        for x in range(begin[p], begin[p + 1]):
+            where_from[x] = run
+            run += counted.get(x, 0)
+    order = Window.partitionBy("piece").orderBy("k", "id", "crc", "size")
     return part.select(
         F.col("id").alias(id_col),
         "size",
         F.col("crc").alias("text_crc32"),
         F.get(literal_array(shard, "int"), F.col("part")).alias("shard"),
-        (F.row_number().over(order) - 1 + F.get(literal_array(offset), F.col("part"))).alias("slot"),
+        (F.row_number().over(order) - 1 + F.get(literal_array(where_from), F.col("piece"))).alias("slot"),
     )
 
 

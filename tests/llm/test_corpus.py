@@ -690,3 +690,43 @@ def test_predictions_equal_plain(spark):
     assert np.allclose(rows.sum(axis=0), want, atol=1e-4)
     got = language_id.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
     assert got["lang_pred"] == model.langs[int(np.argmax(np.mean([model.row(w) for w in text.split()], axis=0)))]
+
+
+def test_language_of_few_texts_is_learned(spark):
+    """Copies do not lower a language's chance: the rate follows the distinct texts."""
+    few = ["un texte que tout le monde copie", "un autre texte encore"]
+    for seed in range(4):
+        texts = [f"{t} {seed}" for t in few]
+        rows = [(i, texts[i % 2], "fr") for i in range(3000)] + [(i, f"a text with words of number {i}", "en") for i in range(50)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = language_id.fit_languages(docs)
+        got = language_id.identify(docs.where("doc_id < 2 and lang = 'fr'"), model).collect()
+        assert {r["lang_pred"] for r in got} == {"fr"} and all(r["score"] > 0.9 for r in got)
+
+
+def test_quality_does_not_follow_the_partitions(spark):
+    """Ids with several texts, and equal vectors with different labels."""
+    rows = [(i % 40, prose(i % 60, 30)) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    found = []
+    for n in (1, 3, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        got = quality.classify(docs, quality.fit_quality(docs, labels)).collect()
+        found.append(sorted((r["doc_id"], round(r["score"], 4)) for r in got))
+    assert found[0] == found[1] == found[2]
+
+
+def test_quality_ties_go_to_smaller_numbers():
+    v, y = np.ones((50, 1), np.float32), np.array([1] * 9 + [0] * 41, np.float32)
+    m = quality.QualityModel(None, None, v, y)
+    for block in (4, 7, 50):
+        assert m.score(np.ones((3, 1), np.float32), 12, 4, block) == pytest.approx([9 / 12] * 3)
+
+
+def test_shards_of_many_empty_texts(spark):
+    rows = [(i, "") for i in range(30_000)] + [(100_000 + i, prose(i, 1500)) for i in range(400)]
+    out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).toPandas()
+    assert len(out) == len(rows) and sorted(out["doc_id"]) == sorted(i for i, _ in rows)
+    for _, g in out.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    assert out[out["size"] == 1]["shard"].nunique() == 1  # equal texts that fit a shard stay together
