@@ -232,20 +232,32 @@ BEST = "case when greatest(plane, cylinder, cone, torus) <= 0 then 'unknown' whe
 PRIMITIVES_SQL = GEO + RATIOS + f" select cloud, {', '.join(r(c, c) for c in ('plane', 'cylinder', 'cone', 'torus', 'plane_residual', 'cylinder_residual'))}, {BEST} as best from rat"
 
 
+BALL = """, b_m as (select cloud, avg(x) mx, avg(y) my, avg(z) mz, 0.01*sqrt(pow(max(x)-min(x), 2) + pow(max(y)-min(y), 2) + pow(max(z)-min(z), 2)) as lim from pts_small group by 1 having count(*) >= 4),
+ b_t as (select p.*, m.*exclude(cloud), x-mx as u, y-my as v, z-mz as w, (x-mx)*(x-mx) + (y-my)*(y-my) + (z-mz)*(z-mz) as q from pts_small p join b_m m using (cloud)),
+ b_s as (select cloud, any_value(mx) mx, any_value(my) my, any_value(mz) mz, sum(u*u) a, sum(u*v) b, sum(u*w) c, sum(v*v) d, sum(v*w) e, sum(w*w) f, sum(u*q)/2 g, sum(v*q)/2 h, sum(w*q)/2 k, avg(q) as mq from b_t group by 1),
+ b_d as (select *, a*(d*f-e*e) - b*(b*f-c*e) + c*(b*e-c*d) as det from b_s),
+ b_o as (select *, (g*(d*f-e*e) - b*(h*f-e*k) + c*(h*e-d*k))/det as x0, (a*(h*f-e*k) - g*(b*f-c*e) + c*(b*k-c*h))/det as y0, (a*(d*k-e*h) - b*(b*k-c*h) + g*(b*e-c*d))/det as z0 from b_d),
+ b_r as (select cloud, mx+x0 as ox, my+y0 as oy, mz+z0 as oz, sqrt(greatest(0, mq + x0*x0 + y0*y0 + z0*z0)) as radius from b_o),
+ ball as (select cloud, any_value(ox) as ox, any_value(oy) as oy, any_value(oz) as oz, any_value(radius) as radius, avg(case when abs(sqrt((x-ox)*(x-ox) + (y-oy)*(y-oy) + (z-oz)*(z-oz)) - radius) < lim then 1.0 else 0.0 end) as sphere from b_t join b_r using (cloud) group by 1)"""
+FIVE = "plane, cylinder, sphere, cone, torus"
+BEST_OF_FIVE = f"case when greatest({FIVE}) <= 0 then 'unknown' " + " ".join(f"when {c} = greatest({FIVE}) then '{c}'" for c in FIVE.split(", ")) + " end"
+
+
 def feature_classes(spark, d):
     p = X.pts_small(spark, d)
-    props = G.shape_properties(p, S.curvature(p, 20, 1e-10)).join(G.primitive_ratios(p).select("cloud", "best"), "cloud")
+    props = G.shape_properties(p, S.curvature(p, 20, 1e-10)).join(G.all_primitives(p).select("cloud", "best"), "cloud")
     label, conf = G.manufacturing_feature(F.col("best"))
     return rounded(props.withColumn("feature", label).withColumn("confidence", conf))
 
 
-CLASSES_SQL = GEO + RATIOS + f""", {curvature_cte(20, '1e-10').replace('cov as', 'cov2 as').replace('from cov)', 'from cov2)').replace('eig0', 'h0').replace('eig1', 'h1').replace('eig2', 'h2').replace('eig as', 'heig as').replace('from eig)', 'from heig)')},
+CLASSES_SQL = GEO + RATIOS + BALL + f""", five as (select rat.*, coalesce(sphere, 0) as sphere from rat left join ball using (cloud)), {curvature_cte(20, '1e-10').replace('cov as', 'cov2 as').replace('from cov)', 'from cov2)').replace('eig0', 'h0').replace('eig1', 'h1').replace('eig2', 'h2').replace('eig as', 'heig as').replace('from eig)', 'from heig)')},
  mc as (select cloud, avg(curvature) as curvature from curv group by 1), ring_ as (select cloud, 1 - least(stddev_pop(ring)/(avg(ring)+1e-10), 1) as circularity, any_value(list_reverse_sort([sx, sy, sz])) as s from geo group by 1),
- pr as (select cloud, curvature, s[2]/(s[1]+1e-10) as aspect_ratio, (e1-e2)/(e0+1e-10) as planarity, circularity, s[3]/(s[2]+1e-10) as thickness, s[1]/(s[2]+1e-10) as length, {BEST} as best from eig join mc using (cloud) join ring_ using (cloud) join rat using (cloud))
+ pr as (select cloud, curvature, s[2]/(s[1]+1e-10) as aspect_ratio, (e1-e2)/(e0+1e-10) as planarity, circularity, s[3]/(s[2]+1e-10) as thickness, s[1]/(s[2]+1e-10) as length, {BEST_OF_FIVE} as best from eig join mc using (cloud) join ring_ using (cloud) join five using (cloud))
 select cloud, {', '.join(r(c, c) for c in ('curvature', 'aspect_ratio', 'planarity', 'circularity', 'thickness', 'length'))}, best, f.feature as feature, f.confidence as confidence from (select *, case
  when best='cylinder' and thickness > 0.7 and length < 2 then {{'feature': 'hole', 'confidence': 0.85::double}} when best='cylinder' and length > 2 then {{'feature': 'cylinder', 'confidence': 0.85::double}}
  when best='cylinder' and circularity > 0.8 and aspect_ratio < 0.5 then {{'feature': 'hole', 'confidence': 0.8::double}} when best='cylinder' then {{'feature': 'cylinder', 'confidence': 0.7::double}}
- when best='plane' and planarity > 0.8 then {{'feature': 'plane', 'confidence': 0.9::double}} when best='cone' then {{'feature': 'cone', 'confidence': 0.7::double}} when best='torus' then {{'feature': 'torus', 'confidence': 0.7::double}}
+ when best='plane' and planarity > 0.8 then {{'feature': 'plane', 'confidence': 0.9::double}} when best='sphere' and circularity > 0.6 and thickness > 0.6 and length < 1.5 then {{'feature': 'hole', 'confidence': 0.75::double}} when best='sphere' and circularity > 0.6 then {{'feature': 'sphere', 'confidence': 0.8::double}} when best='sphere' then {{'feature': 'unknown', 'confidence': 0.4::double}}
+ when best='cone' then {{'feature': 'cone', 'confidence': 0.7::double}} when best='torus' then {{'feature': 'torus', 'confidence': 0.7::double}}
  when curvature > 0.3 and thickness < 0.5 and circularity > 0.6 then {{'feature': 'hole', 'confidence': 0.75::double}} when curvature > 0.3 and thickness < 0.5 then {{'feature': 'pocket', 'confidence': 0.7::double}}
  when curvature > 0.2 and aspect_ratio > 0.3 and aspect_ratio < 0.7 then {{'feature': 'slot', 'confidence': 0.7::double}} when curvature > 0.15 and length > 2 then {{'feature': 'fillet', 'confidence': 0.65::double}}
  when planarity > 0.6 and length > 1.5 then {{'feature': 'step', 'confidence': 0.6::double}} when curvature < 0.05 and planarity > 0.5 then {{'feature': 'plane', 'confidence': 0.7::double}} else {{'feature': 'unknown', 'confidence': 0.3::double}} end as f from pr)"""
@@ -398,13 +410,7 @@ def sphere_fits(spark, d):
     return rounded(G.sphere_fit(X.pts_small(spark, d)), 5)
 
 
-SPHERE_FITS_SQL = with_views("pts_small") + f""", m as (select cloud, avg(x) mx, avg(y) my, avg(z) mz, 0.01*sqrt(pow(max(x)-min(x), 2) + pow(max(y)-min(y), 2) + pow(max(z)-min(z), 2)) as lim from pts_small group by 1 having count(*) >= 4),
- t as (select p.*, m.*exclude(cloud), x-mx as u, y-my as v, z-mz as w, (x-mx)*(x-mx) + (y-my)*(y-my) + (z-mz)*(z-mz) as q from pts_small p join m using (cloud)),
- s as (select cloud, any_value(mx) mx, any_value(my) my, any_value(mz) mz, sum(u*u) a, sum(u*v) b, sum(u*w) c, sum(v*v) d, sum(v*w) e, sum(w*w) f, sum(u*q)/2 g, sum(v*q)/2 h, sum(w*q)/2 k, avg(q) as mq from t group by 1),
- d as (select *, a*(d*f-e*e) - b*(b*f-c*e) + c*(b*e-c*d) as det from s),
- o as (select *, (g*(d*f-e*e) - b*(h*f-e*k) + c*(h*e-d*k))/det as x0, (a*(h*f-e*k) - g*(b*f-c*e) + c*(b*k-c*h))/det as y0, (a*(d*k-e*h) - b*(b*k-c*h) + g*(b*e-c*d))/det as z0 from d),
- r as (select cloud, mx+x0 as ox, my+y0 as oy, mz+z0 as oz, sqrt(greatest(0, mq + x0*x0 + y0*y0 + z0*z0)) as radius from o)
-select t.cloud, {', '.join(r(f'any_value(o{c})', f'o{c}', 5) for c in 'xyz')}, {r('any_value(radius)', 'radius', 5)}, {r('avg(case when abs(sqrt((x-ox)*(x-ox) + (y-oy)*(y-oy) + (z-oz)*(z-oz)) - radius) < lim then 1.0 else 0.0 end)', 'sphere', 5)} from t join r using (cloud) group by 1"""
+SPHERE_FITS_SQL = with_views("pts_small") + BALL + f" select cloud, {', '.join(r(f'o{c}', f'o{c}', 5) for c in 'xyz')}, {r('radius', 'radius', 5)}, {r('sphere', 'sphere', 5)} from ball"
 
 QUERIES = [
     ("segment_summary", segment_summary, SUMMARY_SQL), ("big_summary", big_summary, BIG_SUMMARY_SQL), ("value_distribution", distribution, DISTRIBUTION_SQL), ("nearest_points", nearest_points, NEAREST_SQL),
