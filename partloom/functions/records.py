@@ -81,6 +81,12 @@ def dimension_fits(feature_type: Column, dimension_type: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def dimensions_of(feature_type: Column) -> Column:
+    """The dimension types that may describe a feature type (`dimension_fits`), none for an unknown one."""
+    known = F.create_map(*(x for kind, types in DIMENSIONS_OF.items() for x in (F.lit(kind), F.array(*map(F.lit, types)))))
+    return F.coalesce(F.try_element_at(known, feature_type), F.array().cast("array<string>"))
+
+
 def name_of(names: list[str], label: Column) -> Column:
     """The name of a class number; null outside the list."""
     return F.get(F.array(*map(F.lit, names)), label.cast("int"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.linear import covariance, eigenvalues, eigenvector
-from partloom.functions.records import dimension_fits
+from partloom.functions.records import dimensions_of
 from partloom.operators import segments as G
 from partloom.operators import spatial as S
 
@@ -109,12 +109,14 @@ def feature_config(points: DataFrame, kinds: DataFrame, group: str = "cloud", le
 
 def correspondences(features: DataFrame, dimensions: DataFrame) -> DataFrame:
     """Each feature with the first dimension of its model that may describe it, or a made-up one of the feature's own
-    nominal value and 2 % tolerance; deviation of the measured value.
+    nominal value and 2 % tolerance; deviation of the measured value. The rule sees kinds only, so the first dimension of
+    each kind of a model stands for all of that kind: features meet as many rows as there are kinds.
 
     features: model_id, id, type, nominal, measured; dimensions: model_id, dim_id, pos, dimension_type, value, tol."""
-    first = features.join(dimensions, "model_id").where(dimension_fits(F.col("type"), F.col("dimension_type")))
-    first = first.groupBy("model_id", "id").agg(F.min_by(F.struct("dim_id", "value", "tol"), "pos").alias("d"))
-    out = features.join(first, ["model_id", "id"], "left").withColumn("nominal", F.coalesce("d.value", F.col("nominal")))
+    firsts = dimensions.groupBy("model_id", "dimension_type").agg(F.min(F.struct("pos", "dim_id", "value", "tol")).alias("d"))
+    fits = features.select("model_id", "type").distinct().select("model_id", "type", F.explode(dimensions_of(F.col("type"))).alias("dimension_type")).join(firsts, ["model_id", "dimension_type"])
+    first = fits.groupBy("model_id", "type").agg(F.min("d").alias("d"))
+    out = features.join(first, ["model_id", "type"], "left").withColumn("nominal", F.coalesce("d.value", F.col("nominal")))
     tol = F.coalesce("d.tol", F.col("nominal") * 0.02)
     return out.select("model_id", "id", F.coalesce("d.dim_id", F.concat(F.lit("synthetic_"), F.col("id"))).alias("dim_id"), "nominal", tol.alias("tol"), F.abs(F.col("measured") - F.col("nominal")).alias("deviation"))
 
@@ -130,6 +132,23 @@ def label_groups(points: DataFrame, least: int = 30, group: str = "cloud") -> Da
     return points.groupBy(group, "label").agg(F.count("*").alias("n"), F.avg("probability").alias("confidence")).where(F.col("n") >= least)
 
 
-def descriptor_means(points: DataFrame, k: int = 10, group: str = "cloud") -> DataFrame:
+def means_of(descriptors: DataFrame, group: str = "cloud") -> DataFrame:
     """Means over a segment's points of density, planarity, linearity and normal variation."""
-    return S.descriptors(points, k, group).groupBy(group).agg(*(F.avg(c).alias(c) for c in ("density", "planarity", "linearity", "normal_variation")))
+    return descriptors.groupBy(group).agg(*(F.avg(c).alias(c) for c in ("density", "planarity", "linearity", "normal_variation")))
+
+
+def descriptor_means(points: DataFrame, k: int = 10, group: str = "cloud") -> DataFrame:
+    return means_of(S.descriptors(points, k, group), group)
+
+
+def distinct_labels(points: DataFrame, first: int = 6, group: str = "cloud") -> DataFrame:
+    """How many labels of at least 0 a cloud has, and the `first` largest of them."""
+    p = points.where("label >= 0").select(group, "label").distinct()
+    top = p.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("label")))).where(F.col("_k") <= first)
+    top = top.groupBy(group).agg(F.sort_array(F.collect_list("label"), False).alias("first"))
+    return p.groupBy(group).agg(F.count("*").alias("labels")).join(top, group)
+
+
+def positive(rows: DataFrame, measure: str = "measured") -> DataFrame:
+    """Rows that measure something."""
+    return rows.where(F.col(measure) > 0)

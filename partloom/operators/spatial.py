@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from partloom.functions.linear import covariance, eigenvalues
 
 
-def _pairs_in(points: DataFrame, radius, group: str) -> DataFrame:
-    """All ordered pairs of one group whose cells of side `radius` (a number, or a column that is the same for the
-    whole group) touch, with squared distance `d2`.
+def _pairs_in(points: DataFrame, radius, group: str, others: DataFrame | None = None) -> DataFrame:
+    """All ordered pairs of one group (a point and one of `others`, else of the points) whose cells of side `radius` (a
+    number, or a column that is the same for the whole group) touch, with squared distance `d2`.
 
     Each point is sent to the 27 cells around its own and meets the points of that cell by an equi join, so a point is
     compared with its surroundings only; no nested loop over a cloud.
     """
     cell = [F.floor(F.col(c) / radius).cast("long") for c in "xyz"]
-    right = points.select(F.col(group), *(c.alias(f"c{n}") for c, n in zip(cell, "xyz")), *(F.col(c).alias(f"{c}2") for c in ("pid", *"xyz")))
+    right = (points if others is None else others).select(F.col(group), *(c.alias(f"c{n}") for c, n in zip(cell, "xyz")), *(F.col(c).alias(f"{c}2") for c in ("pid", *"xyz")))
     around = F.array(*(F.struct(*(F.lit(v).alias(f"d{n}") for v, n in zip((i, j, k), "xyz"))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
     left = points.select("*", F.explode(around).alias("o")).select(
         F.col(group), *([] if isinstance(radius, (int, float)) else [radius.alias("reach")]), *(F.col(c).alias(f"{c}1") for c in ("pid", *"xyz")), *((c + F.col(f"o.d{n}")).alias(f"c{n}") for c, n in zip(cell, "xyz"))
@@ -36,11 +36,18 @@ def radius_join(points: DataFrame, radius, group: str = "cloud") -> DataFrame:
 
 def knn_join(points: DataFrame, k: int, group: str = "cloud", reach: float | None = None, whole: int = 64) -> DataFrame:
     """The k nearest points of every point in its group, itself included, ties by pid: `(group, pid1, pid2, rank, d2)`.
+    See `knn_between`."""
+    return knn_between(points, points, k, group, reach, whole)
+
+
+def knn_between(points: DataFrame, others: DataFrame, k: int, group: str = "cloud", reach: float | None = None, whole: int = 64) -> DataFrame:
+    """The k nearest of `others` of every point in its group, ties by pid: `(group, pid1, pid2, rank, d2)`.
 
     Points that have k neighbours within a reach are settled by the grid join, whose cost grows with the local density;
-    only the others are compared with their whole group. Without a given `reach` a group's reach is what would hold
-    2k points if they filled its box evenly, and groups of up to `whole` * k points, for which 27 cells gain nothing,
-    are compared whole. Spark keeps k rows of a point on the map side of the ranking window.
+    only the rest are compared with their whole group. Without a given `reach` a group's reach is what would hold
+    2k points if nine tenths of them filled their box evenly, and groups of up to `whole` * k points, for which 27 cells
+    gain nothing, are compared whole; if all are, which one count tells, there is no other path in the plan. Spark
+    keeps k rows of a point on the map side of the ranking window.
     """
     rank = F.row_number().over(Window.partitionBy(group, "pid1").orderBy("d2", "pid2"))
     cols = [group, "pid1", "pid2", "x2", "y2", "z2", "d2"]
@@ -48,21 +55,26 @@ def knn_join(points: DataFrame, k: int, group: str = "cloud", reach: float | Non
     def settled_and_rest(some: DataFrame, near: DataFrame) -> DataFrame:
         close = near.select(*cols).withColumn("rank", rank).where(F.col("rank") <= k)
         full = close.where(F.col("rank") == k).select(group, F.col("pid1"))
-        rest = knn_join_of(some.join(full.withColumnRenamed("pid1", "pid"), [group, "pid"], "left_anti"), some, group)
+        rest = knn_join_of(some.join(full.withColumnRenamed("pid1", "pid"), [group, "pid"], "left_anti"), others, group)
         return close.join(full, [group, "pid1"], "left_semi").select(*cols).union(rest.select(*cols))
 
     if reach:
-        found = settled_and_rest(points, radius_join(points, reach, group))
+        near = _pairs_in(points, reach, group, others).where(F.col("d2") <= reach * reach)
+        found = settled_and_rest(points, near)
     else:
-        size = lambda c: F.max(c) - F.min(c)
-        box = points.groupBy(group).agg(F.count("*").alias("n"), *(size(c).alias(f"s{c}") for c in "xyz")).where(F.col("n") > whole * k)
+        if not others.groupBy(group).count().where(F.col("count") > whole * k).take(1):
+            return knn_join_of(points, others, group).select(*cols).withColumn("rank", rank).where(F.col("rank") <= k)
+        # of nine tenths of the points on each axis, so that a few far ones do not widen the reach
+        ends = {c: F.percentile_approx(c, F.array(F.lit(0.05), F.lit(0.95)), F.lit(1000)) for c in "xyz"}
+        box = others.groupBy(group).agg(F.count("*").alias("n"), *(e.alias(f"q{c}") for c, e in ends.items())).where(F.col("n") > whole * k)
+        box = box.select("*", *((F.col(f"q{c}")[1] - F.col(f"q{c}")[0]).alias(f"s{c}") for c in "xyz"))
         widest = F.greatest("sx", "sy", "sz")
         volume = F.greatest("sx", widest / 1000) * F.greatest("sy", widest / 1000) * F.greatest("sz", widest / 1000)
-        box = box.select(group, F.when(widest > 0, F.cbrt(volume * 2 * k / F.col("n"))).otherwise(1.0).alias("reach"))
-        large = points.select(group, "pid", "x", "y", "z").join(box, group)
-        small = points.join(box, group, "left_anti")
-        near = _pairs_in(large, F.col("reach"), group).where(F.col("d2") <= F.col("reach") * F.col("reach"))
-        found = knn_join_of(small, small, group).select(*cols).union(settled_and_rest(large, near))
+        box = box.select(group, F.when(widest > 0, F.cbrt(volume * 2 * k / (F.col("n") * 0.9**3))).otherwise(1.0).alias("reach"))
+        xyz = lambda df: df.select(group, "pid", "x", "y", "z")
+        large, small = xyz(points).join(box, group), points.join(box, group, "left_anti")
+        near = _pairs_in(large, F.col("reach"), group, xyz(others).join(box, group)).where(F.col("d2") <= F.col("reach") * F.col("reach"))
+        found = knn_join_of(small, others, group).select(*cols).union(settled_and_rest(large, near))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -135,10 +147,8 @@ def neighbour_edges(points: DataFrame, k: int = 10, reach: float = 0.1, group: s
 
 def interpolate(targets: DataFrame, sources: DataFrame, value: str, group: str = "cloud", k: int = 3) -> DataFrame:
     """`value` at the targets from the k nearest sources, weighted by inverse squared distance."""
-    t = targets.select(group, F.col("pid"), "x", "y", "z")
-    s = sources.select(group, F.col("pid").alias("spid"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), F.col(value).alias("v"))
-    d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy")) + (F.col("z") - F.col("sz")) * (F.col("z") - F.col("sz"))
-    near = t.join(s, group).withColumn("d2", d2).withColumn("rank", F.row_number().over(Window.partitionBy(group, "pid").orderBy("d2", "spid"))).where(F.col("rank") <= k)
+    near = knn_between(targets.select(group, "pid", "x", "y", "z"), sources.select(group, "pid", "x", "y", "z"), k, group).select(group, F.col("pid1").alias("pid"), "pid2", "d2")
+    near = near.join(sources.select(group, F.col("pid").alias("pid2"), F.col(value).alias("v")), [group, "pid2"])
     w = 1 / F.greatest("d2", F.lit(1e-10))
     return near.groupBy(group, "pid").agg((F.sum(w * F.col("v")) / F.sum(w)).alias(value))
 
@@ -148,15 +158,30 @@ def near_centroids(segments: DataFrame, reach: float, group: str = "cloud") -> D
     return _pairs_in(segments, reach, group).where((F.col("d2") < reach * reach) & (F.col("pid1") != F.col("pid2"))).select(group, "pid1", "pid2", "d2")
 
 
+def _met(points: DataFrame, shapes: DataFrame, spans: dict, group: str) -> DataFrame:
+    """Points with the shapes whose box (`spans`: axis to the columns of its ends) touches their cell. A group's cells are
+    as wide as its widest box, so that a box lies in two cells of an axis at most."""
+    wide = F.greatest(*(hi - lo for lo, hi in spans.values())) if len(spans) > 1 else [hi - lo for lo, hi in spans.values()][0]
+    cells = shapes.groupBy(group).agg(F.max(wide).alias("_w")).select(group, F.when(F.col("_w") > 0, F.col("_w")).otherwise(1.0).alias("_cell"))
+    at = lambda c: F.floor(c / F.col("_cell")).cast("long")
+    placed = shapes.join(cells, group)
+    for axis, (lo, hi) in spans.items():
+        placed = placed.withColumn(f"_c{axis}", F.explode(F.sequence(at(lo), at(hi))))
+    keyed = points.join(cells, group).select(*points.columns, *(at(F.col(axis)).alias(f"_c{axis}") for axis in spans))
+    return keyed.join(placed.drop("_cell"), [group, *(f"_c{axis}" for axis in spans)])
+
+
 def in_shell(points: DataFrame, cylinders: DataFrame, width: float = 0.1, group: str = "cloud") -> DataFrame:
     """Points whose distance from an axis along z differs from the radius by less than `width`."""
+    reach = F.col("radius") + width
+    met = _met(points, cylinders, {"x": (F.col("cx") - reach, F.col("cx") + reach), "y": (F.col("cy") - reach, F.col("cy") + reach)}, group)
     d = F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")))
-    return points.join(cylinders, group).where(F.abs(d - F.col("radius")) < width).select(group, "feature", "pid")
+    return met.where(F.abs(d - F.col("radius")) < width).select(group, "feature", "pid")
 
 
 def in_box(points: DataFrame, boxes: DataFrame, margin: float = 0.1, group: str = "cloud") -> DataFrame:
     """Points inside a box grown by `margin` on all sides, bounds included."""
-    ok = F.lit(True)
-    for c in "xyz":
-        ok = ok & F.col(c).between(F.col(f"{c}0") - margin, F.col(f"{c}1") + margin)
-    return points.join(boxes, group).where(ok).select(group, "feature", "pid")
+    ok, spans = F.lit(True), {c: (F.col(f"{c}0") - margin, F.col(f"{c}1") + margin) for c in "xyz"}
+    for c, (lo, hi) in spans.items():
+        ok = ok & F.col(c).between(lo, hi)
+    return _met(points, boxes, spans, group).where(ok).select(group, "feature", "pid")

@@ -119,3 +119,13 @@ def containment(pairs: DataFrame) -> DataFrame:
     (the other side's columns have the prefix `o_`)."""
     inside = lambda c, box: F.expr(" and ".join(f"{c}c{k} between {box}{k}0 and {box}{k}1" for k in "xyz"))
     return pairs.withColumn("contains", inside("o_", "") & (F.col("o_area") < 0.8 * F.col("area"))).withColumn("inside", inside("", "o_") & (F.col("area") < 0.8 * F.col("o_area")))
+
+
+def distinct_edges(edge_faces: DataFrame) -> DataFrame:
+    """Edges of a model, each once however many faces list it, with the number of faces."""
+    return edge_faces.groupBy("model_id", "edge_id").agg(F.countDistinct("face_id").alias("faces"))
+
+
+def incidence_counts(edge_faces: DataFrame) -> DataFrame:
+    """Faces, edges and edges per face of a model, from its incidence table."""
+    return edge_faces.groupBy("model_id").agg(F.countDistinct("face_id").alias("faces"), F.countDistinct("edge_id").alias("edges"), (F.count("*") / F.countDistinct("face_id")).alias("edges_per_face"))

@@ -43,7 +43,7 @@ def recognised_features(spark, d):
 def hole_features(spark, d):
     """The first stage of the cascade, which is a join: every cylinder next to planes, with its planes."""
     out = features(spark, d).where("type in ('through_hole', 'blind_hole')")
-    return out.select("model_id", "type", F.col("face_ids")[0].alias("face_id"), F.concat_ws(",", F.slice("face_ids", 2, 100).cast("array<string>")).alias("planes"))
+    return out.select("model_id", "type", F.col("face_ids")[0].alias("face_id"), F.concat_ws(",", F.expr("slice(face_ids, 2, size(face_ids))").cast("array<string>")).alias("planes"))
 
 
 HOLE_FEATURES_SQL = with_views("edge_faces", "faces") + f""", {ADJ}, n as (select adj.model_id, a as face_id, count(*) as c, string_agg(b::varchar, ',' order by b) as planes from adj join faces f on f.model_id = adj.model_id and f.face_id = b and f.surface_type = 0 group by adj.model_id, a)

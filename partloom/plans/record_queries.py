@@ -1,6 +1,5 @@
 """Records, labels, views, whole features and training rows."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from partloom.functions import records as R
@@ -9,6 +8,7 @@ from partloom.operators import clusters as C
 from partloom.operators import features as P
 from partloom.operators import matching as M
 from partloom.operators import spatial as S
+from partloom.operators import topology as T
 from partloom.plans.graph_queries import DBSCAN_SQL, SCORES_CTE, _labels, _measured
 from partloom.plans.runtime import cutter
 from partloom.plans.shape_queries import DESCRIPTORS_SQL, GEO, STATS, cov_sql, curvature_cte, eig, knn, r, rounded
@@ -142,8 +142,7 @@ select cloud, {', '.join(r(f'quantile_cont(angle, {s / 100})', f'p{s:02d}', 5) f
 
 
 def descriptor_means(spark, d):
-    out = rounded(S.descriptors(X.normals_small(spark, d)), 5).groupBy("cloud").agg(*(F.avg(c).alias(c) for c in ("density", "planarity", "linearity", "normal_variation")))
-    return rounded(out, 4)
+    return rounded(P.means_of(rounded(S.descriptors(X.normals_small(spark, d)), 5)), 4)
 
 
 DESCRIPTOR_MEANS_SQL = f"select cloud, {', '.join(r(f'avg({c})', c, 4) for c in ('density', 'planarity', 'linearity', 'normal_variation'))} from ({DESCRIPTORS_SQL}) group by 1"
@@ -159,9 +158,8 @@ LABEL_GROUPS_SQL = with_views("pts_small") + f" select cloud, pid%4 as label, co
 
 def distinct_labels(spark, d):
     """Labels of at least 0 per cloud, and the six largest labels of each."""
-    p = X.pts_small(spark, d).select("cloud", (F.col("pid") % 11 - 1).alias("label")).where("label >= 0")
-    top = p.distinct().withColumn("k", F.row_number().over(Window.partitionBy("cloud").orderBy(F.desc("label")))).where("k <= 6").groupBy("cloud").agg(F.concat_ws(",", F.sort_array(F.collect_list("label"), False).cast("array<string>")).alias("first"))
-    return p.groupBy("cloud").agg(F.countDistinct("label").alias("labels")).join(top, "cloud")
+    out = P.distinct_labels(X.pts_small(spark, d).select("cloud", (F.col("pid") % 11 - 1).alias("label")))
+    return out.withColumn("first", F.concat_ws(",", F.col("first").cast("array<string>")))
 
 
 DISTINCT_SQL = with_views("pts_small") + """, p as (select cloud, pid%11 - 1 as label from pts_small where pid%11 > 0), k as (select distinct cloud, label from p qualify dense_rank() over (partition by cloud order by label desc) <= 6),
@@ -169,24 +167,21 @@ DISTINCT_SQL = with_views("pts_small") + """, p as (select cloud, pid%11 - 1 as
 
 
 def distinct_shapes(spark, d):
-    """Edges of a model, each once however many faces list it, with the number of faces."""
-    return X.edge_faces(spark, d).groupBy("model_id", "edge_id").agg(F.countDistinct("face_id").alias("faces"))
+    return T.distinct_edges(X.edge_faces(spark, d))
 
 
 SHAPES_SQL = with_views("edge_faces") + " select model_id, edge_id, count(distinct face_id) as faces from edge_faces group by 1, 2"
 
 
 def incidence_counts(spark, d):
-    """Faces, edges and edges per face of a model, from its incidence table."""
-    e = X.edge_faces(spark, d)
-    return rounded(e.groupBy("model_id").agg(F.countDistinct("face_id").alias("faces"), F.countDistinct("edge_id").alias("edges"), (F.count("*") / F.countDistinct("face_id")).alias("edges_per_face")))
+    return rounded(T.incidence_counts(X.edge_faces(spark, d)))
 
 
 INCIDENCE_SQL = with_views("edge_faces") + f" select model_id, count(distinct face_id) as faces, count(distinct edge_id) as edges, {r('count(*)/count(distinct face_id)', 'edges_per_face')} from edge_faces group by 1"
 
 
 def positive_measures(spark, d):
-    return rounded(X.measured_3d(spark, d).withColumn("measured", F.col("value") - 1200).where("measured > 0").select("id", "measured"))
+    return rounded(P.positive(X.measured_3d(spark, d).withColumn("measured", F.col("value") - 1200)).select("id", "measured"))
 
 
 POSITIVE_SQL = with_views("measured_3d") + f" select id, {r('value-1200', 'measured')} from measured_3d where value-1200 > 0"
