@@ -50,17 +50,13 @@ def best_epoch(rows: DataFrame, metric: str, epoch: str = "epoch") -> DataFrame:
     return rows.agg(F.max_by(epoch, F.struct(metric, -F.col(epoch))).alias("epoch"), F.max(metric).alias(metric))
 
 
-def running_numbers(rows: DataFrame, order: list[str], cut=None, *, name: str = "number", first: int = 0, parts: int = 256) -> DataFrame:
-    """`rows` with their place, counted from `first`, in the order of the columns `order` over the whole table.
-
-    Spark samples splitters of the composite key, ranges go to tasks and are sorted there, and a row's number is its place
-    in its range plus the sizes of the ranges before, of which the driver sees `parts` at most. Any orderable types will
-    do; nulls come first, NaN last; where the first columns tie the next ones divide a range. Rows that are equal in all
-    of `order` take consecutive numbers in any order, so name a unique column last where that matters."""
+def _numbered(rows: DataFrame, order: list[str], cut, name: str, first: int, parts: int | None) -> tuple[DataFrame, int]:
+    """`running_numbers` and the number of rows."""
     if cut is None:
         from partloom.plans.runtime import cutter
 
         cut = cutter(rows.sparkSession)
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # the high bits of this id are the range, the low 33 bits the place in it; written once, so that a task that runs again changes nothing
     placed = cut(ranged.withColumn("_at", F.monotonically_increasing_id()))
@@ -71,18 +67,28 @@ def running_numbers(rows: DataFrame, order: list[str], cut=None, *, name: str =
         before += n
     offsets = F.broadcast(rows.sparkSession.createDataFrame(at, "_part long, _before long"))
     out = placed.withColumn("_part", F.shiftright("_at", 33)).join(offsets, "_part")
-    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_at")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_at"), before - first
+
+
+def running_numbers(rows: DataFrame, order: list[str], cut=None, *, name: str = "number", first: int = 0, parts: int | None = None) -> DataFrame:
+    """`rows` with their place, counted from `first`, in the order of the columns `order` over the whole table.
+
+    Spark samples splitters of the composite key, ranges (`parts`, else as many as shuffles have partitions) go to tasks and are sorted there, and a row's number is its place
+    in its range plus the sizes of the ranges before, of which the driver sees `parts` at most. Any orderable types will
+    do; nulls come first, NaN last; where the first columns tie the next ones divide a range. Rows that are equal in all
+    of `order` take consecutive numbers in any order, so name a unique column last where that matters."""
+    return _numbered(rows, order, cut, name, first, parts)[0]
 
 
-def positional_split(rows: DataFrame, order: str, share: float = 0.8, group: str | None = None, parts: int = 256) -> DataFrame:
+def positional_split(rows: DataFrame, order: str, share: float = 0.8, group: str | None = None, parts: int | None = None) -> DataFrame:
     """The first int(n * share) rows in `order` train, the others validate, in each group or over all rows (by
     `running_numbers`: any orderable type)."""
     if group:
         w = Window.partitionBy(group)
         place = F.row_number().over(w.orderBy(order))
         return rows.withColumn("split", F.when(place <= F.floor(F.count("*").over(w) * F.lit(share) + 1e-9), "train").otherwise("val"))
-    train = math.floor(rows.count() * share + 1e-9)
-    return running_numbers(rows, [order], name="_place", first=1, parts=parts).withColumn("split", F.when(F.col("_place") <= train, "train").otherwise("val")).drop("_place")
+    placed, n = _numbered(rows, [order], None, "_place", 1, parts)
+    return placed.withColumn("split", F.when(F.col("_place") <= math.floor(n * share + 1e-9), "train").otherwise("val")).drop("_place")
 
 
 def part_split(rows: DataFrame, part: str, train: float = 0.7, val: float = 0.2) -> DataFrame:
@@ -93,10 +99,13 @@ def part_split(rows: DataFrame, part: str, train: float = 0.7, val: float = 0.2)
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.8) -> DataFrame:
-    """Of each label the first int(n * share) rows by the digest of their key train."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(F.md5(F.col(key).cast("string")), key))
-    return rows.withColumn("split", F.when(place <= F.floor(F.count("*").over(w) * F.lit(share) + 1e-9), "train").otherwise("val"))
+    """Of each label the first int(n * share) rows by the digest of their key train. Rows are numbered over all labels at
+    once, so a label that holds most of them is no task of its own."""
+    placed = running_numbers(rows.withColumn("_digest", F.md5(F.col(key).cast("string"))), [label, "_digest", key], name="_place")
+    sizes = placed.groupBy(F.col(label).alias("_label")).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    both = placed.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    train = F.col("_place") - F.col("_first") < F.floor(F.col("_n") * F.lit(share) + 1e-9)
+    return both.withColumn("split", F.when(train, "train").otherwise("val")).drop("_digest", "_place", "_label", "_first", "_n")
 
 
 def split_manifest(splits: DataFrame, member: str) -> DataFrame:
