@@ -135,7 +135,7 @@ KNOWN_DIGESTS: dict[str, str] = {
     "MPL-1.1": "9fa8ae3e869a929215034d82982372b5",
     "MPL-2.0": "b5b7a0cf4994910cd0204fba4637d6ec",
 }
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|[:<\[{]|[ \t](?:[a-z]\.|by[ \t]|the[ \t]))|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 

@@ -730,3 +730,12 @@ def test_shards_of_many_empty_texts(spark):
     for _, g in out.groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
     assert out[out["size"] == 1]["shard"].nunique() == 1  # equal texts that fit a shard stay together
+
+
+def test_copyright_lines_without_a_year(spark):
+    """Initials, placeholders and the like make a copyright line; a line of the licence that begins with the word does not."""
+    mit = license_scan.KNOWN["MIT"]
+    heads = ["Copyright A. Person", "Copyright <YEAR> <COPYRIGHT HOLDER>", "Copyright [yyyy] [name of copyright owner]", "# Copyright: Some One", "Copyright by Some One", "Copyright the authors of it"]
+    docs = spark.createDataFrame([(i, f"{h}\n\n{mit}") for i, h in enumerate(heads)] + [(99, "Some words of their own\n\n" + mit)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan_licenses(docs, license_scan.known_digests(spark)).collect()}
+    assert all(got[i] == "MIT" for i in range(len(heads))) and got[99] is None
