@@ -1,7 +1,8 @@
 """Corpus pipeline: language, repeated lines, near-duplicates, benchmark passages, pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each result to the shared folder and
-reads it again as the next stage's docs, so that a lost executor costs the tasks of one stage only.
+reads it again as the next stage's docs, so that a lost executor costs the tasks of one stage only; a stage's table goes
+when the next one is written. Null texts have no language and go with the first stage.
 """
 
 from __future__ import annotations
@@ -61,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = scratch.cut(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.cut(stage(spark, docs, sf_dir))
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
