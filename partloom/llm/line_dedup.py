@@ -117,13 +117,14 @@ def _split(texts: list[str]):
 
 
 def _describe(similarity: float, run: int, min_chars: int, min_equal: int):
-    """Every line that is compared with its blocks."""
+    """Every line that is compared with its blocks; `raw` is the hash of the line as it stands."""
 
     def out(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             rows = np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts])
             place = np.concatenate([np.arange(t.count("\n") + 1) for t in texts]) if texts else rows
+            raw = batch.column("raws").flatten()
             a = 0
             for chunk in _split(texts):
                 x = Lines(chunk)
@@ -135,8 +136,8 @@ def _describe(similarity: float, run: int, min_chars: int, min_equal: int):
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(block))
                 row = pa.array(rows[a : a + len(chunk)][keep])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(row), batch.column("th").take(row), pa.array(place[a : a + len(chunk)][keep].astype(np.int32)), _binary(x.line[keep]), pa.array(x.lid[keep]), lists],
-                    names=["id", "th", "pos", "line", "lid", "blocks"],
+                    [batch.column("id").take(row), batch.column("th").take(row), pa.array(place[a : a + len(chunk)][keep].astype(np.int32)), _binary(x.line[keep]), pa.array(x.lid[keep]), raw.slice(a, len(chunk)).take(pa.array(keep)), lists],
+                    names=["id", "th", "pos", "line", "lid", "raw", "blocks"],
                 )
                 a += len(chunk)
 
@@ -145,7 +146,7 @@ def _describe(similarity: float, run: int, min_chars: int, min_equal: int):
 
 def _coded(batches):
     for batch in batches:
-        for chunk in _split(batch.column("text").to_pylist()):
+        for chunk in in_chunks(batch.column("text").to_pylist()):
             x = Lines(chunk)
             yield pa.RecordBatch.from_arrays([pa.array(x.lid), _binary(x.line), pa.array(x.codes(), pa.string()), *map(pa.array, x.sketches())], names=["lid", "line", "words", "s", "t"])
 
@@ -279,6 +280,7 @@ def repeated_lines(
     min_chars: int = 30,
     min_equal: int = 6,
     small: int = 32,
+    part_lines: int = 2048,
     filter_bits: int = 1 << 26,
     broadcast_blocks: int = 100_000,
 ) -> DataFrame:
@@ -302,10 +304,12 @@ def repeated_lines(
     entry. Where a bucket comes together, lines of a block of up to `small` lines become pairs. In larger blocks one
     line is compared with all lines of the block, and then all lines of the block that are not connected yet with
     each other: similarity is not transitive, so a settled line may still be the only link to others. A block of near
-    copies thus takes one row a line, and only lines that are not connected are compared in pairs, dealt out in parts.
+    copies thus takes one row a line, and only lines that are not connected are compared in pairs, dealt out in parts
+    of about `part_lines` lines, each of which meets the block's lines once.
     Pairs are dropped at once whose numbers of words differ too much or whose sketches (parities of hashed words)
     differ in more bits than the allowed edits can change. Texts of lines are read again, from the
-    documents, for those lines only that can be in a pair; words are compared as one character each. The names of large
+    documents, for those lines only that can be in a pair, which are told by the hash of the line as it stands before
+    any of them is taken apart; words are compared as one character each. The names of large
     blocks are broadcast while there are at most `broadcast_blocks`, else joined by a shuffle; the numbers of lines
     that can be in a pair are thinned out by a bitmap of `filter_bits` bits before their join.
 
@@ -319,7 +323,9 @@ def repeated_lines(
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     texts = rows.where("text is not null")
     kind = rows.schema["id"].dataType.simpleString()
-    lines = scratch.cut(texts.mapInArrow(_describe(similarity, run, min_chars, min_equal), f"id {kind}, th long, pos int, line binary, lid long, blocks array<long>"))
+    raws = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("raws")
+    described = f"id {kind}, th long, pos int, line binary, lid long, raw long, blocks array<long>"
+    lines = scratch.cut(texts.select("*", raws).mapInArrow(_describe(similarity, run, min_chars, min_equal), described))
 
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = lines.select("lid", "blocks").mapInArrow(_dealt(buckets, small), "bucket int, members binary, large binary")
@@ -337,17 +343,21 @@ def repeated_lines(
     pairs = scratch.cut(pairs.distinct())
     need = pairs.select(F.explode(F.array("a", "b")).alias("lid"))
     need = scratch.cut((need if crowded is None else need.union(crowded)).distinct())
+    scratch.drop(met)
     hashed = F.xxhash64("lid").alias("h")  # the low bits of the number itself are no hash
-    some = texts.select("text").mapInArrow(_coded, "lid long, line binary, words string, s long, t long").select("*", hashed)
+    among = in_bitmap(lines.select("lid", "raw", hashed), bitmap(need.select(hashed), filter_bits), filter_bits)
+    some = in_bitmap(texts.select(F.explode(F.split("text", "\n")).alias("text")).select("text", F.xxhash64("text").alias("h")), bitmap(among.select(F.col("raw").alias("h")), filter_bits), filter_bits)
+    some = some.select("text").mapInArrow(_coded, "lid long, line binary, words string, s long, t long").select("*", hashed)
     some = in_bitmap(some, bitmap(need.select(hashed), filter_bits), filter_bits)
     coded = scratch.cut(some.drop("h").join(need, "lid").groupBy("lid", "line").agg(*(F.max(c).alias(c) for c in ("words", "s", "t"))))
 
     links = scratch.cut(_similar(pairs, coded, similarity))
+    scratch.drop(pairs)
     known = components(scratch, links.selectExpr("la a", "lb b")).withColumnRenamed("node", "line")
     if crowded is not None:
         of = coded.select("lid", "line", "s", "t").join(known, "line", "left").select("lid", "s", "t", F.xxhash64(F.coalesce("root", "line")).alias("root"))
         apart = held.join(of, "lid")
-        mixed = apart.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count("*") / F.lit(8.0 * small)).cast("int").alias("parts")).where("r <> s")
+        mixed = apart.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count("*") / F.lit(float(part_lines))).cast("int").alias("parts")).where("r <> s")
         apart = scratch.cut(apart.join(mixed.select("h", "parts"), "h"))
         part = F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int")
         x = apart.select("h", part.alias("part"), F.col("lid").alias("a"), F.col("root").alias("p"), F.col("s").alias("s_a"), F.col("t").alias("t_a"))
@@ -387,5 +397,6 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def op6_line_dedup(spark, sf_dir) -> DataFrame:
-    out = repeated_lines(table(spark, sf_dir, "documents"))
+    """Every line with a word in it counts, however short."""
+    out = repeated_lines(table(spark, sf_dir, "documents"), min_chars=1, min_equal=1)
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.transform("removed", lambda x: x.cast("string"))).alias("removed"))
