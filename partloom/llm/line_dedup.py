@@ -20,6 +20,7 @@ RUN = 3  # words in a run, at most
 HASH_BITS = 46
 LENGTH_BITS = 12  # of a short line number, which hold the line's number of words
 FULL = (1 << LENGTH_BITS) - 1
+SKETCH = ("s", "t", "u", "v")  # columns of a line's sketch
 UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])")  # scripts without spaces
 
 
@@ -88,13 +89,15 @@ class Lines:
         return of[take], key[take]
 
     def sketches(self) -> np.ndarray:
-        """Two numbers of 64 bits a line: bit b tells whether an odd number of the line's words has b in its hash. A
-        replaced word changes at most two bits of each number."""
-        out = np.zeros((2, len(self.n)), np.uint64)
+        """256 bits a line in four numbers: a bit tells whether an odd number of the line's words has its place in their
+        hash. A replaced word changes at most two bits."""
+        out = np.zeros((len(SKETCH), len(self.n)), np.uint64)
         some = np.flatnonzero(self.n)
         if len(some):
-            for k in (0, 1):
-                out[k, some] = np.bitwise_xor.reduceat(U(1) << (self.words >> U(6 * k) & U(63)), self.at[some])
+            place = mix(self.words) >> U(56)
+            bit = U(1) << (place & U(63))
+            for k in range(len(SKETCH)):
+                out[k, some] = np.bitwise_xor.reduceat(np.where(place >> U(6) == k, bit, U(0)), self.at[some])
         return out.view(np.int64)
 
     def codes(self) -> list[str]:
@@ -148,7 +151,7 @@ def _coded(batches):
     for batch in batches:
         for chunk in in_chunks(batch.column("text").to_pylist()):
             x = Lines(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(x.lid), _binary(x.line), pa.array(x.codes(), pa.string()), *map(pa.array, x.sketches())], names=["lid", "line", "words", "s", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.lid), _binary(x.line), pa.array(x.codes(), pa.string()), *map(pa.array, x.sketches())], names=["lid", "line", "words", *SKETCH])
 
 
 def _within(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
@@ -247,11 +250,15 @@ def _close(a: str, b: str, similarity: float) -> Column:
 
 
 def _alike(a: str, b: str, similarity: float) -> Column:
-    """Whether the sketches of two lines (columns s, t with the suffixes of their numbers) differ by no more bits than
+    """Whether the sketches of two lines (columns with the suffixes of their numbers) differ by no more bits than
     the edits of similar lines can change. Exact: no pair of similar lines is lost."""
     most = F.greatest(_length(a), _length(b))
-    bits = sum((F.bit_count(F.col(f"{k}_{a}").bitwiseXOR(F.col(f"{k}_{b}"))) for k in "t"), F.bit_count(F.col(f"s_{a}").bitwiseXOR(F.col(f"s_{b}"))))
-    return (most == FULL) | (bits <= 4 * F.floor(most * F.lit(1 - similarity) + 1e-9))
+    bits = sum((F.bit_count(F.col(f"{k}_{a}").bitwiseXOR(F.col(f"{k}_{b}"))) for k in SKETCH), F.lit(0))
+    return (most == FULL) | (bits <= 2 * F.floor(most * F.lit(1 - similarity) + 1e-9))
+
+
+def _sketch(lid: str) -> list[Column]:
+    return [F.col(k).alias(f"{k}_{lid}") for k in SKETCH]
 
 
 def _length(lid: str) -> Column:
@@ -262,7 +269,7 @@ def _similar(pairs: DataFrame, coded: DataFrame, similarity: float) -> DataFrame
     """Of the pairs (a, b) of short line numbers the lines (la, lb) whose word edit similarity is high enough. Sketches
     are compared first, so that texts travel for pairs only that can be similar."""
     for k in "ab":
-        pairs = pairs.join(coded.select(F.col("lid").alias(k), F.col("s").alias(f"s_{k}"), F.col("t").alias(f"t_{k}")), k)
+        pairs = pairs.join(coded.select(F.col("lid").alias(k), *_sketch(k)), k)
     pairs = pairs.where(_alike("a", "b", similarity)).select("a", "b")
     x = coded.select(F.col("lid").alias("a"), F.col("line").alias("la"), F.col("words").alias("x"))
     y = coded.select(F.col("lid").alias("b"), F.col("line").alias("lb"), F.col("words").alias("y"))
@@ -347,21 +354,21 @@ def repeated_lines(
     hashed = F.xxhash64("lid").alias("h")  # the low bits of the number itself are no hash
     among = in_bitmap(lines.select("lid", "raw", hashed), bitmap(need.select(hashed), filter_bits), filter_bits)
     some = in_bitmap(texts.select(F.explode(F.split("text", "\n")).alias("text")).select("text", F.xxhash64("text").alias("h")), bitmap(among.select(F.col("raw").alias("h")), filter_bits), filter_bits)
-    some = some.select("text").mapInArrow(_coded, "lid long, line binary, words string, s long, t long").select("*", hashed)
+    some = some.select("text").mapInArrow(_coded, "lid long, line binary, words string, " + ", ".join(f"{k} long" for k in SKETCH)).select("*", hashed)
     some = in_bitmap(some, bitmap(need.select(hashed), filter_bits), filter_bits)
-    coded = scratch.cut(some.drop("h").join(need, "lid").groupBy("lid", "line").agg(*(F.max(c).alias(c) for c in ("words", "s", "t"))))
+    coded = scratch.cut(some.drop("h").join(need, "lid").groupBy("lid", "line").agg(*(F.max(c).alias(c) for c in ("words", *SKETCH))))
 
     links = scratch.cut(_similar(pairs, coded, similarity))
     scratch.drop(pairs)
     known = components(scratch, links.selectExpr("la a", "lb b")).withColumnRenamed("node", "line")
     if crowded is not None:
-        of = coded.select("lid", "line", "s", "t").join(known, "line", "left").select("lid", "s", "t", F.xxhash64(F.coalesce("root", "line")).alias("root"))
+        of = coded.select("lid", "line", *SKETCH).join(known, "line", "left").select("lid", *SKETCH, F.xxhash64(F.coalesce("root", "line")).alias("root"))
         apart = held.join(of, "lid")
-        mixed = apart.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count("*") / F.lit(float(part_lines))).cast("int").alias("parts")).where("r <> s")
+        mixed = apart.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("last"), F.ceil(F.count("*") / F.lit(float(part_lines))).cast("int").alias("parts")).where("r <> last")
         apart = scratch.cut(apart.join(mixed.select("h", "parts"), "h"))
         part = F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int")
-        x = apart.select("h", part.alias("part"), F.col("lid").alias("a"), F.col("root").alias("p"), F.col("s").alias("s_a"), F.col("t").alias("t_a"))
-        y = apart.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("lid").alias("b"), F.col("root").alias("q"), F.col("s").alias("s_b"), F.col("t").alias("t_b"))
+        x = apart.select("h", part.alias("part"), F.col("lid").alias("a"), F.col("root").alias("p"), *_sketch("a"))
+        y = apart.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("lid").alias("b"), F.col("root").alias("q"), *_sketch("b"))
         near = scratch.cut(x.join(y, ["h", "part"]).where("a < b and p <> q").where(_close("a", "b", similarity) & _alike("a", "b", similarity)).select("a", "b").distinct())
         if not near.isEmpty():
             more = scratch.cut(_similar(near, coded, similarity))

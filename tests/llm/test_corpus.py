@@ -382,6 +382,25 @@ def test_equal_short_lines_go(spark):
     assert got == {1: [], 2: [0], 3: [], 4: [0]}
 
 
+def test_sketches_lose_no_similar_line():
+    r = random.Random(29)
+    for n in (9, 25, 80, 300):
+        w = [f"{r.choice('abc')}{r.randrange(50)}" for _ in range(n)]
+        v, edits = list(w), max(1, n // 10)
+        for e in range(edits):
+            at, kind = r.randrange(len(v)), r.randrange(3)
+            v[at : at + (kind != 2)] = [] if kind == 1 else [f"edit{e}"]
+        x, y, z = line_dedup.Lines([" ".join(w), " ".join(v), " ".join(f"z{k}" for k in range(n))]).sketches().T.tolist()
+        differ = lambda a, b: sum(((p ^ q) % (1 << 64)).bit_count() for p, q in zip(a, b))
+        assert differ(x, y) <= 2 * edits < differ(x, z)
+
+
+def test_words_below_six_bytes_count_in_the_query(spark, tmp_path):
+    spark.createDataFrame([(1, "ok go\n"), (2, "fine\nOK, go!"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 0, ""), 2: (2, 1, "1"), 3: (0, 0, "")}
+
+
 def test_short_lines_outlive_a_repeated_one(spark):
     line = prose(1, 40)
     docs = spark.createDataFrame([(1, line), (2, f"{line}\na rose\nis red"), (3, f"{line}\n  \n")], "doc_id long, text string")
