@@ -116,3 +116,30 @@ def test_normals_that_cancel_out(spark):
     df = spark.createDataFrame([(1, 0.0, 1.0, 0.0), (1, 0.0, -1.0, 0.0), (2, 0.0, 3.0, 4.0)], "cloud long, nx double, ny double, nz double")
     got = {r["cloud"]: (r["normal_x"], round(r["normal_y"], 6), round(r["normal_z"], 6)) for r in P.normal_statistics(df).collect()}
     assert got == {1: (0.0, 0.0, 1.0), 2: (0.0, 0.6, 0.8)}
+
+
+def _equal_sides(spark, n):
+    labels = spark.range(n).select(
+        F.lit(1).alias("model_id"), F.format_string("l%d", "id").alias("id"), F.col("id").alias("pos"), F.lit(10.0).alias("value"), F.lit(0.5).alias("tol"), F.lit("10").alias("text"), F.lit("").alias("raw_text"), F.lit("hole").alias("category"),
+        (F.col("id") % 7 * 20).cast("double").alias("px"), F.lit(0.0).alias("py"),
+    )
+    values = F.array(F.struct(F.lit("depth").alias("key"), F.when(F.col("id") % 2 == 0, 10.0).otherwise(13.0).alias("value")))
+    features = spark.range(n).select(F.lit(1).alias("model_id"), F.format_string("f%d", "id").alias("id"), F.col("id").alias("pos"), F.lit("cylinder").alias("type"), values.alias("values"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"), (F.col("id") % 6).cast("int").alias("n_adjacent"))
+    return labels, features
+
+
+def test_counts_and_best_labels_equal_the_scored_pairs(spark):
+    a, b = _equal_sides(spark, 600)
+    scored = M.scores(a, b).toPandas()
+    assert 0 < len(scored) == M.score_counts(a, b).first()["listed"]
+    assert not 600 * 600 == len(scored)  # the least score cuts through a pair of classes
+    want = {r.dst: r.src for r in scored.assign(s=scored["score"].round(9)).sort_values(["s", "i"], ascending=[False, True]).drop_duplicates("dst").itertuples()}
+    assert {r["dst"]: r["src"] for r in M.best_labels(a, b).collect()} == want
+
+
+def test_pairs_of_equal_rows_are_counted_by_class(spark):
+    """40,000 x 20,000 pairs, which no machine makes in a test."""
+    a, b = _equal_sides(spark, 40_000)
+    assert M.score_counts(a, b.where("pos % 2 = 0")).first()["listed"] == 40_000 * 20_000
+    plan = M.scores(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "NestedLoop" not in plan
