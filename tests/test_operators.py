@@ -208,3 +208,23 @@ def test_optimal_matches_take_all_rows(spark, sf):
         want = sum(1 - cost[a, b] for a, b in found) if found is not None else greedy[greedy["model_id"] == m]["score"].sum()
         mine = got[got["model_id"] == m]["score"]
         assert abs(mine.sum() - want) < 1e-4 * max(1, len(mine))
+
+
+def test_neighbours_of_thin_places_meet_no_whole_group(spark):
+    """Points with no k neighbours in reach go on with twice the reach: all neighbours right, few rows made."""
+    from partloom.operators import spatial
+
+    rng = np.random.default_rng(8)
+    xyz = np.concatenate([rng.normal(size=(2500, 3)), rng.normal(size=(20, 3)) * 40, [[1e5, 0, 0]]])
+    points = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(xyz)], "cloud int, pid long, x double, y double, z double")
+    joined = []
+    whole = spatial.knn_join_of
+    try:
+        spatial.knn_join_of = lambda left, right, group: joined.append(left.count()) or whole(left, right, group)
+        got = spatial.knn_join(points, 5).collect()
+    finally:
+        spatial.knn_join_of = whole
+    assert sum(joined) <= 1
+    d2 = ((xyz[:, None, :] - xyz[None, :, :]) ** 2).sum(axis=2)
+    want = {(i, int(j), n + 1) for i in range(len(xyz)) for n, j in enumerate(np.lexsort((np.arange(len(xyz)), d2[i]))[:5])}
+    assert {(r["pid1"], r["pid2"], r["rank"]) for r in got} == want and len(got) == len(want)
