@@ -13,28 +13,37 @@ from partloom.plans.runtime import cutter
 DOUBLINGS = 10  # of the reach of a neighbour join
 
 
-def _pairs_in(points: DataFrame, radius, group: str, others: DataFrame | None = None) -> DataFrame:
-    """All ordered pairs of one group (a point and one of `others`, else of the points) whose cells of side `radius` (a
-    number, or a column that is the same for the whole group) touch, with squared distance `d2`.
-
-    Each point is sent to the 27 cells around its own and meets the points of that cell by an equi join, so a point is
-    compared with its surroundings only; no nested loop over a cloud.
+def _pairs_in(points: DataFrame, radius, group: str, others: DataFrame | None = None, side: int = 1) -> DataFrame:
+    """All ordered pairs of one group (a point and one of `others`, else of the points) at most `radius` (a number, or a
+    column that is the same for the whole group) apart, and others near by, with squared distance `d2`.
+
+    Each point is sent to the cells of side `radius` around its own, 27 in all, and meets the points of that cell by an
+    equi join, so a point is compared with its surroundings only; no nested loop over a cloud. With cells of `side`
+    radii it is sent to those that its ball touches, (1 + 2 / side)^3 on average, and compared with more points: that
+    is for thin clouds, where the copies are what costs.
     """
-    cell = [F.floor(F.col(c) / radius).cast("long") for c in "xyz"]
+    cell = [F.floor(F.col(c) / (radius * side)).cast("long") for c in "xyz"]
     right = (points if others is None else others).select(F.col(group), *(c.alias(f"c{n}") for c, n in zip(cell, "xyz")), *(F.col(c).alias(f"{c}2") for c in ("pid", *"xyz")))
-    around = F.array(*(F.struct(*(F.lit(v).alias(f"d{n}") for v, n in zip((i, j, k), "xyz"))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    left = points.select("*", F.explode(around).alias("o")).select(
-        F.col(group), *([] if isinstance(radius, (int, float)) else [radius.alias("reach")]), *(F.col(c).alias(f"{c}1") for c in ("pid", *"xyz")), *((c + F.col(f"o.d{n}")).alias(f"c{n}") for c, n in zip(cell, "xyz"))
-    )
+    own = [F.col(group), *([] if isinstance(radius, (int, float)) else [radius.alias("reach")]), *(F.col(c).alias(f"{c}1") for c in ("pid", *"xyz"))]
+    if side == 1:
+        around = F.array(*(F.struct(*(F.lit(v).alias(f"d{n}") for v, n in zip((i, j, k), "xyz"))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+        left = points.select("*", F.explode(around).alias("o")).select(*own, *((c + F.col(f"o.d{n}")).alias(f"c{n}") for c, n in zip(cell, "xyz")))
+    else:
+        left = points.select(*own, *(F.col(c).alias(f"_{c}") for c in "xyz"), *([] if isinstance(radius, (int, float)) else [radius.alias("_r")]))
+        r = radius if isinstance(radius, (int, float)) else F.col("_r")
+        for c in "xyz":  # a little more than the radius, for what rounding takes
+            ends = [F.floor((F.col(f"_{c}") + sign * (r + 1e-9 * (r + F.abs(f"_{c}")))) / (r * side)).cast("long") for sign in (-1, 1)]
+            left = left.select("*", F.explode(F.sequence(*ends)).alias(f"c{c}"))
+        left = left.drop("_x", "_y", "_z", "_r")
     d2 = sum(((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "yz"), (F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2")))
     return left.join(right, [group, "cx", "cy", "cz"]).withColumn("d2", d2)
 
 
-def radius_join(points: DataFrame, radius, group: str = "cloud") -> DataFrame:
+def radius_join(points: DataFrame, radius, group: str = "cloud", side: int = 1) -> DataFrame:
     """Ordered pairs `(group, pid1, pid2, d2)` at most `radius` apart, a point with itself included. `radius` is a number
-    or a column of the points that is the same for a whole group."""
+    or a column of the points that is the same for a whole group; `side`: see `_pairs_in`."""
     limit = radius * radius if isinstance(radius, (int, float)) else F.col("reach") * F.col("reach")
-    return _pairs_in(points, radius, group).where(F.col("d2") <= limit).select(group, "pid1", "pid2", "x2", "y2", "z2", "d2")
+    return _pairs_in(points, radius, group, side=side).where(F.col("d2") <= limit).select(group, "pid1", "pid2", "x2", "y2", "z2", "d2")
 
 
 def knn_join(points: DataFrame, k: int, group: str = "cloud", reach: float | None = None, whole: int = 64) -> DataFrame:

@@ -228,3 +228,15 @@ def test_neighbours_of_thin_places_meet_no_whole_group(spark):
     d2 = ((xyz[:, None, :] - xyz[None, :, :]) ** 2).sum(axis=2)
     want = {(i, int(j), n + 1) for i in range(len(xyz)) for n, j in enumerate(np.lexsort((np.arange(len(xyz)), d2[i]))[:5])}
     assert {(r["pid1"], r["pid2"], r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_radius_join_in_wide_cells(spark):
+    """Cells of several radii send few copies and lose no pair, also of points exactly one radius apart."""
+    from partloom.operators import spatial
+
+    rng = np.random.default_rng(9)
+    xyz = np.concatenate([rng.integers(-30, 30, (300, 3)) / 2, rng.normal(size=(200, 3)) * 9])
+    points = spark.createDataFrame([(i % 2, i, *map(float, p)) for i, p in enumerate(xyz)], "cloud int, pid long, x double, y double, z double")
+    pairs = lambda side: sorted((r["pid1"], r["pid2"]) for r in spatial.radius_join(points, 1.5, side=side).collect())
+    assert pairs(1) == pairs(8) == pairs(2) and len(pairs(1)) > 550  # 500 with themselves
+    assert spatial._pairs_in(points, 1.5, "cloud", side=8)._jdf.queryExecution().analyzed().toString().count("Generate") == 3
