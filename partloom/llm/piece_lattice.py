@@ -436,4 +436,6 @@ def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_sentencepiece(spark, sf_dir) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "documents"), digests=True)
+    """The segmentations themselves, with the length and a hash of each derived from them."""
+    out = encode_texts(table(spark, sf_dir, "documents"))
+    return out.withColumn("n_pieces", F.transform("pieces", F.size)).withColumn("xxh64", F.transform("pieces", lambda p: F.xxhash64(p)))

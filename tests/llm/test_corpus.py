@@ -101,6 +101,16 @@ def test_encode_edges(nasty):
     assert piece_lattice.encode_texts(empty(nasty)).count() == 0
 
 
+def test_query_returns_the_pieces(spark, nasty, tmp_path):
+    nasty.write.parquet(f"{tmp_path}/documents.parquet")
+    got = piece_lattice.op1_sentencepiece(spark, str(tmp_path)).collect()
+    known = piece_lattice.encode_texts(nasty).collect()
+    assert sorted(str((r["doc_id"], r["pieces"])) for r in got) == sorted(str((r["doc_id"], r["pieces"])) for r in known)
+    for r in got:
+        assert r["n_pieces"] == (r["pieces"] and [len(p) for p in r["pieces"]])
+        assert r["xxh64"] is None or len(set(r["xxh64"])) == len({tuple(p) for p in r["pieces"]})
+
+
 # --- 2 ---
 
 
