@@ -114,3 +114,37 @@ def test_node_documents_and_kinds(spark, tmp_path):
         assert sorted(map(str, back.select(*rows.columns).collect())) == sorted(map(str, rows.collect())) and back.select("doc").distinct().count() == 1
     t = spark.createDataFrame([(None, " ", "hole"), (" slot ", "x", None), (None, None, "")], "a string, b string, c string")
     assert [x[0] for x in t.select(first_kind(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["hole", "slot", "unknown"]
+
+
+@pytest.mark.parametrize("band", [20, 100_000])
+def test_greedy_bands_are_the_greedy_result(spark, band):
+    """Labels and features of all ways of reading, several values, tied scores and one model with a value of 0: the result
+    over all pairs, however large a band is."""
+    r = np.random.default_rng(8)
+    texts, categories = ["5", "⌀5", "R5", "diameter 5", "⌀5 r"], ["dimension", "hole", "datum", "slot width", "chamfer"]
+    labels = [
+        (m, f"l{i}", i, float(r.integers(30, 60)) if (m, i) != (2, 4) else 0.0, [None, 0.0, 0.5, 2.0][i % 4], texts[int(r.integers(5))], "", categories[m % 5], float(r.integers(0, 200)), float(r.integers(0, 200)))
+        for m in range(5) for i in range(40)
+    ]
+    kinds, keys = ["plane", "cylinder", "through_hole", "pocket", "slot", "cone", "sphere", "chamfer"], ["diameter", "radius", "length"]
+    measured = [
+        (m, f"f{j}", j, kinds[int(r.integers(8))], [(keys[int(r.integers(3))], float(r.integers(15, 70))) for _ in range(int(r.integers(0, 4)))], float(r.integers(0, 200)), float(r.integers(0, 200)), j % 7)
+        for m in range(5) for j in range(40)
+    ]
+    a = spark.createDataFrame(labels, "model_id long, id string, pos long, value double, tol double, text string, raw_text string, category string, px double, py double")
+    b = spark.createDataFrame(measured, "model_id long, id string, pos long, type string, values array<struct<key: string, value: double>>, sx double, sy double, n_adjacent int")
+    key = lambda df: sorted(tuple(x) for x in df.select("model_id", "src", "dst", "i", "j", "score", "deviation", "status").collect())
+    want = key(matching.greedy_matches(matching.scores(a, b), cutter(spark)))
+    assert key(matching.greedy_bands(a, b, cutter(spark), band)) == want and len(want) > 40
+
+
+def test_models_that_cannot_be_matched_whole_make_no_pairs(spark, sf, monkeypatch):
+    """No model of the fixture has partners for all of its smaller side, which kinds alone tell."""
+    from partloom.plans import graph_queries as G
+
+    a, b = G._labels(spark, sf), G._measured(spark, sf)
+    sides = a.groupBy("model_id").agg(F.count("*").alias("n2")).join(b.groupBy("model_id").agg(F.count("*").alias("n3")), "model_id")
+    pick = lambda df: sorted(tuple(x) for x in df.select("model_id", "src", "dst", "score").collect())
+    want = pick(matching.optimal_matches(matching.scores(a, b), cutter(spark), sides))
+    monkeypatch.setattr(matching, "scores", None)
+    assert pick(matching.best_matches(a, b, cutter(spark))) == want and want
