@@ -4,19 +4,76 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partloom.functions.linear import dot, unit
+from partloom.functions.linear import unit
+
+
+BLOCK = 4096  # vectors of a group on one side of a matrix product
+STRIP = 512  # rows of a product that are held at once
+
+
+def _met_blocks(left: DataFrame, right: DataFrame, group: str, product, schema: str) -> DataFrame:
+    """`product(left, right)` (Arrow tables) of every pair of blocks of two sides of a group. left: group, lid, lv and more;
+    right: group, rid, rv and more. Blocks are dealt by a digest, so a task holds two of them and no group."""
+    parts = lambda rows, name: rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = parts(left, "_lefts").join(parts(right, "_rights"), group)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    plain = lambda rows, v: rows.withColumn("_known", F.coalesce(~F.exists(v, lambda x: x.isNull()), F.lit(False)))
+    a = plain(left, "lv").join(sizes, group).withColumn("_a", at("lid", "_lefts")).withColumn("_b", each("_rights")).drop("_lefts", "_rights")
+    b = plain(right, "rv").join(sizes, group).withColumn("_b", at("rid", "_rights")).withColumn("_a", each("_lefts")).drop("_lefts", "_rights")
+    key = [group, "_a", "_b"]
+    b = b.select(*(F.col(c).alias(c) for c in b.columns))  # sides of one table must not share columns
+    a = a.select(*(F.col(c).alias(c) for c in a.columns))
+    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(product, schema)
+
+
+def _matrix(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, and which of them are known; others are zero."""
+    known = table["_known"].to_numpy()
+    rows = table.filter(table["_known"])[name].combine_chunks()
+    flat = pc.list_flatten(rows).to_numpy(zero_copy_only=False)
+    out = np.zeros((table.num_rows, len(flat) // len(rows) if len(rows) else 0))
+    out[known] = flat.reshape(len(rows), -1) if len(rows) else 0
+    return out, known
 
 
 def recall_at_1(queries: DataFrame, keys: DataFrame, truth: str = "truth", group: str = "cloud") -> DataFrame:
-    """Share of queries (group, qid, v, truth) whose nearest key (group, kid, v) of the group by cosine is the true
-    one; ties go to the smaller key."""
-    q, k = queries.withColumn("u", unit(F.col("v"))), keys.withColumn("w", unit(F.col("v")))
-    sim = q.select(group, "qid", truth, "u").join(k.select(group, "kid", "w"), group).withColumn("s", F.round(dot(F.col("u"), F.col("w")), 9))
-    best = sim.groupBy(group, "qid", truth).agg(F.max_by("kid", F.struct("s", -F.col("kid"))).alias("best"))
-    return best.groupBy(group).agg(F.count("*").alias("n"), F.avg((F.col("best") == F.col(truth)).cast("double")).alias("recall_at_1"))
+    """Share of queries (group, qid, v, truth) whose nearest key (group, kid, v) of the group by cosine, to nine places, is
+    the true one; ties go to the smaller key. All keys of a group are compared, as matrix products of blocks; a query
+    sends one row for each block of keys."""
+    q = queries.select(group, F.col("qid").alias("lid"), F.col(truth).alias("truth"), unit(F.col("v")).alias("lv"))
+    k = keys.select(group, F.col("kid").alias("rid"), unit(F.col("v")).alias("rv"))
+    kinds = {c: q.schema[c].dataType.simpleString() for c in (group, "lid", "truth")} | {"rid": k.schema["rid"].dataType.simpleString()}
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("rid")
+        (a, known_a), (b, known_b) = _matrix(left, "lv"), _matrix(right, "rv")
+        best, value = np.zeros(len(a), np.int64), np.full(len(a), -np.inf)
+        for at in range(0, len(a) if len(b) else 0, STRIP):
+            s = a[at : at + STRIP] @ b.T if a.shape[1] == b.shape[1] else np.zeros((len(a[at : at + STRIP]), len(b)))
+            s[np.isnan(s)] = np.inf  # as Spark orders them
+            s[~known_a[at : at + STRIP]] = -np.inf
+            s[:, ~known_b] = -np.inf
+            top = s.max(1)
+            row, col = np.nonzero(s >= (top - 2e-9)[:, None])
+            near = np.round(s[row, col], 9)
+            order = np.lexsort((col, -near, row))
+            first = order[np.unique(row[order], return_index=True)[1]]
+            best[at : at + STRIP], value[at : at + STRIP] = col[first], near[first]
+        rid = right["rid"].take(pa.array(best)) if len(b) else pa.nulls(0, right.schema.field("rid").type)
+        out = left.select([group, "lid", "truth"]) if len(b) else left.select([group, "lid", "truth"]).slice(0, 0)
+        return out.append_column("s", pa.array(value[: out.num_rows])).append_column("rid", rid)
+
+    met = _met_blocks(q, k, group, nearest, f"{group} {kinds[group]}, lid {kinds['lid']}, truth {kinds['truth']}, s double, rid {kinds['rid']}")
+    best = met.groupBy(group, "lid", "truth").agg(F.max_by("rid", F.struct("s", -F.col("rid"))).alias("best"))
+    return best.groupBy(group).agg(F.count("*").alias("n"), F.avg((F.col("best") == F.col("truth")).cast("double")).alias("recall_at_1"))
 
 
 def precision_recall_f1(rows: DataFrame, label: Column, predicted: Column) -> DataFrame:
@@ -28,12 +85,38 @@ def precision_recall_f1(rows: DataFrame, label: Column, predicted: Column) -> Da
 
 
 def contrastive_loss(pairs: DataFrame, temperature: float = 0.1, group: str = "cloud") -> DataFrame:
-    """Mean over a group's pairs (eid, a, b) of the cross entropy of their cosine logits with the true partner, both ways."""
-    p = pairs.withColumn("a", unit(F.col("a"))).withColumn("b", unit(F.col("b")))
-    all_ = p.select(group, F.col("eid").alias("i"), "a").join(p.select(group, F.col("eid").alias("j"), "b"), group).withColumn("l", dot(F.col("a"), F.col("b")) / temperature)
-    # either side's denominators from one evaluation of the products
-    sides = all_.withColumn("same", F.when(F.col("i") == F.col("j"), F.col("l"))).withColumn("s", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("k")), F.struct(F.lit(1).alias("side"), F.col("j").alias("k")))))
-    loss = sides.groupBy(group, "s.side", "s.k").agg((F.log(F.sum(F.exp("l"))) - F.max("same")).alias("loss"))
+    """Mean over a group's pairs (eid, a, b) of the cross entropy of their cosine logits with the true partner, both ways.
+    The logits of all pairs are matrix products of blocks; a vector sends one partial sum for each block it meets."""
+    a = pairs.select(group, F.col("eid").alias("lid"), unit(F.col("a")).alias("lv"))
+    b = pairs.select(group, F.col("eid").alias("rid"), unit(F.col("b")).alias("rv"))
+    kinds = {c: a.schema[c].dataType.simpleString() for c in (group, "lid")}
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        (x, known_x), (y, known_y) = _matrix(left, "lv"), _matrix(right, "rv")
+        i, j = (pd.factorize(np.concatenate([left["lid"].to_numpy(), right["rid"].to_numpy()]))[0][s] for s in (slice(0, len(x)), slice(len(x), None)))
+        side, own = [np.zeros(len(x)), np.zeros(len(y))], [np.full(len(x), np.nan), np.full(len(y), np.nan)]
+        both = np.isin(i, j)
+        for at in range(0, len(x) if len(y) and x.shape[1] == y.shape[1] else 0, STRIP):
+            rows = np.arange(at, min(at + STRIP, len(x)))
+            l = x[rows] @ y.T / temperature
+            e = np.exp(l)
+            e[~known_x[rows]] = 0.0
+            e[:, ~known_y] = 0.0
+            side[0][rows] = e.sum(1)
+            side[1] += e.sum(0)
+            for r in np.flatnonzero(both[rows] & known_x[rows]):
+                col = np.flatnonzero((j == i[at + r]) & known_y)
+                own[0][at + r] = l[r, col].max() if len(col) else np.nan
+                own[1][col] = np.fmax(own[1][col], l[r, col])
+        if not len(x) or not len(y):
+            left, right, side, own = left.slice(0, 0), right.slice(0, 0), [np.zeros(0)] * 2, [np.zeros(0)] * 2
+        ids = pa.chunked_array(left["lid"].chunks + right["rid"].chunks, left["lid"].type)
+        groups = pa.chunked_array(left[group].chunks + right[group].chunks, left[group].type)
+        which = pa.array(np.repeat([0, 1], [left.num_rows, right.num_rows]).astype(np.int32))
+        return pa.table([groups, which, ids, pa.array(np.concatenate(side)), pa.array(np.concatenate(own), from_pandas=True)], names=[group, "side", "k", "total", "same"])
+
+    met = _met_blocks(a, b, group, sums, f"{group} {kinds[group]}, side int, k {kinds['lid']}, total double, same double")
+    loss = met.groupBy(group, "side", "k").agg((F.log(F.sum("total")) - F.max("same")).alias("loss"))
     return loss.groupBy(group).agg(F.avg("loss").alias("loss"))
 
 

@@ -148,3 +148,34 @@ def test_models_that_cannot_be_matched_whole_make_no_pairs(spark, sf, monkeypatc
     want = pick(matching.optimal_matches(matching.scores(a, b), cutter(spark), sides))
     monkeypatch.setattr(matching, "scores", None)
     assert pick(matching.best_matches(a, b, cutter(spark))) == want and want
+
+
+def test_vectors_meet_as_blocks(spark, monkeypatch):
+    """Groups of several blocks, ties to nine places, a vector with a null, and a group without keys."""
+    from partloom.operators import metrics
+
+    monkeypatch.setattr(metrics, "BLOCK", 16)
+    monkeypatch.setattr(metrics, "STRIP", 5)
+    r = np.random.default_rng(6)
+    v = {(c, i): [float(x) for x in r.integers(-2, 3, 3) + 0.5] for c in range(3) for i in range(90)}
+    null = {(1, 7)}
+    at = lambda c, i: [None, 1.0, 1.0] if (c, i) in null else v[c, i]
+    queries = spark.createDataFrame([(c, i, at(c, i), i + 1) for c, i in v if i % 2 == 0], "cloud int, qid long, v array<double>, truth long")
+    keys = spark.createDataFrame([(c, i, at(c, i)) for c, i in v if i % 2 and c < 2], "cloud int, kid long, v array<double>")
+    unit = {k: np.array(x) / np.linalg.norm(x) for k, x in v.items()}
+    want = {}
+    for c in (0, 1):
+        hits = []
+        for i in range(0, 90, 2):
+            hits.append(max((k for k in range(1, 90, 2) if (c, k) not in null), key=lambda k: (round(float(unit[c, i] @ unit[c, k]), 9), -k)) == i + 1)
+        want[c] = (45, pytest.approx(np.mean(hits)))
+    met = metrics.recall_at_1(queries, keys)
+    assert {x["cloud"]: (x["n"], x["recall_at_1"]) for x in met.collect()} == want
+    assert "InArrow" in met._jdf.queryExecution().toString()
+
+    pairs = spark.createDataFrame([(c, i, v[c, i], v[c, i + 1]) for c, i in v if i % 2 == 0], "cloud int, eid long, a array<double>, b array<double>")
+    got = {x["cloud"]: x["loss"] for x in metrics.contrastive_loss(pairs, 0.2).collect()}
+    for c in range(3):
+        s = np.array([[unit[c, i] @ unit[c, j + 1] / 0.2 for j in range(0, 90, 2)] for i in range(0, 90, 2)])
+        both = [np.log(np.exp(m).sum(1)) - np.diag(m) for m in (s, s.T)]
+        assert got[c] == pytest.approx(np.mean(both))
