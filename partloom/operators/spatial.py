@@ -11,16 +11,23 @@ from partloom.functions.linear import covariance, eigenvalues
 from partloom.plans.runtime import cutter
 
 DOUBLINGS = 10  # of the reach of a neighbour join
+PAIRS = 4_000_000  # about, that one task of a neighbour join makes
+SHARES = 16  # tasks that share a group which is compared whole
 
 
-def _pairs_in(points: DataFrame, radius, group: str, others: DataFrame | None = None, side: int = 1) -> DataFrame:
+def _parts(points: DataFrame, each: int) -> int:
+    """Partitions for a join that makes `each` pairs of a point. Spark would size them by what goes into the join."""
+    return max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(points.count() * each / PAIRS))
+
+
+def _pairs_in(points: DataFrame, radius, group: str, others: DataFrame | None = None, side: int = 1, parts: int = 0) -> DataFrame:
     """All ordered pairs of one group (a point and one of `others`, else of the points) at most `radius` (a number, or a
     column that is the same for the whole group) apart, and others near by, with squared distance `d2`.
 
     Each point is sent to the cells of side `radius` around its own, 27 in all, and meets the points of that cell by an
     equi join, so a point is compared with its surroundings only; no nested loop over a cloud. With cells of `side`
     radii it is sent to those that its ball touches, (1 + 2 / side)^3 on average, and compared with more points: that
-    is for thin clouds, where the copies are what costs.
+    is for thin clouds, where the copies are what costs. With `parts`, the cells are dealt to as many tasks.
     """
     cell = [F.floor(F.col(c) / (radius * side)).cast("long") for c in "xyz"]
     right = (points if others is None else others).select(F.col(group), *(c.alias(f"c{n}") for c, n in zip(cell, "xyz")), *(F.col(c).alias(f"{c}2") for c in ("pid", *"xyz")))
@@ -36,6 +43,8 @@ def _pairs_in(points: DataFrame, radius, group: str, others: DataFrame | None =
             left = left.select("*", F.explode(F.sequence(*ends)).alias(f"c{c}"))
         left = left.drop("_x", "_y", "_z", "_r")
     d2 = sum(((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "yz"), (F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2")))
+    if parts:
+        left, right = (side.repartition(parts, group, "cx", "cy", "cz") for side in (left.hint("merge"), right))
     return left.join(right, [group, "cx", "cy", "cz"]).withColumn("d2", d2)
 
 
@@ -80,12 +89,15 @@ def knn_between(points: DataFrame, others: DataFrame, k: int, group: str = "clou
         widest = F.greatest("sx", "sy", "sz")
         volume = F.greatest("sx", widest / 1000) * F.greatest("sy", widest / 1000) * F.greatest("sz", widest / 1000)
         box = box.select(group, F.when(widest > 0, F.cbrt(volume * k / 2 / (F.col("n") * 0.9**3))).otherwise(1.0).alias("reach"))
-        todo, field, found = xyz(points).join(box, group), xyz(others).join(box, group), [first(knn_join_of(points.join(box, group, "left_anti"), others, group))]
+        # a row for a group of many points: the points are dealt to tasks, not the groups
+        box = F.broadcast(cutter(points.sparkSession)(box))
+        small = [xyz(rows).join(box, group, "left_anti") for rows in (points, others)]
+        todo, field, found = xyz(points).join(box, group), xyz(others).join(box, group), [first(knn_join_of(*small, group))]
     cut = cutter(points.sparkSession)
-    field = cut(field)
+    todo, field = cut(todo), cut(field)
     for doubled in range(DOUBLINGS + 1):
         wide = F.col("reach") * float(2**doubled)
-        close = cut(first(_pairs_in(todo, wide, group, field).where(F.col("d2") <= F.col("reach") * F.col("reach"))))
+        close = cut(first(_pairs_in(todo, wide, group, field, parts=_parts(todo, 10 * k)).where(F.col("d2") <= F.col("reach") * F.col("reach"))))
         full = close.where(F.col("rank") == k).select(group, "pid1")
         found.append(close.join(full, [group, "pid1"], "left_semi").select(*cols, "rank"))
         todo = cut(todo.join(full.withColumnRenamed("pid1", "pid"), [group, "pid"], "left_anti").select(*todo.columns))
@@ -100,11 +112,14 @@ def knn_between(points: DataFrame, others: DataFrame, k: int, group: str = "clou
 
 
 def knn_join_of(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
-    """Every point of `left` with every point of its group in `right` and their squared distance."""
-    a = left.select(F.col(group), *(F.col(c).alias(f"{c}1") for c in ("pid", *"xyz")))
-    b = right.select(F.col(group), *(F.col(c).alias(f"{c}2") for c in ("pid", *"xyz")))
+    """Every point of `left` with every point of its group in `right` and their squared distance. The points of a group are
+    shared by SHARES tasks, to each of which the others go."""
+    a = left.select(F.col(group), *(F.col(c).alias(f"{c}1") for c in ("pid", *"xyz"))).withColumn("_share", F.pmod(F.xxhash64("pid1"), F.lit(SHARES)).cast("int"))
+    b = right.select(F.col(group), *(F.col(c).alias(f"{c}2") for c in ("pid", *"xyz")), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share"))
     d = [F.col(f"{c}1") - F.col(f"{c}2") for c in "xyz"]
-    return a.join(b, group).withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    parts = _parts(left, 640)
+    a, b = (side.repartition(parts, group, "_share") for side in (a.hint("merge"), b))
+    return a.join(b, [group, "_share"]).drop("_share").withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
 def curvature(points: DataFrame, k: int = 15, eps: float = 1e-12, group: str = "cloud") -> DataFrame:

@@ -179,3 +179,20 @@ def test_vectors_meet_as_blocks(spark, monkeypatch):
         s = np.array([[unit[c, i] @ unit[c, j + 1] / 0.2 for j in range(0, 90, 2)] for i in range(0, 90, 2)])
         both = [np.log(np.exp(m).sum(1)) - np.diag(m) for m in (s, s.T)]
         assert got[c] == pytest.approx(np.mean(both))
+
+
+@pytest.mark.parametrize("whole", [1, 64])
+def test_neighbour_joins_are_dealt_to_tasks(spark, monkeypatch, whole):
+    """Few large groups: their points go to as many tasks as asked for, and not with the group's row to one."""
+    r = np.random.default_rng(9)
+    points = [(c, i, *map(float, v)) for c in range(2) for i, v in enumerate(r.random((400, 3)))]
+    p, met = spark.createDataFrame(points, XYZ).repartition(1), []
+    for name in ("_pairs_in", "knn_join_of"):
+        join = getattr(spatial, name)
+        monkeypatch.setattr(spatial, name, lambda *a, join=join, **k: met.append(join(*a, **k)) or met[-1])
+    near = spatial.knn_join(p, 5, whole=whole).select("cloud", "pid1", "pid2").collect()
+    dealt = [m.rdd.getNumPartitions() for m in met if not m.isEmpty()]
+    assert dealt and min(dealt) >= 4
+    xyz = np.array([q[2:] for q in points if q[0] == 1])
+    order = np.argsort(((xyz[:, None] - xyz[None]) ** 2).sum(2), axis=1, kind="stable")[:, :5]
+    assert {(x["pid1"], x["pid2"]) for x in near if x["cloud"] == 1} == {(i, int(j)) for i in range(400) for j in order[i]}
