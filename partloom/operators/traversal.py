@@ -17,18 +17,42 @@ def kind_of(name: str) -> F.Column:
     return F.substring_index(F.col(name), ":", 1)
 
 
+LEVELS = 16  # of a hierarchy that are walked link by link
+
+
 def closure(links: DataFrame, cut, group: str = "model_id") -> DataFrame:
     """All `(group, top, bottom, depth)` of which `bottom` is reached from `top` along links (group, parent, child); depth is
-    the shortest way. Ways are doubled: a round joins the ways found with themselves at their meeting shape, so a
-    hierarchy of depth d takes log2(d) rounds and repeated shapes, such as an edge of two faces, meet once. Links that
-    lead back (no tree has them) end as well: a way to itself is left out."""
-    ways = cut(links.select(group, F.col("parent").alias("top"), F.col("child").alias("bottom"), F.lit(1).alias("depth")).where("top <> bottom").distinct())
+    the shortest way. A round puts a link above the ways that the round before has found, so that a way is made from the
+    few shapes right below its top, and not at every shape on it; what many edges lead to, such as a vertex of a wire, is
+    one way from there on. Hierarchies end within LEVELS rounds. Longer chains and links that lead back (no tree has
+    them) go on by doubling: a round joins the ways found with themselves at their meeting shape. A way to itself is
+    left out."""
+    links = cut(links.select(group, F.col("parent").alias("top"), F.col("child").alias("bottom")).where("top <> bottom").distinct())
+    above = links.select(group, "top", F.col("bottom").alias("via"))
+    found = [links.withColumn("depth", F.lit(1))]
+    least = lambda ways: ways.groupBy(group, "top", "bottom").agg(F.min("depth").alias("depth"))
+    while True:
+        below = found[-1].select(group, F.col("top").alias("via"), "bottom")
+        if len(found) > 1:  # from here on the tops are few, and so are the links above them
+            above = cut(above.join(cut(below.select(group, "via").distinct()), [group, "via"], "left_semi"))
+        new = cut(above.join(below, [group, "via"]).where("top <> bottom").select(group, "top", "bottom").distinct().withColumn("depth", F.lit(len(found) + 1)))
+        if new.isEmpty():
+            break
+        found.append(new)
+        if len(found) == LEVELS:
+            break
+    ways = found[0]
+    for more in found[1:]:
+        ways = ways.union(more)
+    ways = cut(least(ways))
+    if len(found) < LEVELS:
+        return ways
     size = -1
     while (n := ways.count()) != size:
         size = n
         down = ways.select(group, F.col("top").alias("bottom"), F.col("bottom").alias("far"), F.col("depth").alias("more"))
         longer = ways.join(down, [group, "bottom"]).where("top <> far").select(group, "top", F.col("far").alias("bottom"), (F.col("depth") + F.col("more")).alias("depth"))
-        ways = cut(ways.union(longer).groupBy(group, "top", "bottom").agg(F.min("depth").alias("depth")))
+        ways = cut(least(ways.union(longer)))
     return ways
 
 

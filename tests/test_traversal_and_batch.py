@@ -118,3 +118,13 @@ def test_directory_end_to_end(spark, tmp_path):
     assert [(x["cloud"], x["ok"]) for x in rows] == [("a", True)] and rows[0]["num_segments"] >= 2
     doc = json.loads(next((tmp_path / "out" / "segments").glob("doc=a/*.txt")).read_text())
     assert all(max(s["nodes"]) < 25 or min(s["nodes"]) >= 25 for s in doc.values())
+
+
+def test_ways_are_made_right_below_their_top(spark):
+    """100 edges of a wire at one vertex: doubling made ways at every shape between; a way is made once for each shape
+    right below its top."""
+    rows = [(0, "solid:0", "shell:0"), (0, "shell:0", "face:0"), (0, "face:0", "wire:0"), *((0, "wire:0", f"edge:{i}") for i in range(100)), *((0, f"edge:{i}", "vertex:0") for i in range(100))]
+    cut, written = cutter(spark), []
+    ways = traversal.closure(spark.createDataFrame(rows, "model_id int, parent string, child string"), lambda df: written.append(cut(df)) or written[-1])
+    assert {(x["top"], x["depth"]) for x in ways.where("bottom = 'vertex:0'").collect()} == {("solid:0", 5), ("shell:0", 4), ("face:0", 3), ("wire:0", 2)} | {(f"edge:{i}", 1) for i in range(100)}
+    assert ways.count() == 203 + 300 + 4 + 3 and sum(w.count() for w in written) < 3 * ways.count()
