@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from functools import lru_cache
+from itertools import chain, repeat
 from math import log
 
 import numpy as np
@@ -18,6 +20,7 @@ SPACE = "▁"
 UNIT = 10_000  # scores are whole ten-thousandths, so that equal sums are equal
 NONE = 1 << 60
 GROUP = 250  # texts whose new words are solved together
+CELLS = 1 << 14  # characters of the atoms that are solved in one array
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 
@@ -291,7 +294,7 @@ class Encoder:
     falls into one part per word; the words' results are kept in a table of at most about `cache` words. A word's
     lattice falls apart again between characters that no piece joins; its atoms have a table of their own."""
 
-    def __init__(self, model: PieceModel, most: int, cache: int = 600_000):
+    def __init__(self, model: PieceModel, most: int, cache: int = 300_000):
         self.m, self.most, self.cache = model, most, cache
         self.near: dict[str, list] = {}
         self._clear()
@@ -303,13 +306,18 @@ class Encoder:
     def parts(self, text: str) -> list[str]:
         return SEGMENT.findall(" " + text) if self.m.splits else [" " + text]
 
-    def prepare(self, texts: list[str]) -> list[list[str]]:
-        """The texts' parts, after all new ones are solved together."""
+    def prepare(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+        """The texts' parts and their numbers in the table, after all new ones are solved together."""
         if len(self.words) > self.cache or self.of_words.used > 16 * self.cache:
             self._clear()
         split = [self.parts(t) for t in texts]
-        self._solve(list(set().union(*split) - self.words.keys()))
-        return split
+        flat = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        new = [flat[i] for i in missing.tolist()]
+        self._solve(list(dict.fromkeys(new)))
+        at[missing] = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
+        return list(zip(split, np.split(at, np.cumsum([len(p) for p in split[:-1]]))))
 
     def _solve(self, new: list[str]) -> None:
         if not new:
@@ -335,8 +343,9 @@ class Encoder:
         for p in new:
             by.setdefault(len(p), []).append(p)
         for n, group in by.items():
-            for a in range(0, len(group), 4096):
-                some = group[a : a + 4096]
+            rows = max(1, CELLS // n)
+            for a in range(0, len(group), rows):
+                some = group[a : a + rows]
                 found = best_and_gap_of(self.m, some) if n <= 32 else [None] * len(some)
                 for i, f in enumerate(found):
                     if f is None:
@@ -359,16 +368,15 @@ class Encoder:
                 self.near[part] = found
         return found
 
-    def encode(self, text: str, parts: list[str] | None = None) -> list[tuple[int, bytes]]:
+    def encode(self, text: str, prepared: tuple[list[str], np.ndarray] | None = None) -> list[tuple[int, bytes]]:
         """The `most` best segmentations of the whole text, best first: (score, piece ids as int32 bytes).
 
         A segmentation that is not the best differs from it in some words. With the words ordered by the gap between
         their two best paths, ties by place, only the first most - 1 can differ in the `most` best: a text that
         changes another word is no better than as many texts that change one of these. A* gives these words' paths.
         """
-        parts = self.prepare([text])[0] if parts is None else parts
+        parts, at = prepared or self.prepare([text])[0]
         known = self.of_words
-        at = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
         score, (ids, begin) = int(known.score[at].sum()), known.ids(at)
         best = ids.tobytes()
         out = [(score, best)]

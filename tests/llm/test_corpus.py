@@ -78,6 +78,23 @@ def test_n_best_equals_all_paths(pieces):
                 assert m.decode(ids) == text
 
 
+def test_atoms_are_solved_in_small_arrays(pieces, monkeypatch):
+    import tracemalloc
+
+    m, rng = piece_lattice.PieceModel(pieces), random.Random(3)
+    texts = [" ".join("".join(rng.choices("aeinorst", k=31)) for _ in range(20)) for _ in range(150)]
+    e = piece_lattice.Encoder(m, 4)
+    tracemalloc.start()
+    split = e.prepare(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000
+    found = [e.encode(t, s) for t, s in zip(texts, split)]
+    monkeypatch.setattr(piece_lattice, "CELLS", 40)
+    few = piece_lattice.Encoder(m, 4)
+    assert [few.encode(t) for t in texts] == found
+
+
 def test_n_best_equals_library(pieces):
     import sentencepiece as sp
     from sentencepiece import sentencepiece_model_pb2 as pb
