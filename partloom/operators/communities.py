@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_GAIN = 1e-7  # of modularity, below which a graph counts as settled
+GROUPS = 100_000  # whose rows are sent to every task
+
+
+def per_group(nodes: DataFrame, group: str):
+    """What to do with a table of one row a group before a join on the group: while the groups of `nodes` are few it goes
+    to every task, so that the nodes of a large graph stay dealt. Joins on nodes carry a hint to merge, as Spark would
+    send them by way of the driver in each round while their files are small."""
+    return F.broadcast if nodes.select(group).distinct().limit(GROUPS + 1).count() <= GROUPS else lambda rows: rows
 
 
 def both_ways(edges: DataFrame, group: str = "cloud", weight: str | None = None) -> DataFrame:
@@ -21,8 +29,9 @@ def weighted_nodes(nodes: DataFrame, links: DataFrame, group: str = "cloud") ->
     degree = links.groupBy(group, F.col("a").alias("node")).agg(
         F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k"), F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("w")).otherwise(0.0)).alias("loop")
     )
+    each = per_group(nodes, group)
     m2 = degree.groupBy(group).agg(F.sum("k").alias("m2"))
-    out = nodes.select(group, F.col("node")).distinct().join(degree, [group, "node"], "left").join(m2, group, "left")
+    out = nodes.select(group, F.col("node")).distinct().join(degree.hint("merge"), [group, "node"], "left").join(each(m2), group, "left")
     return out.select(group, "node", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("k", "loop", "m2")))
 
 
@@ -33,18 +42,18 @@ def best_moves(state: DataFrame, links: DataFrame, resolution: float = 1.0, grou
     A candidate is a community that a neighbour is in; how strongly a node hangs on each is a combinable sum over its
     edges, so a hub costs one row for each community around it."""
     at = state.select(group, F.col("node").alias("b"), F.col("community").alias("to"))
-    hang = links.where("a <> b").join(at, [group, "b"]).select(group, F.col("a").alias("node"), "to", "w")
+    hang = links.where("a <> b").join(at.hint("merge"), [group, "b"]).select(group, F.col("a").alias("node"), "to", "w")
     own = state.select(group, "node", F.col("community").alias("to"), F.lit(0.0).alias("w"))
     hang = hang.union(own).groupBy(group, "node", "to").agg(F.sum("w").alias("w"))
     total = state.groupBy(group, F.col("community").alias("to")).agg(F.sum("k").alias("total"), F.count("*").alias("size"))
-    rows = state.select(group, "node", "k", "m2", "community").join(hang, [group, "node"]).join(total, [group, "to"])
+    rows = state.select(group, "node", "k", "m2", "community").join(hang.hint("merge"), [group, "node"]).join(total.hint("merge"), [group, "to"])
     here = F.col("to") == F.col("community")
     score = F.when(F.col("m2") > 0, F.col("w") - resolution * F.col("k") * (F.col("total") - F.when(here, F.col("k")).otherwise(0.0)) / F.col("m2")).otherwise(0.0)
     best = rows.withColumn("score", score).groupBy(group, "node").agg(
         F.max(F.struct("score", (-F.col("to")).alias("low"), "size")).alias("best"), F.max(F.when(here, F.struct("score", "size"))).alias("own")
     )
     gain = F.when(F.col("m2") > 0, 2 * (F.col("best.score") - F.col("own.score")) / F.col("m2")).otherwise(0.0)
-    out = state.join(best, [group, "node"])
+    out = state.join(best.hint("merge"), [group, "node"])
     better = gain > 1e-12
     return out.select(
         *state.columns, F.when(better, -F.col("best.low")).otherwise(F.col("community")).alias("to"), F.when(better, gain).otherwise(0.0).alias("gain"),
@@ -56,8 +65,8 @@ def modularity(state: DataFrame, links: DataFrame, resolution: float = 1.0, grou
     """`(group, q)` of graphs with edges."""
     c = F.col(community)
     a, b = (state.select(group, F.col("node").alias(s), c.alias(f"c_{s}")) for s in "ab")
-    inside = links.where("a <> b").join(a, [group, "a"]).join(b, [group, "b"]).where("c_a = c_b").groupBy(group, F.col("c_a").alias("c")).agg(F.sum("w").alias("inside"))
-    parts = state.groupBy(group, c.alias("c"), "m2").agg(F.sum("k").alias("total"), F.sum("loop").alias("loops")).where("m2 > 0").join(inside, [group, "c"], "left")
+    inside = links.where("a <> b").join(a.hint("merge"), [group, "a"]).join(b.hint("merge"), [group, "b"]).where("c_a = c_b").groupBy(group, F.col("c_a").alias("c")).agg(F.sum("w").alias("inside"))
+    parts = state.groupBy(group, c.alias("c"), "m2").agg(F.sum("k").alias("total"), F.sum("loop").alias("loops")).where("m2 > 0").join(inside.hint("merge"), [group, "c"], "left")
     share = (F.coalesce("inside", F.lit(0.0)) + F.col("loops")) / F.col("m2") - resolution * F.pow(F.col("total") / F.col("m2"), F.lit(2.0))
     return parts.groupBy(group).agg(F.sum(share).alias("q"))
 
@@ -73,8 +82,8 @@ def local_moves(state: DataFrame, links: DataFrame, cut, resolution: float = 1.0
     the driver: whether any graph is open and whether any node moved.
     """
     sides = lambda p: F.explode(F.array(F.col("community"), F.col("to")))
-    q = modularity(state, links, resolution, group)
-    state = cut(state.join(q, group, "left").withColumn("open", F.col("q").isNotNull()))
+    q, each = modularity(state, links, resolution, group), per_group(state, group)
+    state = cut(state.join(each(q), group, "left").withColumn("open", F.col("q").isNotNull()))
     moved, number = False, 0
     columns = [c for c in state.columns if c != "open"]
     while True:
@@ -83,18 +92,18 @@ def local_moves(state: DataFrame, links: DataFrame, cut, resolution: float = 1.0
         prop = cut(best_moves(active.select(*columns), links, resolution, group))
         wanted = prop.where("gain > 0")
         top = wanted.select(group, "node", "gain", sides(wanted).alias("c")).groupBy(group, "c").agg(F.max(F.struct("gain", (-F.col("node")).alias("low"))).alias("top")).select(group, "c", (-F.col("top.low")).alias("first"))
-        alone = wanted.join(top.select(group, F.col("c").alias("community"), F.col("first").alias("f1")), [group, "community"]).join(top.select(group, F.col("c").alias("to"), F.col("first").alias("f2")), [group, "to"])
+        alone = wanted.join(top.select(group, F.col("c").alias("community"), F.col("first").alias("f1")).hint("merge"), [group, "community"]).join(top.select(group, F.col("c").alias("to"), F.col("first").alias("f2")).hint("merge"), [group, "to"])
         alone = alone.where("f1 = node and f2 = node").select(group, "node", F.lit(True).alias("alone"))
         lonely = (F.col("own_size") == 1) & (F.col("to_size") == 1) & (F.col("to") > F.col("community"))
         go = (F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2)) == 0) & ~lonely & (F.col("gain") > 0)
-        tried = cut(prop.join(alone, [group, "node"], "left").withColumn("many", F.when(go, F.col("to")).otherwise(F.col("community"))))
+        tried = cut(prop.join(alone.hint("merge"), [group, "node"], "left").withColumn("many", F.when(go, F.col("to")).otherwise(F.col("community"))))
         after = modularity(tried, links, resolution, group, "many").withColumnRenamed("q", "q_many")
         single = tried.groupBy(group).agg(F.sum(F.when(F.col("alone"), F.col("gain")).otherwise(0.0)).alias("one"))
-        verdict = tried.select(group, "q").distinct().join(after, group).join(single, group)
+        verdict = tried.select(group, "q").distinct().join(each(after), group).join(each(single), group)
         verdict = verdict.select(group, (F.col("q_many") >= F.col("q") + LEAST_GAIN).alias("take"), "q_many", "one")
         step = F.when(F.col("take"), F.col("many")).when(F.coalesce("alone", F.lit(False)) & (F.col("one") >= LEAST_GAIN), F.col("to")).otherwise(F.col("community"))
         new_q = F.when(F.col("take"), F.col("q_many")).otherwise(F.col("q") + F.when(F.col("one") >= LEAST_GAIN, F.col("one")).otherwise(0.0))
-        went = tried.join(verdict, group).select(
+        went = tried.join(each(verdict), group).select(
             *(step.alias("community") if c == "community" else new_q.alias("q") if c == "q" else F.col(c) for c in columns), (F.col("take") | (F.col("one") >= LEAST_GAIN)).alias("open"),
         )
         state = cut(went.select(*columns, "open").union(state.where("not open").select(*columns, "open")))
@@ -106,9 +115,9 @@ def local_moves(state: DataFrame, links: DataFrame, cut, resolution: float = 1.0
 def contracted(state: DataFrame, links: DataFrame, group: str = "cloud") -> tuple[DataFrame, DataFrame]:
     """Communities as nodes, and the edges between them: (nodes with `node, k, loop, m2`, links)."""
     a, b = (state.select(group, F.col("node").alias(s), F.col("community").alias(f"c_{s}")) for s in "ab")
-    between = links.where("a <> b").join(a, [group, "a"]).join(b, [group, "b"]).groupBy(group, F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.sum("w").alias("w"))
+    between = links.where("a <> b").join(a.hint("merge"), [group, "a"]).join(b.hint("merge"), [group, "b"]).groupBy(group, F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.sum("w").alias("w"))
     within = between.where("a = b").select(group, F.col("a").alias("community"), F.col("w").alias("inner"))
-    nodes = state.groupBy(group, "community", "m2").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).join(within, [group, "community"], "left")
+    nodes = state.groupBy(group, "community", "m2").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop")).join(within.hint("merge"), [group, "community"], "left")
     nodes = nodes.select(group, F.col("community").alias("node"), "k", (F.col("loop") + F.coalesce("inner", F.lit(0.0))).alias("loop"), "m2")
     return nodes, between.where("a <> b")
 
@@ -134,8 +143,8 @@ def louvain(edges: DataFrame, nodes: DataFrame, cut, *, resolution: float = 1.0,
             if not changed:
                 break
             up = level.select(group, F.col("node").alias("community"), F.col("community").alias("upper"))
-            of = cut(of.join(up, [group, "community"]).select(group, "node", F.col("upper").alias("community")))
+            of = cut(of.join(up.hint("merge"), [group, "community"]).select(group, "node", F.col("upper").alias("community")))
             level_nodes, level_links = contracted(level, level_links, group)
-        state, moved = local_moves(base.join(of, [group, "node"]), links, cut, resolution, group)
+        state, moved = local_moves(base.join(of.hint("merge"), [group, "node"]), links, cut, resolution, group)
     low = state.groupBy(group, "community").agg(F.min("node").alias("low"))
-    return state.select(group, "node", "community").join(low, [group, "community"]).select(group, "node", F.col("low").alias("community"))
+    return state.select(group, "node", "community").join(low.hint("merge"), [group, "community"]).select(group, "node", F.col("low").alias("community"))

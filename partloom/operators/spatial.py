@@ -100,7 +100,7 @@ def knn_between(points: DataFrame, others: DataFrame, k: int, group: str = "clou
     for doubled in range(DOUBLINGS + 1):
         wide = F.col("reach") * float(2**doubled)
         close = cut(first(_pairs_in(todo, wide, group, field, parts=parts_of(todo, 10 * k)).where(F.col("d2") <= F.col("reach") * F.col("reach"))))
-        full = close.where(F.col("rank") == k).select(group, "pid1")
+        full = close.where(F.col("rank") == k).select(group, "pid1").hint("merge")
         found.append(close.join(full, [group, "pid1"], "left_semi").select(*cols, "rank"))
         todo = cut(todo.join(full.withColumnRenamed("pid1", "pid"), [group, "pid"], "left_anti").select(*todo.columns))
         if todo.isEmpty():

@@ -251,3 +251,15 @@ def test_dense_clusters_make_few_pairs(spark):
         assert max(counts) < 25_000  # the pairs within eps are over 600,000
     null = points.withColumn("x", F.when(F.col("pid") > 0, F.col("x")))
     assert {r["label"] for r in clusters.dbscan(null, eps, 5, cutter(spark)).where("pid = 0").collect()} == {-1}
+
+
+def test_moves_send_no_nodes_by_way_of_the_driver(spark):
+    nodes = spark.createDataFrame([(1, i) for i in range(8)], "cloud int, node long")
+    edges = spark.createDataFrame([(1, i, (i + 1) % 8) for i in range(8)], "cloud int, a long, b long")
+    cut = cutter(spark)
+    links = cut(communities.both_ways(edges))
+    state = cut(communities.weighted_nodes(nodes, links).withColumn("community", F.col("node")))
+    moves = communities.best_moves(state, links)
+    assert moves.where("k = 2 and m2 = 16 and gain > 0").count() == 8
+    plan = moves._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
