@@ -183,57 +183,63 @@ def best_and_gap_of(m: PieceModel, strings: list[str]) -> list[tuple[int, int, b
     step over all strings. None for a string in which a character needs its bytes."""
     n, rows = len(strings[0]), len(strings)
     top = min(m.longest, n)
-    chars, none = codes(strings, n), np.int64(-NONE)
-    score = np.full((top + 1, rows, n), none)
-    ids = np.full((top + 1, rows, n), -1, np.int32)
-    r, i = (x.ravel() for x in np.indices((rows, n)))
-    h = np.zeros(rows * n, np.uint64)
+    chars, none = np.ascontiguousarray(codes(strings, n).T), np.int64(-NONE)  # a place's values of all strings side by side
+    score, ids = [np.full((n, rows), none)], [np.full((n, rows), -1, np.int32)]
+    cell, flat = np.arange(n * rows), chars.ravel()
+    h = np.zeros(n * rows, np.uint64)
     for k in range(1, top + 1):  # places that begin a piece of k characters, among those that begin a longer one
-        h = (h + chars[r, i + k - 1] + ONE) * BASE
+        if not len(cell):
+            top = k - 1  # no piece is longer
+            break
+        h = (h + flat[cell + (k - 1) * rows] + ONE) * BASE
         at = np.minimum(np.searchsorted(m.keys, h), len(m.keys) - 1)
         ok = m.keys[at] == h
-        r, i, h, p = r[ok], i[ok], h[ok], m.key_ids[at[ok]]
+        cell, h, p = cell[ok], h[ok], m.key_ids[at[ok]]
         whole = p >= 0
-        score[k, r[whole], i[whole]] = m.scores[p[whole]]
-        ids[k, r[whole], i[whole]] = p[whole]
-        inside = i + k < n
-        r, i, h = r[inside], i[inside], h[inside]
-    known = (ids[1] >= 0).all(axis=1)
+        score.append(np.full((n, rows), none))
+        ids.append(np.full((n, rows), -1, np.int32))
+        score[k].ravel()[cell[whole]] = m.scores[p[whole]]
+        ids[k].ravel()[cell[whole]] = p[whole]
+        inside = cell < (n - k) * rows
+        cell, h = cell[inside], h[inside]
+    known = (ids[1] >= 0).all(axis=0)
     score[1][ids[1] < 0] = m.unknown
-    f, via = np.full((rows, n + 1), none), np.zeros((rows, n + 1), np.int64)
-    f[:, 0] = 0
+    f, via = np.full((n + 1, rows), none), np.zeros((n + 1, rows), np.int64)
+    f[0] = 0
     for j in range(1, n + 1):
         for k in range(min(top, j), 0, -1):  # of equals the edge that starts first
-            v = f[:, j - k] + score[k, :, j - k]
-            better = v > f[:, j]
-            f[better, j] = v[better]
-            via[better, j] = k
-    b = np.full((rows, n + 1), none)
-    b[:, n] = 0
+            v = f[j - k] + score[k][j - k]
+            np.copyto(via[j], k, where=v > f[j])
+            np.maximum(f[j], v, out=f[j])
+    b = np.full((n + 1, rows), none)
+    b[n] = 0
     for i in range(n - 1, -1, -1):
         for k in range(1, min(top, n - i) + 1):
-            np.maximum(b[:, i], np.maximum(score[k, :, i] + b[:, i + k], none), out=b[:, i])
-    on = np.zeros(score.shape, bool)
+            np.maximum(b[i], score[k][i] + b[i + k], out=b[i])
+    on = np.zeros((top + 1, n, rows), bool)
+    every = np.stack(ids)
     path, row, at = np.full((rows, n), -1, np.int32), np.arange(rows), np.full(rows, n)
     for step in range(n - 1, -1, -1):
-        k = via[row, at]
+        k = via[at, row]
         at = at - k
-        on[k, row, at] = True
-        path[row, step] = ids[k, row, at]
+        on[k, at, row] = True
+        path[row, step] = every[k, at, row]
         more = at > 0
         row, at = row[more], at[more]
         if not len(row):
             break
     second = np.full(rows, none)
     for k in range(1, top + 1):
-        through = f[:, : n - k + 1] + score[k, :, : n - k + 1] + b[:, k:]
-        second = np.maximum(second, np.where(on[k, :, : n - k + 1] | (score[k, :, : n - k + 1] == none), none, through).max(axis=1))
+        w = score[k][: n - k + 1]
+        through = f[: n - k + 1] + w + b[k:]
+        through[on[k, : n - k + 1] | (w == none)] = none
+        np.maximum(second, through.max(axis=0), out=second)
     used = path >= 0
     ends = np.cumsum(used.sum(axis=1)) * 4
-    flat = path[used].tobytes()
-    gaps = np.where(second == none, NONE, f[:, n] - second)
-    out = zip(f[:, n].tolist(), gaps.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), known.tolist())
-    return [(s, g, flat[x:y]) if ok else None for s, g, x, y, ok in out]
+    spelt = path[used].tobytes()
+    gaps = np.where(second == none, NONE, f[n] - second)
+    out = zip(f[n].tolist(), gaps.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), known.tolist())
+    return [(s, g, spelt[x:y]) if ok else None for s, g, x, y, ok in out]
 
 
 def n_best(edges, n: int, most: int) -> list[tuple[int, list]]:
@@ -268,13 +274,13 @@ class Results:
 
     def __init__(self):
         self.n = self.used = 0
-        self.score, self.gap, self.begin, self.size = (np.zeros(1024, np.int64) for _ in range(4))
+        self.score, self.gap, self.begin, self.size, self.uses = (np.zeros(1024, np.int64) for _ in range(5))
         self.flat = np.zeros(4096, np.int32)
 
     def add(self, score: np.ndarray, gap: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
         n, used = self.n + len(score), self.used + len(ids)
         if n > len(self.score):
-            self.score, self.gap, self.begin, self.size = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.score, self.gap, self.begin, self.size))
+            self.score, self.gap, self.begin, self.size, self.uses = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.score, self.gap, self.begin, self.size, self.uses))
         if used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(used, np.int32)])
         self.score[self.n : n], self.gap[self.n : n], self.size[self.n : n] = score, gap, size
@@ -288,28 +294,48 @@ class Results:
         begin = np.cumsum(size) - size
         return self.flat[np.repeat(self.begin[at] - begin, size) + np.arange(size.sum())], begin
 
+    def count(self, at: np.ndarray) -> None:
+        """Notes a use of each of the results `at`."""
+        self.uses[: self.n] += np.bincount(at, minlength=self.n)
+
+    def most_used(self, names: dict[str, int], most: int, places: int) -> tuple[dict[str, int], Results]:
+        """The results that were used more than once, the most used first: `most` of them, with `places` ids in all."""
+        uses = self.uses[: self.n]
+        at = np.flatnonzero(uses > 1)
+        at = at[np.argsort(-uses[at], kind="stable")][:most]
+        at = np.sort(at[np.cumsum(self.size[at]) <= places])
+        out, number = Results(), np.full(self.n, -1)
+        number[at] = np.arange(len(at))
+        out.add(self.score[at], self.gap[at], self.size[at], self.ids(at)[0])
+        out.uses[: out.n] = uses[at] // 2
+        new = number.tolist()
+        return {name: new[k] for name, k in names.items() if new[k] >= 0}, out
+
 
 class Encoder:
     """Encodes whole texts. Where no piece holds a space after another character, or a line end, the lattice of a text
     falls into one part per word; the words' results are kept in a table of at most about `cache` words. A word's
-    lattice falls apart again between characters that no piece joins; its atoms have a table of their own."""
+    lattice falls apart again between characters that no piece joins; its atoms have a table of their own. A full table
+    keeps the entries that were used again, the most used first, up to half its size."""
 
-    def __init__(self, model: PieceModel, most: int, cache: int = 300_000):
+    def __init__(self, model: PieceModel, most: int, cache: int = 400_000):
         self.m, self.most, self.cache = model, most, cache
         self.near: dict[str, list] = {}
-        self._clear()
-
-    def _clear(self) -> None:
         self.words, self.atoms = {}, {}
         self.of_words, self.of_atoms = Results(), Results()
 
+    def _thin(self) -> None:
+        most, places = self.cache // 2, 8 * self.cache
+        self.words, self.of_words = self.of_words.most_used(self.words, most, places)
+        self.atoms, self.of_atoms = self.of_atoms.most_used(self.atoms, most, places)
+
     def parts(self, text: str) -> list[str]:
         return SEGMENT.findall(" " + text) if self.m.splits else [" " + text]
 
     def prepare(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
         """The texts' parts and their numbers in the table, after all new ones are solved together."""
         if len(self.words) > self.cache or self.of_words.used > 16 * self.cache:
-            self._clear()
+            self._thin()
         split = [self.parts(t) for t in texts]
         flat = list(chain.from_iterable(split))
         at = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
@@ -317,6 +343,7 @@ class Encoder:
         new = [flat[i] for i in missing.tolist()]
         self._solve(list(dict.fromkeys(new)))
         at[missing] = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
+        self.of_words.count(at)
         return list(zip(split, np.split(at, np.cumsum([len(p) for p in split[:-1]]))))
 
     def _solve(self, new: list[str]) -> None:
@@ -333,6 +360,7 @@ class Encoder:
         atoms = [s[a:b] for a, b in zip(starts.tolist(), cuts.tolist())]
         self._solve_atoms(list(set(atoms) - self.atoms.keys()))
         of = np.fromiter(map(self.atoms.__getitem__, atoms), np.int64, len(atoms))
+        self.of_atoms.count(of)
         first, a = np.searchsorted(starts, ends - size), self.of_atoms
         self.words.update(zip(new, range(self.of_words.n, self.of_words.n + len(new))))
         self.of_words.add(np.add.reduceat(a.score[of], first), np.minimum.reduceat(a.gap[of], first), np.add.reduceat(a.size[of], first), a.ids(of)[0])
@@ -398,6 +426,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(proto: bytes, most: int) -> Encoder:
+    """The encoder of a Python worker, with what it has solved for its earlier tasks."""
+    return Encoder(PieceModel(proto), most)
+
+
 def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 4, model_path: str = MODEL, digests: bool = False) -> DataFrame:
     """Per row `id_col` and the `most` best segmentations of the whole text, best first; the best is decoded again as a check.
 
@@ -416,8 +450,8 @@ def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         proto = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        m = PieceModel(proto.value)
-        encoder = Encoder(m, most)
+        encoder = encoder_of(proto.value, most)
+        m = encoder.m
         for batch in batches:
             scores, ids, ok = [], [], []
             for k, text in enumerate(texts := batch.column("text").to_pylist()):
@@ -445,5 +479,8 @@ def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def op1_sentencepiece(spark, sf_dir) -> DataFrame:
     """The segmentations themselves, with the length and a hash of each derived from them."""
-    out = encode_texts(table(spark, sf_dir, "documents"))
-    return out.withColumn("n_pieces", F.transform("pieces", F.size)).withColumn("xxh64", F.transform("pieces", lambda p: F.xxhash64(p)))
+    most = 4
+    out = encode_texts(table(spark, sf_dir, "documents"), most=most)
+    hashes = F.array(*(F.xxhash64(F.get("pieces", F.lit(k))) for k in range(most)))  # a lambda would hash number by number, not in generated code
+    hashes = F.when(F.col("pieces").isNotNull(), F.slice(hashes, F.lit(1), F.size("pieces")))
+    return out.withColumn("n_pieces", F.transform("pieces", F.size)).withColumn("xxh64", hashes)

@@ -128,6 +128,20 @@ def test_query_returns_the_pieces(spark, nasty, tmp_path):
         assert r["xxh64"] is None or len(set(r["xxh64"])) == len({tuple(p) for p in r["pieces"]})
 
 
+def test_a_full_table_keeps_what_is_used_again():
+    with open(piece_lattice.MODEL, "rb") as f:
+        proto = f.read()
+    e = piece_lattice.encoder_of(proto, 3)
+    assert piece_lattice.encoder_of(proto, 3) is e  # a worker's later tasks find what earlier ones solved
+    e = piece_lattice.Encoder(e.m, 3, cache=40)
+    texts = [f"again and again comes w{k}x{k * 7919 % 1009} über {chr(0x4E00 + k)}" for k in range(300)]
+    found = [e.encode(t, p) for k in range(0, 300, 20) for t, p in zip(texts[k : k + 20], e.prepare(texts[k : k + 20]))]
+    e._thin()
+    assert " again" in e.words and " comes" in e.words and len(e.words) <= 20 and e.of_words.n == len(e.words)
+    assert found == [piece_lattice.Encoder(e.m, 3).encode(t) for t in texts]
+    assert e.encode(texts[7]) == found[7]
+
+
 # --- 2 ---
 
 
