@@ -14,6 +14,7 @@ from partloom.llm.tokens import in_chunks, mix, shingles, words_of
 
 U = np.uint64
 COORDINATES = 64
+DENSE = 0.75  # of a node's sets: if a child holds as many, its sets are near copies that a split does not part
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | U(1)
 
 
@@ -209,17 +210,19 @@ def _classes(
     for depth in range(max_depth):
         if depth == 0:
             roots = F.transform(F.sequence(F.lit(1), F.lit(runs_for(recall, threshold, max_depth))), lambda r: F.xxhash64(r, F.lit(31)))
-            nodes = sets.select("key", F.explode(F.flatten(F.transform(roots, lambda r: _children(r, F.col("sig"))))).alias("node"))
+            nodes = sets.select("key", F.lit(None).cast("long").alias("whole"), F.explode(F.flatten(F.transform(roots, lambda r: _children(r, F.col("sig"))))).alias("node"))
         else:
-            nodes = level.join(sets.select("key", "sig"), "key").select("key", F.explode(_children(F.col("node"), F.col("sig"))).alias("node"))
-        sized = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        kept = scratch.cut(nodes.join(sized, "node").dropDuplicates(["node", "key"]))
+            nodes = level.join(sets.select("key", "sig"), "key").select("key", "whole", F.explode(_children(F.col("node"), F.col("sig"))).alias("node"))
+        sized = nodes.groupBy("node").agg(F.count("*").alias("n"), F.max("whole").alias("whole")).where("n > 1")
+        sized = sized.select("node", "n", (F.col("n") > leaf_sets) & (F.coalesce(F.col("n") < DENSE * F.col("whole"), F.lit(True))))
+        sized = sized.toDF("node", "n", "split")
+        kept = scratch.cut(nodes.drop("whole").join(sized, "node").dropDuplicates(["node", "key"]))
         last = depth == max_depth - 1
-        part = kept if last else kept.where(F.col("n") <= leaf_sets)
+        part = kept.drop("split") if last else kept.where("not split").drop("split")
         leaves = part if leaves is None else leaves.union(part)
         if last:
             break
-        level = kept.where(F.col("n") > leaf_sets).select("node", "key")
+        level = kept.where("split").select("node", "key", F.col("n").alias("whole"))
         if level.isEmpty():
             break
 
@@ -274,7 +277,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Chosen paths: in each run all sets start in one node. A node of more than `leaf_sets` sets is split: it samples
     1.25 of 64 min-hash coordinates on average, the same for all its sets, and a set goes to the child that the token
-    found there names. Nodes that are small enough, or `max_depth` deep, are leaves. `runs_for` gives the number of
+    found there names. Nodes that are small enough, hold `DENSE` of their parent's sets, or are `max_depth` deep, are leaves. `runs_for` gives the number of
     runs for the target `recall` of pairs whose nodes are split down to `max_depth`. In a leaf, pairs are first estimated from one byte of each coordinate (half the
     threshold's distance below it is kept: at 0.8 a pair is lost with a chance below 1e-8), then the exact sets of
     those left are compared in blocks. A pair that shares several leaves belongs to the smallest of them, so links are

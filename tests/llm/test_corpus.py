@@ -266,6 +266,24 @@ def test_components_of_chains_and_stars(spark):
     assert common.components(common.Scratch(spark), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_copies_are_not_split_on(spark, monkeypatch):
+    levels, cut = [], common.Scratch.cut
+
+    def watched(self, df):
+        out = cut(self, df)
+        if "node" in df.columns and "n" in df.columns:
+            levels.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "cut", watched)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard_join.similar_classes(docs, leaf_sets=20).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 199)}
+    assert len(levels) <= 4 and sum(levels[1:]) < 1.5 * levels[0]
+
+
 # --- 4 ---
 
 
