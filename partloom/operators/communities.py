@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_GAIN = 1e-7  # of modularity, below which a graph counts as settled
 GROUPS = 100_000  # whose rows are sent to every task
+WHOLE = 2_000_000  # nodes and links in both directions of a graph, up to which one task holds it
 
 
 def per_group(nodes: DataFrame, group: str):
@@ -95,7 +98,7 @@ def local_moves(state: DataFrame, links: DataFrame, cut, resolution: float = 1.0
         alone = wanted.join(top.select(group, F.col("c").alias("community"), F.col("first").alias("f1")).hint("merge"), [group, "community"]).join(top.select(group, F.col("c").alias("to"), F.col("first").alias("f2")).hint("merge"), [group, "to"])
         alone = alone.where("f1 = node and f2 = node").select(group, "node", F.lit(True).alias("alone"))
         lonely = (F.col("own_size") == 1) & (F.col("to_size") == 1) & (F.col("to") > F.col("community"))
-        go = (F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2)) == 0) & ~lonely & (F.col("gain") > 0)
+        go = (F.pmod(F.xxhash64(F.col("node").cast("long"), F.lit(number)), F.lit(2)) == 0) & ~lonely & (F.col("gain") > 0)
         tried = cut(prop.join(alone.hint("merge"), [group, "node"], "left").withColumn("many", F.when(go, F.col("to")).otherwise(F.col("community"))))
         after = modularity(tried, links, resolution, group, "many").withColumnRenamed("q", "q_many")
         single = tried.groupBy(group).agg(F.sum(F.when(F.col("alone"), F.col("gain")).otherwise(0.0)).alias("one"))
@@ -122,29 +125,183 @@ def contracted(state: DataFrame, links: DataFrame, group: str = "cloud") -> tupl
     return nodes, between.where("a <> b")
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, cut, *, resolution: float = 1.0, weight: str | None = None, group: str = "cloud") -> DataFrame:
+def _odd_digests(nodes: np.ndarray, number: int) -> np.ndarray:
+    """Whether Spark's xxhash64(node, number) of a long and an int is odd."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    def mixed(h):
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    with np.errstate(over="ignore"):
+        h = mixed(turn((np.uint64(42) + p5 + np.uint64(8)) ^ (turn(nodes.astype(np.uint64) * p2, 31) * p1), 27) * p1 + p4)
+        return mixed(turn((h + p5 + np.uint64(4)) ^ (np.uint64(number) * p1), 23) * p2 + p3) & np.uint64(1) == 1
+
+
+def _summed(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of `w` by (a, b), in that order; both are below n."""
+    key = a * n + b
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+    return key[first] // n, key[first] % n, np.add.reduceat(w[order], first) if len(key) else w
+
+
+def _graph_moves(g: dict, com: np.ndarray, resolution: float) -> tuple[np.ndarray, bool]:
+    """`local_moves` of one graph: its nodes (ids in order, k, loop), links without loops (a, b, w), m2; nodes, links and
+    communities by place."""
+    ids, k, a, b, w, m2 = g["ids"], g["k"], g["a"], g["b"], g["w"], g["m2"]
+    n, moved, number = len(ids), False, 0
+    if not m2 > 0:
+        return com, False
+    every = np.arange(n)
+
+    def quality(c):
+        inside = np.bincount(c[a], np.where(c[a] == c[b], w, 0.0), n)
+        return float(np.sum((inside + np.bincount(c, g["loop"], n)) / m2 - resolution * (np.bincount(c, k, n) / m2) ** 2))
+
+    q = quality(com)
+    while True:
+        number += 1
+        node, to, hang = _summed(np.r_[a, every], np.r_[com[b], com], np.r_[w, np.zeros(n)], n)
+        total, size = np.bincount(com, k, n), np.bincount(com, minlength=n)
+        here = to == com[node]
+        score = hang - resolution * k[node] * (total[to] - np.where(here, k[node], 0.0)) / m2
+        start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        best = np.maximum.reduceat(score, start)
+        tops = np.flatnonzero(score == best[node])
+        tops = tops[np.r_[True, node[tops][1:] != node[tops][:-1]]]
+        gain = 2 * (best - score[here]) / m2
+        better = gain > 1e-12
+        to, gain = np.where(better, to[tops], com), np.where(better, gain, 0.0)
+
+        some = np.flatnonzero(better)
+        side, who = np.r_[com[some], to[some]], np.r_[some, some]
+        order = np.lexsort((who, -gain[who], side))
+        lead = order[np.r_[True, side[order][1:] != side[order][:-1]]] if len(order) else order
+        first = np.full(n, -1)
+        first[side[lead]] = who[lead]
+        alone = better & (first[com] == every) & (first[to] == every)
+        lonely = (size[com] == 1) & (size[to] == 1) & (to > com)
+        many = np.where(better & ~lonely & ~_odd_digests(ids, number), to, com)
+        after, one = quality(many), float(gain[alone].sum())
+        if after >= q + LEAST_GAIN:
+            com, q = many, after
+        elif one >= LEAST_GAIN:
+            com, q = np.where(alone, to, com), q + one
+        else:
+            return com, moved
+        moved = True
+
+
+def _graph_contracted(g: dict, com: np.ndarray) -> tuple[dict, np.ndarray]:
+    """`contracted` of one graph, and every node's place among the communities."""
+    names, at = np.unique(com, return_inverse=True)
+    n = len(names)
+    a, b, w = _summed(at[g["a"]], at[g["b"]], g["w"], n)
+    loop = np.bincount(at, g["loop"], n) + np.bincount(a, np.where(a == b, w, 0.0), n)
+    out = a != b
+    return {"ids": g["ids"][names], "k": np.bincount(at, g["k"], n), "loop": loop, "a": a[out], "b": b[out], "w": w[out], "m2": g["m2"]}, at
+
+
+def _graph_levels(g: dict, resolution: float) -> np.ndarray:
+    """The levels above: of each node the place of the node that names its community in the end."""
+    of, level = np.arange(len(g["ids"])), g
+    while True:
+        com, changed = _graph_moves(level, np.arange(len(level["ids"])), resolution)
+        if not changed:
+            return np.searchsorted(g["ids"], level["ids"])[of]
+        level, at = _graph_contracted(level, com)
+        of = at[of]
+
+
+def _graph_of(pdf: pd.DataFrame) -> dict:
+    """The graph of rows (a, b, w, k, loop, m2): nodes have no b, links have no k. Links of nodes that are not listed are left out."""
+    is_node = pdf["b"].isna().to_numpy()
+    nodes, links = pdf[is_node].sort_values("a"), pdf[~is_node]
+    ids, a, b = nodes["a"].to_numpy(np.int64), links["a"].to_numpy(np.int64), links["b"].to_numpy(np.int64)
+    kept = (a != b) & np.isin(a, ids) & np.isin(b, ids)
+    k, loop = nodes["k"].to_numpy(float), nodes["loop"].to_numpy(float)
+    return {"ids": ids, "k": k, "loop": loop, "a": np.searchsorted(ids, a[kept]), "b": np.searchsorted(ids, b[kept]), "w": links["w"].to_numpy(float)[kept], "m2": float(nodes["m2"].iat[0]) if len(ids) else 0.0}
+
+
+def _graph_louvain(g: dict, resolution: float) -> np.ndarray:
+    """`louvain` of one graph."""
+    com, moved = _graph_moves(g, np.arange(len(g["ids"])), resolution)
+    while moved:
+        level, at = _graph_contracted(g, com)
+        of = np.searchsorted(g["ids"], level["ids"])[_graph_levels(level, resolution)]
+        com, moved = _graph_moves(g, of[at], resolution)
+    return com
+
+
+def _in_tasks(nodes: DataFrame, links: DataFrame, solve, resolution: float, group: str) -> DataFrame:
+    """`(group, node, community)` by `solve` of every graph of `nodes` (group, node, k, loop, m2), each in one task."""
+    kind = nodes.schema[group].dataType.simpleString()
+    none = F.lit(None)
+    rows = nodes.select(group, F.col("node").cast("long").alias("a"), none.cast("long").alias("b"), none.cast("double").alias("w"), "k", "loop", "m2")
+    rows = rows.union(links.select(group, F.col("a").cast("long"), F.col("b").cast("long"), "w", *(none.cast("double") for _ in range(3))))
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = _graph_of(pdf)
+        return pd.DataFrame({group: [pdf[group].iat[0]] * len(g["ids"]), "node": g["ids"], "community": g["ids"][solve(g, resolution)]})
+
+    return rows.groupBy(group).applyInPandas(solved, f"`{group}` {kind}, node long, community long")
+
+
+def _large(nodes: DataFrame, links: DataFrame, group: str, whole: int) -> DataFrame:
+    """Groups of more than `whole` nodes and links."""
+    return nodes.select(group).union(links.select(group)).groupBy(group).count().where(F.col("count") > whole).select(group)
+
+
+def louvain(edges: DataFrame, nodes: DataFrame, cut, *, resolution: float = 1.0, weight: str | None = None, group: str = "cloud", whole: int = WHOLE) -> DataFrame:
     """Communities `(group, node, community)` of undirected graphs: edges (group, a, b), nodes (group, node), whole
     numbers as node ids; a community is named by its smallest node.
 
     Local moves from single nodes, contraction of the communities to nodes, local moves of these, and so on until a
     level changes nothing; then the nodes may move once more on their own, and if any does, the levels are built anew.
-    Graphs are never gathered: a round is a few joins and sums over all edges of all graphs. Nodes without an edge are
-    communities of their own. Where several moves gain the same, the smallest community is taken.
+    Nodes without an edge are communities of their own. Where several moves gain the same, the smallest community is taken.
+
+    A graph of up to `whole` nodes and links is solved in one task, by the same rules in arrays. Larger graphs are not
+    gathered: a round is a few joins and sums over all their edges, until a level is small enough for a task.
     """
     links = cut(both_ways(edges, group, weight))
-    base = cut(weighted_nodes(nodes, links, group))
+    base = cut(weighted_nodes(nodes, links, group).where(F.col(group).isNotNull()))
+    big = cut(_large(base, links, group, whole))
+    if big.isEmpty():
+        return _named(cut(_in_tasks(base, links.where(F.col(group).isNotNull()), _graph_louvain, resolution, group)), group)
+    only = lambda rows, how: rows.join(F.broadcast(big), group, how)
+    small = cut(_in_tasks(only(base, "left_anti"), only(links.where(F.col(group).isNotNull()), "left_anti"), _graph_louvain, resolution, group))
+    links, base = cut(only(links, "left_semi")), cut(only(base, "left_semi"))
     state, moved = local_moves(base.withColumn("community", F.col("node")), links, cut, resolution, group)
     while moved:
-        of = state.select(group, "node", "community")
+        of, done = state.select(group, "node", "community"), None
         level_nodes, level_links = contracted(state, links, group)
         while True:
             level_nodes, level_links = cut(level_nodes), cut(level_links)
+            still = cut(_large(level_nodes, level_links, group, whole))
+            level = _in_tasks(level_nodes.join(still, group, "left_anti"), level_links.join(still, group, "left_anti"), _graph_levels, resolution, group)
+            up = level.select(group, F.col("node").alias("community"), F.col("community").alias("upper"))
+            settled = cut(of.join(still, group, "left_anti").join(up.hint("merge"), [group, "community"]).select(group, "node", F.col("upper").alias("community")))
+            done = settled if done is None else done.union(settled)
+            of = cut(of.join(still, group, "left_semi"))
+            if still.isEmpty():
+                break
+            level_nodes, level_links = level_nodes.join(still, group, "left_semi"), level_links.join(still, group, "left_semi")
             level, changed = local_moves(level_nodes.withColumn("community", F.col("node")), level_links, cut, resolution, group)
             if not changed:
+                done = done.union(of)
                 break
             up = level.select(group, F.col("node").alias("community"), F.col("community").alias("upper"))
             of = cut(of.join(up.hint("merge"), [group, "community"]).select(group, "node", F.col("upper").alias("community")))
             level_nodes, level_links = contracted(level, level_links, group)
-        state, moved = local_moves(base.join(of.hint("merge"), [group, "node"]), links, cut, resolution, group)
-    low = state.groupBy(group, "community").agg(F.min("node").alias("low"))
-    return state.select(group, "node", "community").join(low.hint("merge"), [group, "community"]).select(group, "node", F.col("low").alias("community"))
+        state, moved = local_moves(base.join(done.hint("merge"), [group, "node"]), links, cut, resolution, group)
+    return _named(small.union(state.select(group, F.col("node").cast("long"), F.col("community").cast("long"))), group)
+
+
+def _named(of: DataFrame, group: str) -> DataFrame:
+    """Communities by their smallest node."""
+    low = of.groupBy(group, "community").agg(F.min("node").alias("low"))
+    return of.join(low.hint("merge"), [group, "community"]).select(group, "node", F.col("low").alias("community"))

@@ -80,6 +80,23 @@ def test_louvain_of_many_graphs(spark):
     assert all(c == min(v for v, d in m.items() if d == c) for m in of.values() for c in m.values())
 
 
+def test_louvain_of_small_graphs_takes_few_tables(spark):
+    """A graph that a task can hold is solved in one; the rounds over tables, with or without the levels above, end alike."""
+    edges = [(g, a, b, 1.0 + (a * b) % 3) for g, n in ((0, 12), (1, 9)) for a, b in itertools.combinations(range(n), 2) if a % 3 == b % 3 or (a + b + g) % 7 == 0]
+    e, nodes = spark.createDataFrame(edges, "cloud int, a long, b long, w double"), spark.createDataFrame([(g, v) for g in (0, 1) for v in range(13)], "cloud int, node long")
+    number = 0
+
+    def counted(df, cut=cutter(spark)):
+        nonlocal number
+        number += 1
+        return cut(df)
+
+    want = sorted(map(tuple, communities.louvain(e, nodes, counted, weight="w").collect()))
+    assert number <= 5 and len(want) == 26 and len({x[2] for x in want if x[0] == 0}) < 13
+    assert want == sorted(map(tuple, communities.louvain(e, nodes, cutter(spark), weight="w", whole=40).collect()))
+    assert (communities._odd_digests(np.arange(-50, 50), 3) == [r[0] for r in spark.range(-50, 50).select(F.xxhash64("id", F.lit(3)) % 2 != 0).collect()]).all()
+
+
 def test_weights_and_gains(spark):
     """Three nodes in a row: the heavy edge decides; its gain by the definition of modularity."""
     e = spark.createDataFrame([(0, 1, 2, 3.0), (0, 2, 3, 1.0), (0, 2, 2, 1.0)], "cloud int, a long, b long, weight double")
