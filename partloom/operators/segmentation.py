@@ -211,11 +211,13 @@ def community_features(points: DataFrame, cut, *, k: int = 10, reach: float = 0.
 
     Normals and the mean angle to the neighbours' normals (the curvature here) from `k` nearest points, a graph of
     neighbours less than `reach` apart, its Louvain communities of `least` to `most` points, classes by curvature,
-    normals and box, descriptor means, and one dimension by the class. All clouds run through every step together."""
+    normals and box, descriptor means, and one dimension by the class. All clouds run through every step together; the
+    nearest points are looked for once."""
     xyz = cut(points.select(group, "pid", "x", "y", "z"))
-    faced = cut(xyz.join(point_normals(xyz, k, group=group), [group, "pid"]))
-    desc = cut(descriptors(faced, k, group))
-    edges = neighbour_edges(xyz, k, reach, group)
+    near = cut(knn_join(xyz, k, group))
+    faced = cut(xyz.join(point_normals(xyz, k, group=group, near=near), [group, "pid"]))
+    desc = cut(descriptors(faced, k, group, near))
+    edges = neighbour_edges(xyz, k, reach, group, near)
     found_ = louvain(edges, xyz.select(group, F.col("pid").alias("node")), cut, group=group).select(group, F.col("node").alias("pid"), "community")
     n = F.count("*").over(Window.partitionBy(group, "community"))
     members = cut(found_.withColumn("_n", n).where(F.col("_n").between(least, most)).select(group, "pid", "community"))

@@ -147,9 +147,10 @@ def outliers_removed(points: DataFrame, k: int = 20, stds: float = 2.0, group: s
     return points.join(kept.where((F.col("m") <= F.col("limit")) | (F.col("size") <= k)).select(group, "pid"), [group, "pid"], "left_semi")
 
 
-def descriptors(points: DataFrame, k: int = 10, group: str = "cloud") -> DataFrame:
-    """Per point with unit normal (nx, ny, nz): density, eigenvalue shares, normal variation and mean normal angle."""
-    near = knn_join(points, k, group)
+def descriptors(points: DataFrame, k: int = 10, group: str = "cloud", near: DataFrame | None = None) -> DataFrame:
+    """Per point with unit normal (nx, ny, nz): density, eigenvalue shares, normal variation and mean normal angle.
+    `near`: the points' `knn_join`, if it is there."""
+    near = knn_join(points, k, group) if near is None else near
     n2 = points.select(group, F.col("pid").alias("pid2"), F.col("nx").alias("mx"), F.col("ny").alias("my"), F.col("nz").alias("mz"))
     n1 = points.select(group, F.col("pid").alias("pid1"), "nx", "ny", "nz")
     near = near.join(n2, [group, "pid2"]).join(n1, [group, "pid1"])
@@ -177,9 +178,10 @@ def two_scale_curvature(points: DataFrame, radius: float, group: str = "cloud")
     return both.select(group, "pid", F.when(F.col("n_small") >= 5, 0.7 * F.col("small") + 0.3 * F.col("large")).otherwise(0.0).alias("curvature"))
 
 
-def neighbour_edges(points: DataFrame, k: int = 10, reach: float = 0.1, group: str = "cloud") -> DataFrame:
-    """Undirected edges `(a < b, distance)` between k nearest neighbours less than `reach` apart."""
-    near = knn_join(points, k, group).where((F.col("pid1") != F.col("pid2")) & (F.sqrt("d2") < reach))
+def neighbour_edges(points: DataFrame, k: int = 10, reach: float = 0.1, group: str = "cloud", near: DataFrame | None = None) -> DataFrame:
+    """Undirected edges `(a < b, distance)` between k nearest neighbours less than `reach` apart. `near`: the points'
+    `knn_join`, if it is there."""
+    near = (knn_join(points, k, group) if near is None else near).where((F.col("pid1") != F.col("pid2")) & (F.sqrt("d2") < reach))
     return near.select(group, F.least("pid1", "pid2").alias("a"), F.greatest("pid1", "pid2").alias("b"), F.sqrt("d2").alias("distance")).distinct()
 
 

@@ -97,6 +97,15 @@ def test_louvain_of_small_graphs_takes_few_tables(spark):
     assert (communities._odd_digests(np.arange(-50, 50), 3) == [r[0] for r in spark.range(-50, 50).select(F.xxhash64("id", F.lit(3)) % 2 != 0).collect()]).all()
 
 
+def test_community_features_look_for_neighbours_once(spark, monkeypatch):
+    calls, real = [], spatial.knn_between
+    monkeypatch.setattr(spatial, "knn_between", lambda *a, **b: calls.append(1) or real(*a, **b))
+    r = random.Random(4)
+    points = spark.createDataFrame([(0, i, r.random() + 5 * (i % 2), r.random(), r.random()) for i in range(60)], XYZ)
+    members, found = segmentation.community_features(points, cutter(spark), reach=0.9, least=4)
+    assert len(calls) == 1 and members.count() == sum(x["n"] for x in found.collect()) > 0
+
+
 def test_weights_and_gains(spark):
     """Three nodes in a row: the heavy edge decides; its gain by the definition of modularity."""
     e = spark.createDataFrame([(0, 1, 2, 3.0), (0, 2, 3, 1.0), (0, 2, 2, 1.0)], "cloud int, a long, b long, weight double")
