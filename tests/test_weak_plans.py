@@ -196,3 +196,21 @@ def test_neighbour_joins_are_dealt_to_tasks(spark, monkeypatch, whole):
     xyz = np.array([q[2:] for q in points if q[0] == 1])
     order = np.argsort(((xyz[:, None] - xyz[None]) ** 2).sum(2), axis=1, kind="stable")[:, :5]
     assert {(x["pid1"], x["pid2"]) for x in near if x["cloud"] == 1} == {(i, int(j)) for i in range(400) for j in order[i]}
+
+
+def test_near_centroids_meet_in_tiles(spark, monkeypatch, tmp_path):
+    """Many segments in one cell are dealt to tasks; the pairs are those of a plain comparison. Rows go to their cloud once."""
+    from partloom.plans import shape_queries
+
+    monkeypatch.setattr(spatial, "TILE", 16)
+    rng = np.random.default_rng(5)
+    p = rng.normal(0, 1.2, (150, 3))
+    points = spark.createDataFrame([(i % 2, i, *map(float, v)) for i, v in enumerate(p)], "cloud int, pid long, x double, y double, z double")
+    got = sorted(map(tuple, spatial.near_centroids(points, 2.0).select("cloud", "pid1", "pid2").collect()))
+    assert got == sorted((i % 2, i, j) for i in range(150) for j in range(150) if i != j and i % 2 == j % 2 and ((p[i] - p[j]) ** 2).sum() < 4)
+    met = spatial._tiled_pairs(points, 2.0, "cloud")
+    most = met.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < met.count() / 8
+    rows = [(i % 3, float(i % 7), float(i), 0.01 * (i % 4)) for i in range(60)]
+    spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert shape_queries._centroids(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
