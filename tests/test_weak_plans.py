@@ -214,3 +214,25 @@ def test_near_centroids_meet_in_tiles(spark, monkeypatch, tmp_path):
     rows = [(i % 3, float(i % 7), float(i), 0.01 * (i % 4)) for i in range(60)]
     spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert shape_queries._centroids(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("low", [0, -20])
+def test_only_features_without_a_label_in_tolerance_meet_all_classes(spark, monkeypatch, low):
+    """All ways of reading, several values, tied scores, places that fit one number with the score and such that do not."""
+    r = np.random.default_rng(12)
+    texts, categories = ["5", "⌀5", "R5", "diameter 5", "⌀5 r"], ["dimension", "hole", "datum", "slot width", "chamfer"]
+    labels = [(m, f"l{i}", i + low, float(r.integers(30, 60)) if (m, i) != (2, 4) else 0.0, [None, 0.0, 0.5, 2.0][i % 4], texts[int(r.integers(5))], "", categories[m % 5], 20.0 * int(r.integers(0, 6)), 0.0) for m in range(5) for i in range(40)]
+    kinds, keys = ["plane", "cylinder", "through_hole", "pocket", "slot", "cone", "sphere", "chamfer"], ["diameter", "radius", "length"]
+    measured = [
+        (m, f"f{j}", j, kinds[int(r.integers(8))], [(keys[int(r.integers(3))], float(r.integers(15, 70))) for _ in range(int(r.integers(0, 4)))], 20.0 * int(r.integers(0, 6)), 0.0, j % 7)
+        for m in range(5) for j in range(40)
+    ]
+    a = spark.createDataFrame(labels, "model_id long, id string, pos long, value double, tol double, text string, raw_text string, category string, px double, py double")
+    b = spark.createDataFrame(measured, "model_id long, id string, pos long, type string, values array<struct<key: string, value: double>>, sx double, sy double, n_adjacent int")
+    scored = matching.scores(a, b).toPandas()
+    want = {(x.model_id, x.dst): x.src for x in scored.assign(s=scored["score"].round(9)).sort_values(["s", "i"], ascending=[False, True]).drop_duplicates(["model_id", "dst"]).itertuples()}
+    met, real = [], matching._best_by_classes
+    monkeypatch.setattr(matching, "_best_by_classes", lambda x, y, n: met.extend((v["model_id"], v["id"]) for v in y.collect()) or real(x, y, n))
+    assert {(x["model_id"], x["dst"]): x["src"] for x in matching.best_labels(a, b).collect()} == want
+    sure = {(x.model_id, x.dst) for x in scored.itertuples() if x.geom == 1.0}
+    assert sure and sure.isdisjoint(met) and len(sure) + len(met) == len(measured)
